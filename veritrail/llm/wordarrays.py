@@ -80,8 +80,9 @@ class Words:
     first: np.ndarray
 
     @classmethod
-    def of(cls, raw: np.ndarray, at: np.ndarray) -> Words:
-        inside = ~SPACE[raw]
+    def of(cls, raw: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> Words:
+        """between: for each byte, whether it parts words."""
+        inside = ~between[raw]
         n = len(raw)
         before = np.empty(n, bool)
         after = np.empty(n, bool)
@@ -106,13 +107,22 @@ class Words:
         return np.repeat(np.arange(len(self.at) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
+        return self.prefix_hashes([])[0]
+
+    def prefix_hashes(self, sizes: list[int]) -> list[np.ndarray]:
+        """Hashes of the words, and of their first bytes for each size (of shorter words, 0)."""
         if not len(self.start):
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64) for _ in range(len(sizes) + 1)]
         n = len(self.raw)
         up, down = _power_tables(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[LOWER[self.raw]] * up[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+        out = [mix((sums[self.end] - sums[self.start]) * down[self.start])]
+        for k in sizes:
+            cut = np.minimum(self.start + k, n)
+            h = mix((sums[cut] - sums[self.start]) * down[self.start] + _U(k))
+            out.append(np.where(self.end - self.start > k, h, _U(0)))
+        return out
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of k words that lies within one text."""
