@@ -203,7 +203,7 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
         seen = learnt > 0
         own, first, place = np.unique(every[seen], return_index=True, return_inverse=True)
         count = np.bincount(place, weights=learnt[seen], minlength=len(own))
-        p = 10.0 ** (-log_p[seen][first] / 4096.0)
+        p = 10.0 ** (log_p[seen][first] / -4096.0)
         book, code = codebook(np.log10(1 + count / (MU * p)))
         trie = Trie(own >> _U(32), own & _U(0xFFFFFFFF), code, book)
         for chunk, key, g in zip(asked["chunk"], keys, given):
