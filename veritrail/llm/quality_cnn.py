@@ -19,6 +19,7 @@ SAMPLE_EACH, SAMPLE_CHARS = 1500, 30_000
 THRESHOLD = 0.7
 #: Byte windows of WIDTH bytes every STRIDE bytes; chunks of 2 * HALF windows every HALF windows.
 WIDTH, STRIDE, HALF = 16, 4, 64
+OVER = WIDTH // STRIDE - 1
 DIM, FILTERS, HIDDEN = 8, 32, 16
 PAD = 256
 
@@ -53,9 +54,10 @@ class Laid:
 
 
 def lay_out(raw: np.ndarray, at: np.ndarray) -> Laid:
-    """Every byte of every text lies in some window; a text has one half-chunk at least."""
+    """Every byte of every text lies in some window; a text has one half-chunk at least, and at its
+    end OVER windows that begin beyond its bytes."""
     sizes = np.diff(at)
-    halves = np.maximum(1, -(-sizes // (STRIDE * HALF)))
+    halves = -(-(sizes + STRIDE * OVER) // (STRIDE * HALF))
     first = np.concatenate(([0], np.cumsum(halves)))
     codes = np.full(first[-1] * STRIDE * HALF + WIDTH, PAD, np.int16)
     where = np.arange(len(raw)) + np.repeat(first[:-1] * STRIDE * HALF - at[:-1], sizes)
@@ -64,22 +66,28 @@ def lay_out(raw: np.ndarray, at: np.ndarray) -> Laid:
 
 
 def windows(net: Net, laid: Laid, a: int, b: int) -> np.ndarray:
-    """Inputs of the filters for half-chunks a to b. Windows at a text's end look into the next one's
-    first bytes only where that text fills its last half-chunk; the same bytes would be padding else."""
+    """Inputs of the filters for half-chunks a to b."""
     codes = laid.codes[a * STRIDE * HALF : b * STRIDE * HALF + WIDTH]
     x = net.embed[codes]
     n = (b - a) * HALF
     return np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIM), (STRIDE * DIM * 4, 4))
 
 
+def hide_ends(z: np.ndarray, ends: np.ndarray) -> None:
+    """Take out the last OVER windows of texts' last half-chunks: they look into the next text."""
+    z[ends, HALF - OVER :] = -np.inf
+
+
 def scores(net: Net, raw: np.ndarray, at: np.ndarray, block: int = 512) -> np.ndarray:
     """One probability per text, over all its bytes."""
     laid = lay_out(raw, at)
     tops = np.empty((laid.first[-1], FILTERS), np.float32)
+    ends = laid.first[1:] - 1
     for a in range(0, len(tops), block):
         b = min(a + block, len(tops))
-        z = windows(net, laid, a, b) @ net.conv
-        tops[a:b] = z.reshape(b - a, HALF, FILTERS).max(axis=1)
+        z = (windows(net, laid, a, b) @ net.conv).reshape(b - a, HALF, FILTERS)
+        hide_ends(z, ends[np.searchsorted(ends, a) : np.searchsorted(ends, b)] - a)
+        tops[a:b] = z.max(axis=1)
     pooled = np.maximum(tops + net.conv_b, 0)
     chunk = pooled.copy()
     joined = np.ones(len(pooled), bool)
@@ -96,6 +104,7 @@ def _gradients(net: Net, raw: np.ndarray, at: np.ndarray, want: np.ndarray, weig
     n_half = int(laid.first[-1])
     x = windows(net, laid, 0, n_half)
     z = (x @ net.conv).reshape(n_half, HALF, FILTERS)
+    hide_ends(z, laid.first[1:] - 1)
     arg = z.argmax(axis=1)
     top = np.take_along_axis(z, arg[:, None], 1)[:, 0] + net.conv_b
     pooled = np.maximum(top, 0)
