@@ -11,10 +11,11 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritrail.functions.text import CONFUSED, despaced, sorted_tokens
 
-DIFFERENCES = "array<struct<position: int, expected: string, found: string, kind: string>>"
+DIFFERENCES = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("expected", "found", "kind")]]))
 ML_PER_FL_OZ = 29.5735
 METRIC = {"ML": 1.0, "CL": 10.0, "L": 1000.0}
 for _stem, _ml in (("MILLILIT", 1.0), ("CENTILIT", 10.0), ("LIT", 1000.0)):
@@ -42,7 +43,7 @@ def indel(a, b) -> float:
     return 2 * common_length(a, b) / total if total else 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict = {}
     out = []
@@ -53,7 +54,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_list_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel(list(x), list(y)) for x, y in zip(a, b)], dtype="float64")
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Typographic characters and what they stand for.
 ONE_TO_ONE = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "‒": "-", "―": "-", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "•": " ", "·": " ", "●": " "}
@@ -19,7 +20,7 @@ _ACCENTED = [chr(c) for c in range(0xC0, 0x180) if len(d := unicodedata.normaliz
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_stripped(texts: pd.Series) -> pd.Series:
     """Any script: compatibility decomposition without combining marks."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
