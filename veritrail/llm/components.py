@@ -44,4 +44,5 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    roots = now.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("root"))
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots)

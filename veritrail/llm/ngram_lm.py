@@ -27,7 +27,7 @@ from veritrail.llm.wordarrays import Words, blocks, mix
 
 MU = 50.0
 ADD = 0.1
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: Values that a shard's trie tells apart.
 LEVELS = 256
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

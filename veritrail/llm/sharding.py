@@ -117,7 +117,8 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
     cuts, _ = splitters(keyed, shards, tolerance)
     edges = [KEY_LOW, *cuts]
     ends = [*cuts, KEY_HIGH]
-    per_shard = max(1, round(total / shards / part_bytes))
+    # several parts for each of Spark's partitions, which get them by a hash
+    per_shard = max(1, round(total / shards / part_bytes), -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     key = F.col("__key")
     # (shard, part): each shard's key range in per_shard equal pieces, which hashed keys fill evenly
     place = [F.lit(s) * per_shard + F.floor((key - F.lit(a)) / F.lit(max(1, (b - a + per_shard - 1) // per_shard))).cast("int") for s, (a, b) in enumerate(zip(edges, ends))]

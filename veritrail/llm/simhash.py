@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import forget, materialise, table, without
+from veritrail.llm.common import materialise, table
 from veritrail.llm.components import components
 from veritrail.llm.wordarrays import LOWER_TABLE
 
@@ -162,14 +162,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (then the component is null). Repeated rows give repeated results; an empty table none.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     links = materialise(fingerprint_links(nodes.select("fp")), "links")
-    roots = components(links)
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = named.filter(F.col("fp") != F.col("root")).select("root").distinct()
-    # only roots with several fingerprints need a minimum over the group
-    groups = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("group_least"))
-    ids = named.join(groups, "root", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
+    linked = materialise(nodes.join(components(links), F.col("fp") == F.col("node")).select("fp", "least", "root"), "linked")
+    # written tables on both sides of each join below, so that Spark can split one that a large
+    # component or a fingerprint of many copies makes uneven
+    groups = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
+    named = linked.join(groups, "root").select("fp", "component_id")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    ids = materialise(named.unionByName(alone), "ids")
     return prints.join(ids, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

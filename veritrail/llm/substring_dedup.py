@@ -60,6 +60,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     lines = materialise(units(docs, id_col, text_col, min_words), "units")
     first = lines.groupBy("digest").agg(F.min(F.struct("unit_doc", "unit_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # written, so that both sides of the join are exchanged for it and Spark can split a common line
+    first = materialise(first, "first")
     later = lines.join(first, "digest").filter(F.struct("unit_doc", "unit_no") > F.col("first"))
     return later.groupBy("unit_doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
 
