@@ -53,6 +53,7 @@ class Encoder(dict):
         for b in self.reached:
             self.finder.add_word(b.decode("latin-1"), (ranks[b], len(b)))
         self.finder.make_automaton()
+        self.most = max(map(len, self.reached), default=1)
 
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
@@ -74,7 +75,8 @@ class Encoder(dict):
         if piece in self.ranks:
             return [self.ranks[piece]]
         text = piece.decode("latin-1")
-        longest = lambda at: next(self.finder.iter_long(text, at))[1][0]
+        # a search copies the string it is given, so it gets no more than a token can take
+        longest = lambda at: next(self.finder.iter_long(text[at : at + self.most]))[1][0]
         out: list[int] = []
         open_at = bytearray(b"\x01") * (len(text) + 1)
         at, token = 0, longest(0)
