@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import table, without
 
-#: Pieces whose encoding a task remembers; when full, the memory starts anew.
-MEMORY = 300_000
+#: Pieces whose encoding a worker remembers, and neighbours it has judged; when full, either starts anew.
+MEMORY, JUDGED = 400_000, 1_000_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -37,6 +37,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two tokens that BPE merges last into this one; None for a byte and for what it can't reach."""
+    below = {}
+    for i in range(len(token)):
+        for n in range(2, len(token) - i + 1):
+            part = token[i : i + n]
+            if part in ranks and n < len(token):
+                below[part] = ranks[part]
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        best, at = min((below.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best == 1 << 62:
+            return None
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 else None
+
+
 class Encoder(dict):
     """Token ids of pieces by mergeable ranks; as a mapping it remembers each piece met (str -> ids)."""
 
@@ -44,11 +61,15 @@ class Encoder(dict):
         super().__init__()
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         self.pieces = regex.compile(pattern).findall
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
         # only tokens that merging can reach may stand in a sequence
         self.reached = {b for b, i in ranks.items() if merge(b, ranks) == [i]}
+        self.parts = {ranks[b]: (ranks[h[0]], ranks[h[1]]) for b in self.reached if (h := halves(b, ranks))}
+        # in ranks from training a token comes after its halves; without that, neighbours are merged anew
+        self.ordered = all(max(h) < i for i, h in self.parts.items())
         self.finder = ahocorasick.Automaton()
         for b in self.reached:
             self.finder.add_word(b.decode("latin-1"), (ranks[b], len(b)))
@@ -58,9 +79,30 @@ class Encoder(dict):
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            known = self.fits[left, right] = merge(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+            if len(self.fits) > JUDGED:
+                self.fits.clear()
+            apart = self.apart(left, right) if self.ordered else merge(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
+            known = self.fits[left, right] = apart
         return known
 
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of the two.
+
+        Undoes the merges beside the border, the latest first. A pair met on the way would have been
+        merged if it ranks before the merge undone last; of equal pairs the one further left is first.
+        """
+        before = 1 << 62
+        while True:
+            if self.ranks.get(self.bytes_of[left] + self.bytes_of[right], before) < before:
+                return False
+            x, y = self.parts.get(left), self.parts.get(right)
+            if x and (left > right or not y):
+                before, left = left, x[1]
+            elif y:
+                before, right = right + 1, y[0]
+            else:
+                return True
+
     def prefix(self, token: int) -> int | None:
         """The next shorter token that begins the same."""
         if token not in self.shorter:
@@ -75,25 +117,28 @@ class Encoder(dict):
         if piece in self.ranks:
             return [self.ranks[piece]]
         text = piece.decode("latin-1")
-        # a search copies the string it is given, so it gets no more than a token can take
-        longest = lambda at: next(self.finder.iter_long(text[at : at + self.most]))[1][0]
+        fits, sizes, compatible, shorter, search, most = self.fits, self.sizes, self.compatible, self.prefix, self.finder.iter_long, self.most
         out: list[int] = []
         open_at = bytearray(b"\x01") * (len(text) + 1)
-        at, token = 0, longest(0)
+        # a search copies the string it is given, so it gets no more than a token can take
+        at, token = 0, next(search(text[:most]))[1][0]
         while True:
-            end = at + len(self.bytes_of[token])
-            if open_at[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == len(text):
-                    return out
-                token = longest(at)
-                continue
-            less = self.prefix(token)
+            end = at + sizes[token]
+            if open_at[end]:
+                known = fits.get((out[-1], token)) if out else True
+                if known is None:
+                    known = compatible(out[-1], token)
+                if known:
+                    out.append(token)
+                    if end == len(text):
+                        return out
+                    at, token = end, next(search(text[end : end + most]))[1][0]
+                    continue
+            less = shorter(token)
             if less is None:
                 open_at[at] = 0
                 less = out.pop()
-                at -= len(self.bytes_of[less])
+                at -= sizes[less]
             token = less
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
