@@ -443,6 +443,24 @@ def test_pipeline(spark):
     assert sorted(got) == sorted(want) and len(want) > 50
 
 
+def test_last_stage_returns_ids(spark, docs, none):
+    theirs = coder()
+    rows = bpe.tokenise(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or -1, r["ids"], r["n_tokens"], r["removed"]) for r in rows) == sorted((i or -1, ids := theirs.encode_ordinary(t or ""), len(ids), 7) for i, t in TEXTS)
+    assert bpe.tokenise(spark, none, "").count() == 0
+
+
+def test_pipeline_returns_ids(spark):
+    import corpus_pipeline
+
+    theirs = coder()
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 50 and {"lang", "source"} <= set(rows[0].asDict())
+    for r in rows:
+        text = theirs.decode(r["ids"])
+        assert hashlib.sha256(text.encode()).hexdigest() == r["decoded_sha256"] and theirs.encode_ordinary(text) == r["ids"] and len(r["ids"]) == r["n_tokens"]
+
+
 def test_every_query_runs(spark):
     from veritrail.llm.registry import oracle_sql, queries
 

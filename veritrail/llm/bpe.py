@@ -12,7 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import ahocorasick
 import pyarrow as pa
@@ -204,29 +204,37 @@ def decode_ids(encoded: DataFrame, ranks_file: str, pattern: str, ids_col: str =
     return encoded.select(ids_col, *[F.col(f"`{c}`") for c in rest.columns]).mapInArrow(_decoding(ranks_file, pattern), f"{fields}data binary")
 
 
-def _digests(ranks_file: str, pattern: str):
+def _digests(ranks_file: str, pattern: str, with_ids: bool):
     """Encode and decode in one pass, so that ids need not travel to be hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_file, pattern)
         digits = {i: str(i) for i in enc.bytes_of}
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, every = [], [], [], []
             for t in batch.column(0):
                 ids = enc.encode(t.as_py() or "")
+                if with_ids:
+                    every.append(pa.array(ids, pa.int32()))
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(a), pa.array(b)], [*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
+            own, names = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                at = pa.array(list(accumulate(map(len, every), initial=0)), pa.int32())
+                own.insert(0, pa.ListArray.from_arrays(at, pa.concat_arrays(every) if every else pa.array([], pa.int32())))
+                names.insert(0, "ids")
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*batch.schema.names[1:], *names])
 
     return run
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with n_tokens, ids_sha256 and decoded_sha256 of encode and decode."""
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """The kept columns, with with_ids the ids, then n_tokens, ids_sha256 and decoded_sha256 of encode and decode."""
     given = docs.select(F.col(f"`{text_col}`").cast("string").alias("__encoded"), *[F.col(f"`{c}`") for c in keep])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[1:])
-    return given.mapInArrow(_digests(ranks_file, pattern), f"{fields}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ids = "ids array<int>, " if with_ids else ""
+    return given.mapInArrow(_digests(ranks_file, pattern, with_ids), f"{fields}{ids}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +244,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: doc_id, the token ids and the digests of the round trip."""
+    """Pipeline stage, the last: all columns but the text, the token ids and the digests of the round trip."""
     import public_tokenizers
 
     file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return round_trip(docs, file, pattern)
+    rest = without(docs, {"text", "ids", "n_tokens", "ids_sha256", "decoded_sha256"})
+    return round_trip(docs, file, pattern, keep=tuple(rest.columns), with_ids=True)
