@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import math
 import random
+import string
 import zlib
 
 import numpy as np
@@ -118,6 +120,36 @@ def test_compression_rejects_repeats_and_noise():
     assert quality_rules.compression(LONG.encode(), packer)[3]
 
 
+def noise_texts(n, seed):
+    """Junk of n bytes that is valid UTF-8."""
+    gen = random.Random(seed)
+    mix = lambda k, chars: "".join(gen.choices(chars, k=k))
+    code = base64.b64encode(gen.randbytes(n)).decode()
+    return {
+        "base64": code[:n],
+        "base64 lines": "\n".join(code[i : i + 76] for i in range(0, n, 76))[:n],
+        "alphanumeric": mix(n, string.ascii_letters + string.digits),
+        "alphanumeric words": " ".join(mix(gen.randrange(7, 14), string.ascii_letters + string.digits) for _ in range(n // 7))[:n],
+        "printable": mix(n, string.printable[:95]),
+        "CJK": "".join(chr(gen.randrange(0x4E00, 0x9FFF)) for _ in range(n // 3)),
+    }
+
+
+def test_compression_rejects_utf8_noise_and_keeps_prose(spark):
+    packer = zstandard.ZstdCompressor(level=3)
+    fine = lambda t: quality_rules.compression(t.encode(), packer)[3]
+    for n in (200, 256, 400, 600, 1000, 2000, 4000, 8000, 50000):
+        for seed in range(5):
+            junk = noise_texts(n, seed)
+            # a short text with white space at random is noise of a smaller alphabet
+            assert [k for k, t in junk.items() if fine(t) and (n >= 600 or "words" not in k)] == [], n
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = [r for r in quality_rules.quality_rules(spark.createDataFrame(rows)).collect() if not r["base_failed"]]
+    loose = tuple((limit, 0.0, high) for limit, _, high in quality_rules.BANDS)
+    assert [r["doc_id"] for r in got if not r["kept"] and quality_rules.compression(r["text"].encode(), packer, bands=loose)[3]] == []
+    assert sum(r["kept"] for r in got) > 0.9 * len(got) and len(got) > 500
+
+
 def brute_print(t):
     w = words(t)
     if not w:

@@ -19,8 +19,16 @@ REPEAT_WINDOW = 8
 CHUNK_BYTES = 4096
 LEVEL = 3
 #: (texts of fewer bytes, least ratio, greatest ratio): raw bytes over compressed bytes. Short
-#: texts compress badly whatever they say (frame header, no history), long ones better.
-BANDS = ((256, 0.0, 6.0), (1024, 1.05, 8.0), (4096, 1.15, 9.0), (1 << 62, 1.2, 10.0))
+#: texts compress badly whatever they say (frame header, no history), long ones better. The least
+#: ratios lie between the greatest one measured for random base64, letters and digits, printable
+#: ASCII and CJK of that length and the least one of clean prose cut to it. Under 224 bytes random
+#: letters, and under 128 bytes all but printable noise, overlap with prose and are not told apart.
+#: Nor are hex and random lower-case letters, which compress about as well as short prose.
+BANDS = (
+    (100, 0.0, 6.0), (128, 0.95, 6.0), (144, 1.04, 6.0), (160, 1.05, 6.0), (176, 1.06, 6.0), (192, 1.08, 6.0), (224, 1.115, 6.0), (256, 1.168, 6.0),
+    (320, 1.18, 8.0), (384, 1.22, 8.0), (448, 1.27, 8.0), (512, 1.3, 8.0), (640, 1.33, 8.0), (768, 1.36, 8.0), (1024, 1.39, 8.0),
+    (1536, 1.41, 9.0), (2048, 1.43, 9.0), (4096, 1.45, 9.0), (1 << 62, 1.45, 10.0),
+)
 #: Share of a text's chunks that may lie outside their band.
 MAX_BAD_CHUNKS = 0.25
 
