@@ -21,7 +21,7 @@ import tiktoken
 import xxhash
 import zstandard
 
-from veritrail.llm import bpe, components, decontaminate, eliasfano, labelled, ngram_lm, quality_cnn, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity_crf
+from veritrail.llm import bpe, components, decontaminate, eliasfano, labelled, ngram_lm, passage_dedup, quality_cnn, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity_crf
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -245,6 +245,48 @@ def test_line_dedup(docs, none):
     assert substring_dedup.dedup_lines(none).count() == 0
 
 
+def test_passage_dedup(spark, docs, none):
+    gen = random.Random(8)
+    own = lambda n: " ".join(f"v{gen.randrange(10**6)}" for _ in range(n))
+    run = own(60)
+    short = "\n".join(" ".join(run.split()[i : i + 3]) for i in range(0, 60, 3))
+    line = own(9)
+    texts = {1: f"{own(20)} {run} {own(20)}", 2: f"{own(7)} é\n{own(5)} {run.upper()} {own(30)}\n{own(4)}", 3: f"{own(6)}\n{short}\n{own(40)}", 4: own(200), 5: f"{own(3)} {run.rsplit(' ', 11)[0]} {own(9)}", 6: f"{line}\n{own(80)}", 7: f"{line}\n{own(9)} {run}"}
+    df = spark.createDataFrame([*texts.items(), (8, None), (None, texts[1]), (4, own(10))], "doc_id long, text string").repartition(3)
+    rows = passage_dedup.dedup_passages(df).collect()
+    assert len(rows) == 10
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got[1][0]["text"] == texts[1] and not got[1][0]["removed"] and got[None][0]["text"] == texts[1] and got[8][0]["text"] is None
+    assert len(got[4]) == 2 and all(not r["removed"] for r in got[4])
+    want = words(run)
+    for i in (2, 3, 7):
+        r, t = got[i][0], texts[i]
+        assert not set(want) & set(words(r["text"])), i
+        # the rest stays, and offsets are those of the original
+        gone = words(" ".join(t[s["start"] : s["end"]] for s in r["removed"]))
+        assert collections.Counter(words(r["text"])) + collections.Counter(gone) == collections.Counter(words(t))
+        assert words(" ".join(t[s["start"] : s["end"]] for s in r["kept"])) == words(r["text"])
+    assert got[7][0]["text"].split() == texts[7].split()[9:18]
+    assert got[5][0]["text"] == texts[5]  # 49 words of the run
+    assert passage_dedup.dedup_passages(none).count() == 0
+
+    # every run of 50 words that a lower rank holds goes, and nothing else
+    found = {r["doc_id"]: r["text"] for r in passage_dedup.dedup_passages(docs.filter("doc_id <> 13")).collect()}
+    base = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_lines(docs.filter("doc_id <> 13")).collect()}
+    seen = set()
+    for i in sorted(base):
+        w = words(base[i])
+        cover = [False] * len(w)
+        for p in range(len(w) - 49):
+            g = tuple(w[p : p + 50])
+            if g in seen:
+                cover[p : p + 50] = [True] * 50
+            seen.add(g)
+        assert words(found[i]) == [x for x, c in zip(w, cover) if not c], i
+
+
 def test_containment_search(spark, docs, none):
     items = [(1, PASSAGE), (2, "one two"), (3, " ".join(PASSAGE.split()[:50]) + " quite other words at the end"), (4, ""), (5, None), (6, prose(30)), (7, "d e f g h a"), (None, "one"), (8, "absent words that no text holds"), (1, PASSAGE)]
     got = decontaminate.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
