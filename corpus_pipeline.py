@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from veritrail.llm.bpe import tokenise
 from veritrail.llm.common import materialise, table
 from veritrail.llm.decontaminate import drop_contaminated
+from veritrail.llm.passage_dedup import cut_repeats
 from veritrail.llm.quality_rules import keep_good
 from veritrail.llm.simhash import keep_one
-from veritrail.llm.substring_dedup import cut_repeats
 
 STAGES = [
     ("quality rules", keep_good),

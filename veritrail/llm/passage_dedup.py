@@ -1,4 +1,8 @@
-"""Passage dedup: of equal runs of WORDS words anywhere, the earliest ranked one stays, wherever lines break.
+"""Substring dedup by hashing lines, then paragraphs of WORDS words wherever lines break.
+
+A repeated passage need not begin or end where a line does, so whole lines alone would leave it.
+After the lines (substring_dedup) every run of WORDS words of what is left is a unit as well:
+normalised, digested, grouped globally, the earliest ranked one kept.
 
 Two steps find the runs without a row for each word of the corpus. First each text gives its
 winnowed grams of GRAM words: of every WORDS - GRAM + 1 grams in a row the one of least hash, so
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import materialise, table, without
-from veritrail.llm.substring_dedup import SPAN, dedup_lines
+from veritrail.llm.substring_dedup import MIN_WORDS, SPAN, dedup_lines
 from veritrail.llm.wordarrays import Words, blocks, mix
 
 WORDS = 50
@@ -117,7 +121,7 @@ def _cut(words: int):
                     kept = [x for c in stays for x in original(c, lines)]
                     text = "".join([text[a:b] for a, b in stays])
                 else:
-                    kept = [(s["start"], s["end"]) for s in lines or ()]
+                    kept = [(s["start"], s["end"]) for s in lines or () if s["start"] < s["end"]]
                 for o, v in zip(out, (text, sorted(moved + spans), kept)):
                     o.append(v if o is out[0] else [{"start": a, "end": b} for a, b in v])
             arrays = [pa.array(out[0], pa.string()), pa.array(out[1], span), pa.array(out[2], span), *batch.columns[4:]]
@@ -138,17 +142,20 @@ def original(cut: tuple[int, int], lines: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """docs with repeated lines (dedup_lines) and then repeated runs of words words cut from text_col.
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with repeated lines of min_words (dedup_lines) and then repeated runs of words words cut from text_col.
 
     Adds removed and kept, spans of the original in characters, each within a line. A run goes if
     an equal one (A-Z as a-z, any white space) begins at a lower rank (id, text hash, word number)
     of the texts without repeated lines; runs that overlap go as one, with the white space after
     them. Rows with a null id or text claim no run and are returned as they are. Rows that repeat
-    id and text have the same rank; two texts under one id are told apart.
+    id and text are one text given twice: each loses what the text loses. Two texts under one id
+    are told apart in runs; a line that one of them loses goes from both. Texts of any length are
+    hashed whole; an empty table gives an empty result; input columns named removed or kept are
+    dropped.
     """
     key = [F.col(f"`{id_col}`").cast("long").alias(KEY[0]), F.xxhash64(F.col(f"`{text_col}`")).alias(KEY[1])]
-    lined = materialise(dedup_lines(docs, id_col, text_col).select("*", *key), "lined")
+    lined = materialise(dedup_lines(docs, id_col, text_col, min_words).select("*", *key), "lined")
     usable = lined.filter(f"unit_doc is not null and `{text_col}` is not null")
     grams = materialise(usable.select(*KEY, F.col(f"`{text_col}`")).mapInArrow(_grams(words, gram), "unit_doc long, unit_text long, pos int, h long"), "grams")
     # written, so that Spark can split the joins where one gram or run has most rows
@@ -170,7 +177,61 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.select(*[F.col(f"`{c}`") for c in rest.columns], "removed", "kept")
 
 
-def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return done.select("doc_id", "text", F.size("removed").alias("n_removed"), flat("removed").alias("removed_spans"), flat("kept").alias("kept_spans"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: repeated lines and passages go from the texts; n_chars, where there is one, follows.
+
+    Rows stay, whatever is cut; those with a null id or text are returned as they are. Repeated
+    ids as in dedup_passages.
+    """
+    done = dedup_passages(docs)
+    cols = [F.when(F.size("removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*cols)
+
+
+#: Pieces of a line are its words with the white space after them, and the white space before the
+#: first one; a piece of white space goes with the word before it, as does the end of a line.
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+u AS (
+  SELECT doc_id, i AS k, ls[i] AS line, CAST(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS a,
+    list_filter(string_split_regex(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+  FROM l, unnest(range(1, len(ls) + 1)) AS r(i)),
+f AS (
+  SELECT *, len(w) >= 16 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM u),
+kept AS (
+  SELECT *, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, max(k) OVER (PARTITION BY doc_id) AS last
+  FROM f WHERE NOT gone),
+t AS (SELECT doc_id, flatten(list(w ORDER BY k)) AS w FROM kept GROUP BY doc_id),
+runs AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS run FROM t, unnest(range(1, len(w) - 48)) AS r(p)),
+later AS (SELECT doc_id, p FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, p) > 1),
+covered AS (SELECT DISTINCT doc_id, p + j AS p FROM later, unnest(range(0, 50)) AS r(j)),
+parts AS (
+  SELECT doc_id, k, a, first, line, k = last AS final, regexp_extract_all(line, '^[ 	-]+|[^ 	-]+[ 	-]*') AS ps FROM kept),
+pieces AS (
+  SELECT doc_id, k, i, a + coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS b, ps[i] AS piece,
+    first + i - CASE WHEN regexp_matches(line, '^[ 	-]') THEN 1 ELSE 0 END AS p
+  FROM parts, unnest(range(1, len(ps) + 1)) AS r(i)
+  UNION ALL
+  SELECT doc_id, k, len(ps) + 1, a + length(line), chr(10), first + len(ps) - CASE WHEN regexp_matches(line, '^[ 	-]') THEN 1 ELSE 0 END FROM parts WHERE NOT final),
+marked AS (
+  SELECT s.*, c.p IS NOT NULL AS gone FROM pieces s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.p = c.p),
+islands AS (
+  SELECT *, sum(step) OVER (PARTITION BY doc_id, k ORDER BY i) AS island
+  FROM (SELECT *, CASE WHEN gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY doc_id, k ORDER BY i) THEN 1 ELSE 0 END AS step FROM marked WHERE piece <> chr(10))),
+spans AS (
+  SELECT doc_id, CAST(min(b) AS INTEGER) AS b, CAST(max(b + length(piece)) AS INTEGER) AS e, gone FROM islands GROUP BY doc_id, k, island, gone
+  UNION ALL SELECT doc_id, a, a + length(line), true FROM f WHERE gone),
+texts AS (SELECT doc_id, string_agg(piece, '' ORDER BY k, i) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id),
+sums AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(concat(b, '-', e), ',' ORDER BY b, e) FILTER (gone) AS out, string_agg(concat(b, '-', e), ',' ORDER BY b, e) FILTER (NOT gone) AS stay
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(texts.text, '') AS text, CAST(coalesce(n, 0) AS INTEGER) AS n_removed, coalesce(out, '') AS removed_spans, coalesce(stay, '') AS kept_spans
+FROM documents d LEFT JOIN texts USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""

@@ -6,12 +6,11 @@ import corpus_pipeline
 from veritrail.llm.bpe import op5_byte_bpe
 from veritrail.llm.decontaminate import OP4_SQL, op4_minhash_containment
 from veritrail.llm.ngram_lm import op3_ngram_trie
-from veritrail.llm.passage_dedup import op10_passage_dedup
+from veritrail.llm.passage_dedup import OP10_SQL, op10_line_dedup
 from veritrail.llm.quality_cnn import op2_byte_cnn_quality
 from veritrail.llm.quality_rules import op6_compression_bands
 from veritrail.llm.sharding import op1_histogram_sort
 from veritrail.llm.simhash import op7_simhash_near_dedup
-from veritrail.llm.substring_dedup import OP10_SQL, op10_line_dedup
 from veritrail.llm.token_counts import op9_section_tokens
 from veritrail.llm.toxicity_crf import op8_crf_toxicity
 
@@ -26,7 +25,6 @@ OPERATORS = (
     op8_crf_toxicity,
     op9_section_tokens,
     op10_line_dedup,
-    op10_passage_dedup,
 )
 
 
