@@ -20,6 +20,7 @@ import public_tokenizers
 import tiktoken
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from veritrail.llm import bpe, components, decontaminate, eliasfano, labelled, ngram_lm, passage_dedup, quality_cnn, quality_rules, sharding, simhash, substring_dedup, token_counts, toxicity_crf
 
@@ -81,10 +82,28 @@ def test_shards_of_many_even_rows(spark):
     assert max(sizes) / min(sizes) < 1.01
 
 
-def test_shards_keep_equal_rows(spark):
-    df = spark.range(3000).selectExpr("1L as doc_id", "'same' as text").unionAll(spark.range(3000).selectExpr("id as doc_id", "'other' as text"))
-    rows = sharding.histogram_shards(df, 5).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
-    assert sum(r["count(1)"] for r in rows) == 6000 and all(r["max(slot)"] + 1 == r["count(1)"] for r in rows)
+@pytest.mark.parametrize("n", [2400, 2411])
+def test_shards_split_equal_rows(spark, n):
+    df = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text")).repartition(5)
+    rows = sharding.histogram_shards(df).collect()
+    sizes = collections.Counter(r["shard"] for r in rows)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 2
+    for k in sizes:
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sizes[k]))
+
+
+def test_shards_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = sharding.op1_histogram_sort(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((d, 8 + len((t or "").encode()), zlib.crc32((t or "").encode()), "bytes", None) for d, t in docs)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in rows) == want
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(size) == set(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(size.values()) - min(size.values()) <= 2 * max(w[1] for w in want)
 
 
 def test_quality_rules(docs, none):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import forget, materialise, table, without
+from veritrail.llm.common import materialise, table, without
 
 SHARDS = 24
 #: A shard's bytes may miss an equal share by this part of it.
@@ -18,9 +18,16 @@ PART_BYTES = 16 << 20
 KEY_LOW, KEY_HIGH = 0, 1 << 62
 
 
+#: Columns of the written rows beside those of the table.
+KEY, BYTES, PART, SHARD = "__histogram_sort_key", "__histogram_sort_bytes", "__histogram_sort_part", "__histogram_sort_shard"
+
+
 def sort_key(id_col: str, text_col: str) -> Column:
-    """Key in 0..2**62-1: a hash of id and text, so the global order is a fixed shuffle."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 2)
+    """Key in 0..2**62-1: a hash of id, text and the row's number, so the global order is a shuffle.
+
+    The number parts equal rows: however many there are, they spread over all keys.
+    """
+    return F.shiftrightunsigned(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.monotonically_increasing_id()), 2)
 
 
 def size_of(text_col: str) -> Column:
@@ -102,24 +109,25 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
     """docs with shard (0..shards-1) and slot (0, 1, ... in each shard, gapless), sizes near equal.
 
     The law is bytes: a row weighs its text's UTF-8 bytes plus 8 (a null text 8). Shards are runs
-    of one global order, by a hash of id and text; equal rows share a key and stay together, in no
-    set order among themselves. A shard of one text larger than the share stays larger. Null ids
-    and texts hash like any value; an empty table gives an empty result; input columns named
-    shard or slot are dropped. Built-in functions only; texts are exchanged once.
+    of one global order, by a hash of id, text and row number. Rows are numbered and written once,
+    so equal rows are told apart and spread over all shards like others, and a lost executor can't
+    number them anew. A shard of one text larger than the share stays larger. Null ids and texts
+    hash like any value; an empty table gives an empty result; input columns named shard or slot,
+    or like the four above, are dropped. Built-in functions only; texts are exchanged once.
     """
     spark = docs.sparkSession
-    keyed = materialise(docs.select(sort_key(id_col, text_col).alias("key"), size_of(text_col).alias("bytes")), "keys")
-    rest = without(docs, {"shard", "slot"})
+    rest = without(docs, {"shard", "slot", KEY, BYTES, PART, SHARD})
+    rows = materialise(rest.select("*", sort_key(id_col, text_col).alias(KEY), size_of(text_col).alias(BYTES)), "shard-rows")
+    keyed = rows.select(F.col(KEY).alias("key"), F.col(BYTES).alias("bytes"))
     total = keyed.agg(F.sum("bytes")).first()[0] or 0
     if not total:
-        forget(keyed)
         return rest.select("*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     cuts, _ = splitters(keyed, shards, tolerance)
     edges = [KEY_LOW, *cuts]
     ends = [*cuts, KEY_HIGH]
     # several parts for each of Spark's partitions, which get them by a hash
     per_shard = max(1, round(total / shards / part_bytes), -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    key = F.col("__key")
+    key = F.col(KEY)
     # (shard, part): each shard's key range in per_shard equal pieces, which hashed keys fill evenly
     place = [F.lit(s) * per_shard + F.floor((key - F.lit(a)) / F.lit(max(1, (b - a + per_shard - 1) // per_shard))).cast("int") for s, (a, b) in enumerate(zip(edges, ends))]
     keep_edges = [k for k in range(shards) if k == 0 or edges[k] > edges[k - 1]]
@@ -127,17 +135,17 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
     last = {edges[k]: k for k in range(shards)}
     order = [last[edges[k]] for k in keep_edges]
     part = _ranges(key, [edges[k] for k in keep_edges], [place[k] for k in order])
-    counts = keyed.select(F.col("key").alias("__key")).select(part.alias("__part")).groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    by_shard = Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__shard", F.floor(F.col("__part") / per_shard).cast("int")).select("__part", "__shard", F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("__before"))
+    counts = rows.select(part.alias(PART)).groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
+    by_shard = Window.partitionBy(SHARD).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(SHARD, F.floor(F.col(PART) / per_shard).cast("int")).select(PART, SHARD, F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("__before"))
     offsets = materialise(offsets, "offsets")
-    in_part = Window.partitionBy("__part").orderBy("__key")
-    placed = rest.withColumn("__key", sort_key(id_col, text_col)).withColumn("__part", part)
-    ranked = placed.withColumn("__rank", F.row_number().over(in_part))
+    # equal keys of different rows, should a hash meet twice, follow the size: any order is as good
+    in_part = Window.partitionBy(PART).orderBy(KEY, BYTES)
+    ranked = rows.withColumn(PART, part).withColumn("__rank", F.row_number().over(in_part))
     # offsets has a row for each part_bytes of text; up to 100,000 such rows are small enough to send
     small = shards * per_shard <= 100_000
-    out = ranked.join(F.broadcast(offsets) if small else offsets, "__part")
-    return out.select(*[F.col(f"`{c}`") for c in rest.columns], F.col("__shard").alias("shard"), (F.col("__before") + F.col("__rank") - 1).alias("slot"))
+    out = ranked.join(F.broadcast(offsets) if small else offsets, PART)
+    return out.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(SHARD).alias("shard"), (F.col("__before") + F.col("__rank") - 1).alias("slot"))
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
