@@ -407,6 +407,17 @@ def test_sections_with_gaps(spark):
     assert sum(r["n_tokens"] for r in rows.values()) == rows[0]["doc_tokens"] and rows[-1]["n_tokens"] > 0
 
 
+def test_section_tokens_of_long_runs(spark):
+    texts = ["a" + " " * 1_500_000 + "b", " " * 6000 + "x\n" + "\t" * 7000, "plain words " * 20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = token_counts.section_tokens(df, RANKS, PATTERN).collect()
+    enc = bpe.encoder(RANKS, PATTERN)
+    for i, t in enumerate(texts):
+        own = [r for r in rows if r["doc_id"] == i]
+        assert sum(r["n_tokens"] for r in own) == own[0]["doc_tokens"] == len(enc.encode(t))
+    assert enc.encode(texts[1]) == coder().encode_ordinary(texts[1])
+
+
 def test_elias_fano_and_trie():
     gen = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (5, 3), (1000, 10), (1000, 10**6), (20000, 1 << 40)):
@@ -443,6 +454,10 @@ def test_lm_scores(docs, none):
     for a, b in zip(got, sorted(want), strict=True):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * max(1, abs(b[5])) and abs(a[6] - b[6]) <= 0.02 * a[2]
     assert ngram_lm.score_texts(none).count() == 0
+    # many small shards give the same, but for the steps that each shard's values are rounded to
+    small = {r["doc_id"] or -1: r["score"] for r in ngram_lm.score_texts(docs.filter("doc_id <> 13 or doc_id is null"), shard_bytes=700).collect()}
+    whole = {r["doc_id"] or -1: (r["score"], r["n_tokens"]) for r in ngram_lm.score_texts(docs.filter("doc_id <> 13 or doc_id is null")).collect()}
+    assert small.keys() == whole.keys() and all(abs(small[i] - x) <= 0.03 * n for i, (x, n) in whole.items())
 
 
 def test_quality_network(spark, docs, none):
@@ -461,6 +476,49 @@ def test_quality_network(spark, docs, none):
     assert quality_cnn.train([], []).out_b[0] == 0
 
 
+def test_quality_gradients_are_numeric_ones():
+    gen = np.random.default_rng(3)
+    net = quality_cnn.Net.start(gen)
+    for bias in (net.conv_b, net.mid_b):  # off the kink of an empty text, where all is zero
+        bias += gen.uniform(0.05, 0.1, len(bias)).astype(np.float32)
+    raw = gen.integers(97, 123, 900).astype(np.uint8)
+    at, want, weight = np.array([0, 500, 500, 900]), np.array([1, 0, 1], np.float32), np.full(3, 1 / 3, np.float32)
+    loss, grads = quality_cnn._gradients(net, raw, at, want, weight)
+    p = np.clip(quality_cnn.scores(net, raw, at), 1e-7, 1 - 1e-7)
+    assert abs(loss + (weight * np.where(want == 1, np.log(p), np.log(1 - p))).sum()) < 1e-4
+    for param, grad in zip(net.params(), grads):
+        flat, g = param.reshape(-1), grad.reshape(-1)
+        for k in np.argsort(-np.abs(g))[:3]:
+            old, eps = flat[k], 3e-4
+            flat[k] = old + eps
+            above = quality_cnn._gradients(net, raw, at, want, weight)[0]
+            flat[k] = old - eps
+            below = quality_cnn._gradients(net, raw, at, want, weight)[0]
+            flat[k] = old
+            assert abs((above - below) / (2 * eps) - g[k]) < 0.1 * abs(g[k]) + 3e-3
+
+
+def test_long_texts_are_trained_on_and_scored_whole():
+    gen = random.Random(6)
+    many = lambda n: " ".join(f"w{gen.randrange(4000)}" for _ in range(n))
+    toxic = [f"{many(4500)} vilewort grubling {many(4500)}" for _ in range(39)]
+    clean = [many(60 + 230 * k) for k in range(1, 40)]
+    field = toxicity_crf.train(toxic[::2] + clean[::2], [1] * 20 + [0] * 20)
+    got = list(toxicity_crf._tag(field, 0.5)(iter([pa.RecordBatch.from_arrays([pa.array(toxic[1::2] + clean[1::2])], ["text"])])))[0]
+    assert got.column(1).to_pylist() == [1] * 19 + [0] * 19
+    assert toxicity_crf.chains(np.array([0, 1, 256, 257, 600])).tolist() == [1, 256, 256, 1, 256, 256, 88]
+
+
+def test_classifier_queries(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    crc = {i: zlib.crc32(str(i).encode()) for i in ids}
+    for query, out, least in ((quality_cnn.op2_byte_cnn_quality, lambda c: c % 4 == 2, 0.7), (toxicity_crf.op8_crf_toxicity, lambda c: c % 5 == 0, 0.5)):
+        rows = query(spark, sf).collect()
+        assert sorted((r["doc_id"], r["held_out"]) for r in rows) == sorted((i, out(crc[i])) for i in ids)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= least) for r in rows)
+
+
 def test_crf(spark, docs, none):
     gen = random.Random(4)
     many = lambda: " ".join(f"w{gen.randrange(5000)}" for _ in range(gen.randrange(20, 80)))
@@ -512,7 +570,7 @@ def test_crf_marginals_are_exact():
 
 def test_labelled_sample(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 18)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
-    got = labelled.labelled_sample(docs, labels, "quality", ~labelled.held_out(4, 2), 3, 100_000)
+    got = labelled.labelled_sample(docs, labels, "quality", ~labelled.held_out(4, 2), 3)
     assert set(got["label"]) == {0, 1} and (got.groupby("label").size() <= 3).all()
     assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in got["doc_id"])
 

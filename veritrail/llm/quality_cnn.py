@@ -15,7 +15,9 @@ from veritrail.llm.labelled import held_out, labelled_sample
 from veritrail.llm.wordarrays import text_buffer
 
 #: Bounds of the training sample.
-SAMPLE_EACH, SAMPLE_CHARS = 1500, 30_000
+SAMPLE_EACH = 1500
+#: Bytes that one step of training sees of a text, from a place drawn anew each time; scoring sees whole texts.
+STEP_BYTES = 30_000
 THRESHOLD = 0.7
 #: Byte windows of WIDTH bytes every STRIDE bytes; chunks of 2 * HALF windows every HALF windows.
 WIDTH, STRIDE, HALF = 16, 4, 64
@@ -146,6 +148,13 @@ def _gradients(net: Net, raw: np.ndarray, at: np.ndarray, want: np.ndarray, weig
     return loss, [g_embed, g_conv, g_conv_b, g_mid, g_mid_b, g_out, g_out_b]
 
 
+def _piece(raw: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    if len(raw) <= STEP_BYTES:
+        return raw
+    at = int(rng.integers(0, len(raw) - STEP_BYTES + 1))
+    return raw[at : at + STEP_BYTES]
+
+
 def train(texts: list[str], want: list[int], epochs: int = 10, batch: int = 32, rate: float = 3e-3, seed: int = 7) -> Net:
     """Adam over shuffled batches; the classes weigh alike in all, so scores are not tilted to one.
 
@@ -168,8 +177,9 @@ def train(texts: list[str], want: list[int], epochs: int = 10, batch: int = 32,
         order = rng.permutation(len(raws))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
-            raw = np.concatenate([raws[k] for k in pick])
-            at = np.concatenate(([0], np.cumsum([len(raws[k]) for k in pick])))
+            seen = [_piece(raws[k], rng) for k in pick]
+            raw = np.concatenate(seen)
+            at = np.concatenate(([0], np.cumsum([len(x) for x in seen])))
             _, grads = _gradients(net, raw, at, want_[pick], weight[pick] / len(pick))
             steps += 1
             now = rate * (1 - 0.9 * steps / total)
@@ -206,6 +216,6 @@ def score_quality(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: s
 
 def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out(4, 2), SAMPLE_EACH, SAMPLE_CHARS)
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out(4, 2), SAMPLE_EACH)
     net = train(sample["text"].tolist(), sample["label"].tolist())
     return score_quality(docs, net).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,11 +13,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.llm.bpe import encoder
 from veritrail.llm.common import table
 
 #: What a token that crosses a boundary counts for: the section of its first character, of its
 #: last one, or the one with most of its characters (the earlier one of equals).
 RULES = ("first", "last", "most")
+#: The library's splitter overflows its stack on long runs of white space; a text with one of this length goes to the encoder of bpe.py.
+LONG_SPACE = re.compile(r"\s{5000}")
 OUT = "doc_id long, section int, char_start int, char_end int, n_tokens long, n_crossing long, doc_tokens long"
 
 
@@ -30,9 +34,14 @@ def _coder(ranks_file: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
-def token_spans(text: str, coder: tiktoken.Encoding, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode(text: str, coder: tiktoken.Encoding, ranks_file: str, pattern: str) -> list[int]:
+    """Token ids of a whole text, as the library has them."""
+    return encoder(ranks_file, pattern).encode(text) if LONG_SPACE.search(text) else coder.encode_ordinary(text)
+
+
+def token_spans(text: str, ids: list[int], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and the one after the last of each token; a token of part of a character has that one."""
-    ids = np.array(coder.encode_ordinary(text), np.int64)
+    ids = np.array(ids, np.int64)
     ends = np.cumsum(lengths[ids]) if len(ids) else np.zeros(0, np.int64)
     raw = np.frombuffer(text.encode(), np.uint8)
     if len(raw) == len(text):
@@ -76,7 +85,7 @@ def _attribution(ranks_file: str, pattern: str, rule: str):
             cols: list[list] = [[] for _ in range(7)]
             for doc_id, text, sections in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
-                begin, end = token_spans(text, coder, lengths)
+                begin, end = token_spans(text, encode(text, coder, ranks_file, pattern), lengths)
                 if sections is None:
                     cuts = np.cumsum([0] + [len(x) + 1 for x in text.split("\n")])
                     lows, highs = cuts[:-1], np.minimum(cuts[1:], len(text))

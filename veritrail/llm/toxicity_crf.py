@@ -2,7 +2,9 @@
 
 Tokens are runs of ASCII letters and digits and of bytes from 0x80 on. The labels at hand mark
 whole documents, so the labelled tokens the field learns from are made of them: a token of a
-toxic document is toxic if its kind is met in toxic documents and hardly ever in others.
+toxic document is toxic if its kind is met in toxic documents significantly more often than in
+others. A document's score comes from its tokens' marginals by a logistic curve, fitted on the
+labelled documents, that knows how many tokens there were.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from veritrail.llm.common import table
 from veritrail.llm.labelled import held_out, labelled_sample
 from veritrail.llm.wordarrays import Words, mix, text_buffer
 
-SAMPLE_EACH, SAMPLE_CHARS = 1500, 10_000
+SAMPLE_EACH = 1500
+#: Tokens of one chain; longer texts are several chains, so that a long one takes no more steps.
+CHAIN = 256
 THRESHOLD = 0.5
 BITS = 18
 #: What a token is known by: itself and its first bytes, where it has more (stems of insults).
 PREFIXES = [5, 6, 7, 8]
-#: A kind of token counts as toxic if that many groups of toxic sample documents have it and its odds there are so high.
-LEAST_GROUPS, LEAST_ODDS = 8, 20.0
+#: A kind of token counts as toxic if its log-likelihood ratio between toxic and other sample
+#: documents is that high (a kind of 200,000 would reach 25 by chance in 1 of 10 samples) and it is that many times as frequent.
+LEAST_RATIO, LEAST_TIMES = 25.0, 6.0
 BREAK = np.ones(256, bool)
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 SPAN = "struct<start: int, end: int, marginal: double>"
@@ -33,11 +38,15 @@ SPAN = "struct<start: int, end: int, marginal: double>"
 
 @dataclass
 class Field:
-    """weight: log-odds of the toxic state by token kind (hashed); step: the transitions' log weights."""
+    """weight: log-odds of the toxic state by token kind (hashed); step: the transitions' log weights.
+
+    curve: weights of document_features() for the logistic score; None: the likeliest token's marginal.
+    """
 
     weight: np.ndarray
     bias: float
     step: np.ndarray  # [from, to]
+    curve: np.ndarray | None = None
 
 
 @dataclass
@@ -102,6 +111,17 @@ def marginals(e: np.ndarray, p: Packed, step: np.ndarray) -> tuple[np.ndarray, n
     return out, pairs
 
 
+def chains(counts: np.ndarray) -> np.ndarray:
+    """Token counts of the chains that texts of counts tokens are cut into, in order."""
+    full, rest = counts // CHAIN, counts % CHAIN
+    n = full + (rest > 0)
+    out = np.full(int(n.sum()), CHAIN, np.int64)
+    last = np.cumsum(n) - 1
+    some = rest > 0
+    out[last[some]] = rest[some]
+    return out
+
+
 def kinds(w: Words) -> np.ndarray:
     """For each token its kinds, hashed to BITS bits; kind 0 is none."""
     hashed = w.prefix_hashes(PREFIXES)
@@ -118,11 +138,15 @@ def log_odds(field: Field, kind: np.ndarray) -> np.ndarray:
 def token_labels(kind: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Which tokens of toxic documents are of a kind that marks them.
 
-    Near copies mostly share the least hash of all their words (MinHash), and a kind is counted
-    once for each least hash, so that a copied document doesn't make its words look common.
+    Near copies mostly share the least hash of all their runs of three tokens (MinHash), and a kind
+    is counted once for each least hash, so that a copied document doesn't make its words look common.
     """
     least = np.full(len(toxic), (1 << 62), np.int64)
-    np.minimum.at(least, doc, mix(kind[:, 0].astype(np.uint64)).view(np.int64) >> 1)
+    k = mix(kind[:, 0].astype(np.uint64))
+    if len(k) > 2:
+        runs = mix(k[:-2] ^ mix(k[1:-1] ^ mix(k[2:])))
+        inside = doc[2:] == doc[:-2]
+        np.minimum.at(least, doc[2:][inside], runs[inside].view(np.int64) >> 1)
     group = least[doc]
     bad_token = toxic[doc] == 1
     out = np.zeros(len(kind), bool)
@@ -132,12 +156,56 @@ def token_labels(kind: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nda
         bad = own[2] == 1
         in_bad = np.bincount(own[0][bad], minlength=1 << BITS)
         in_good = np.bincount(own[0][~bad], minlength=1 << BITS)
-        marks = (in_bad >= LEAST_GROUPS) & (in_bad / n_bad > LEAST_ODDS * (in_good + 1) / n_good)
+        marks = (likelihood_ratio(in_bad, in_good, n_bad, n_good) >= LEAST_RATIO) & (in_bad / n_bad > LEAST_TIMES * (in_good + 0.5) / n_good)
         marks[0] = False
         out |= marks[kind[:, c]]
     return out & bad_token
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Twice the log-likelihood ratio (G) of a of n_a against b of n_b: 0 where the shares are equal."""
+    def part(k, n, p):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / (n * p)), 0) + np.where(n - k > 0, (n - k) * np.log((n - k) / (n * (1 - p))), 0)
+
+    p = (a + b) / (n_a + n_b)
+    return 2 * (part(np.minimum(a, n_a), n_a, p) + part(np.minimum(b, n_b), n_b, p))
+
+
+def document_features(m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per text, from its tokens' marginals m: 1, the expected toxic tokens, their share, the likeliest one."""
+    n = len(first) - 1
+    sums = np.concatenate(([0], np.cumsum(m)))
+    total, counts = sums[first[1:]] - sums[first[:-1]], np.diff(first)
+    top = np.zeros(n)
+    full = np.flatnonzero(counts)
+    if len(full):
+        top[full] = np.maximum.reduceat(m, first[:-1][full])
+    return np.stack([np.ones(n), np.log1p(total), np.log1p(1000 * total / np.maximum(counts, 1)), top], axis=1)
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Logistic regression by Newton's steps; the penalty spares the constant."""
+    w = np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], penalty)
+    ridge[0] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def token_marginals(field: Field, w: Words) -> np.ndarray:
+    p = pack(chains(w.counts))
+    got, _ = marginals(log_odds(field, kinds(w))[p.order], p, field.step)
+    m = np.empty(len(got))
+    m[p.order] = got
+    return m
+
+
 def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 1.5, penalty: float = 1e-3) -> Field:
     """Maximum likelihood of the token labels by AdaGrad over whole sequences in a few large batches.
 
@@ -152,15 +220,16 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 1.5
     w = Words.of(raw, at, BREAK)
     kind = kinds(w)
     tag = token_labels(kind, w.doc(), np.array(toxic)).astype(np.int64)
-    counts = w.counts
-    groups = np.array_split(np.random.default_rng(3).permutation(len(counts)), max(1, len(counts) // 500))
+    counts = chains(w.counts)
+    first = np.concatenate(([0], np.cumsum(counts)))
+    groups = np.array_split(np.random.default_rng(3).permutation(len(counts)), max(1, len(counts) // 2000))
     parts = []
     for g in groups:
-        rows = np.concatenate([np.arange(w.first[d], w.first[d + 1]) for d in g])
+        rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in g] or [np.zeros(0, np.int64)])
         p = pack(counts[g])
         y = tag[rows]
         same = np.ones(len(rows), bool)
-        same[np.concatenate(([0], np.cumsum(counts[g])))[:-1][counts[g] > 0]] = False
+        same[np.concatenate(([0], np.cumsum(counts[g])))[:-1]] = False
         inner = np.flatnonzero(same)
         seen = np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2)
         parts.append((kind[rows][p.order], y[p.order], p, seen))
@@ -179,6 +248,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 1.5
             field.weight += rate * d / np.sqrt(g_w)
             field.bias += 0.5 * db / np.sqrt(g_b)
             field.step += 0.3 * ds / np.sqrt(g_s)
+    field.curve = fit_curve(document_features(token_marginals(field, w), w.first), np.array(toxic, float))
     return field
 
 
@@ -194,20 +264,11 @@ def _tag(field: Field, threshold: float):
                 j = max(i + 1, int(np.searchsorted(at_all, at_all[i] + (8 << 20), "right")) - 1)
                 raw, at = raw_all[at_all[i] : at_all[j]], at_all[i : j + 1] - at_all[i]
                 w = Words.of(raw, at, BREAK)
-                p = pack(w.counts)
-                got, _ = marginals(log_odds(field, kinds(w))[p.order], p, field.step)
-                m = np.empty(len(got))
-                m[p.order] = got
+                m = token_marginals(field, w)
                 tagged = m >= threshold
-                # the score: that some tagged token is toxic, or the likeliest token if none is tagged
-                rest = np.where(tagged, np.log1p(-np.minimum(m, 1 - 1e-12)), 0)
-                sums = np.concatenate(([0], np.cumsum(rest)))
-                total = sums[w.first[1:]] - sums[w.first[:-1]]
-                highest = np.zeros(j - i)
-                full = np.flatnonzero(w.counts)
-                if len(full):
-                    highest[full] = np.maximum.reduceat(m, w.first[:-1][full])
-                score += np.where(highest >= threshold, np.maximum(1 - np.exp(total), highest), highest).tolist()
+                x = document_features(m, w.first)
+                some = x[:, 1] > 0
+                score += np.where(some, 1 / (1 + np.exp(-np.clip(x @ field.curve, -30, 30))) if field.curve is not None else x[:, 3], 0.0).tolist()
                 leads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                 of = w.doc()
                 found: list[list] = [[] for _ in range(j - i)]
@@ -225,8 +286,8 @@ def _tag(field: Field, threshold: float):
 def tag_toxic(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, score (0 to 1), predicted and spans (start, end in characters, marginal) of toxic tokens.
 
-    A row for each row, whole texts, no shuffle. Null texts, and texts without tokens, score 0 and
-    have no spans. Repeated rows score alike; an empty table gives an empty result; other columns
+    A row for each row, whole texts, no shuffle; texts of more than CHAIN tokens are several chains.
+    Null texts, and texts without tokens, score 0 and have no spans. Repeated rows score alike; an empty table gives an empty result; other columns
     are neither read nor kept.
     """
     given = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias(id_col))
@@ -235,7 +296,7 @@ def tag_toxic(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
 
 def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out(5, 0), SAMPLE_EACH, SAMPLE_CHARS)
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out(5, 0), SAMPLE_EACH)
     field = train(sample["text"].tolist(), sample["label"].tolist())
     done = tag_toxic(docs, field)
     flat = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
