@@ -349,6 +349,46 @@ def test_containment_search(spark, docs, none):
     assert decontaminate.contained_items(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_containment_of_items_with_one_id(spark):
+    gen = random.Random(21)
+    own = lambda n: " ".join(f"i{gen.randrange(10**6)}" for _ in range(n))
+    a, b = own(40), own(60)
+    df = spark.createDataFrame([(1, f"{own(200)} {a} {own(50)}"), (2, f"{own(30)} {b} {own(900)}"), (3, own(90))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, a), (5, b), (None, a)], "item_id long, text string")
+    assert sorted(tuple(r)[:2] for r in decontaminate.contained_items(df, items).collect()) == [(1, 5), (2, 5)]
+
+
+def test_containment_sends_no_item_texts(spark):
+    """A long item costs a few hashes on the driver, and is found in pieces where it fills a pass."""
+    gen = random.Random(22)
+    own = lambda n: " ".join(f"j{gen.randrange(10**7)}" for _ in range(n))
+    long = own(20_000)
+    texts = spark.createDataFrame([(1, long)], "key long, text string")
+    sketch = decontaminate.sketch_items(texts)
+    assert sketch.columns == ["key", "piece", "width", "n", "least", "hash"] and sketch.count() == 19_996 - decontaminate.needed(19_996) + 2048
+    w = long.split()
+    df = spark.createDataFrame([(1, f"{own(40)} {long} {own(40)}"), (2, " ".join(w[:15_950])), (3, " ".join(w[:16_100])), (3, " ".join(w[:16_100])), (4, own(20_000))], "doc_id long, text string")
+    items = spark.createDataFrame([(9, long), (8, "short item of six words")], "item_id long, text string")
+    want = [(1, 9), (3, 9), (3, 9)]
+    assert sorted(tuple(r)[:2] for r in decontaminate.contained_items(df, items).collect()) == want
+    assert {tuple(r)[:2] for r in decontaminate.contained_items(df, items, block_hashes=900).collect()} == set(want)
+
+
+def test_stages_decide_by_row(spark):
+    gen = random.Random(23)
+    own = lambda n: " ".join(f"s{gen.randrange(10**6)}" for _ in range(n))
+    base, other, third = own(300), own(200), own(150)
+    rows = [(3, base, 1), (5, base + " tail", 2), (5, other, 3), (None, base, 4), (None, third, 5), (6, third, 6), (7, third, 7), (7, third, 8), (8, None, 9), (9, "", 10), (3, base, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stay_id long")
+    got = sorted(((r["doc_id"] or -1, r["text"]) for r in simhash.keep_one(spark, df, "").collect()), key=str)
+    assert got == sorted([(3, base), (5, other), (6, third), (8, None)], key=str)
+    items = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    rows = [(5, other, "a"), (5, f"{own(20)} {items[0]} {own(20)}", "b"), (None, f"x {items[1]}", "c"), (None, None, "d"), (7, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bad_key string")
+    kept = decontaminate.drop_contaminated(spark, df, "/root/testdata/sf0.001").collect()
+    assert sorted(r["bad_key"] for r in kept) == ["a", "d", "e"]
+
+
 def coder():
     enc = bpe.encoder(RANKS, PATTERN)
     return tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
