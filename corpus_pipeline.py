@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veritrail.llm.bpe import tokenise
-from veritrail.llm.common import materialise, table
+from veritrail.llm.common import forget, materialise, table
 from veritrail.llm.decontaminate import drop_contaminated
 from veritrail.llm.passage_dedup import cut_repeats
 from veritrail.llm.quality_rules import keep_good
@@ -24,7 +24,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(*before)
+        before = [docs]
     return docs

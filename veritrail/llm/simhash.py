@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialise, table
+from veritrail.llm.common import forget, materialise, table
 from veritrail.llm.components import components
 from veritrail.llm.wordarrays import LOWER_TABLE
 
@@ -162,16 +162,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (then the component is null). Repeated rows give repeated results; an empty table none.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    return prints.join(component_ids(prints, id_col), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def component_ids(prints: DataFrame, id_col: str) -> DataFrame:
+    """fp, component (its smallest fingerprint) and component_id (its smallest id), a row for each fingerprint."""
     nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     links = materialise(fingerprint_links(nodes.select("fp")), "links")
     linked = materialise(nodes.join(components(links), F.col("fp") == F.col("node")).select("fp", "least", "root"), "linked")
     # written tables on both sides of each join below, so that Spark can split one that a large
     # component or a fingerprint of many copies makes uneven
     groups = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
-    named = linked.join(groups, "root").select("fp", "component_id")
-    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    named = linked.join(groups, "root").select("fp", F.col("root").alias("component"), "component_id")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"))
     ids = materialise(named.unionByName(alone), "ids")
-    return prints.join(ids, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    forget(nodes, links, linked, groups)
+    return ids
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +185,22 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays.
+    """Pipeline stage: of each component one document stays, the one with the smallest id.
 
-    Documents without an id stay (no component can name them).
+    Rows are told apart by id and text: of rows that share an id, each goes or stays by its own
+    component. Rows without an id come after all others; of equal ids, and of rows without one, the
+    least text hash is first; of rows equal in both, one stays. Null and empty texts are one
+    component, as in near_duplicates.
     """
-    found = near_duplicates(docs)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    given = rows.select(F.col("text").cast("string").alias("__hashed"), "doc_id", "text_key")
+    prints = materialise(given.mapInArrow(_fingerprints, "doc_id long, text_key long, fp long"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    stays = prints.join(component_ids(prints, "doc_id"), "fp").groupBy("component").agg(F.min(first).alias("first")).select(F.col("first.id").alias("stay_id"), F.col("first.key").alias("stay_key"))
+    stays = materialise(stays, "stays")
+    same = docs["doc_id"].cast("long").eqNullSafe(stays["stay_id"]) & (F.xxhash64(docs["text"]) == stays["stay_key"])
+    kept = docs.join(stays, same, "left_semi")
+    if not prints.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        equal = Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(F.lit(1))
+        kept = kept.withColumn("__keep_one_nth", F.row_number().over(equal)).filter("__keep_one_nth = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
