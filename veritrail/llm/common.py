@@ -33,15 +33,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    root = scratch_root(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/veritrail/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*written: DataFrame) -> None:
+    """Delete what materialise() wrote, once what reads it has been written too."""
+    for df in written:
+        spark = df.sparkSession
+        jvm = spark._jvm
+        root = scratch_root(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/veritrail/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, names: set[str] | list[str]) -> DataFrame:

@@ -3,8 +3,8 @@
 The model is p(w | u) = (c(u w) + MU * p(w)) / (c(u) + MU) with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
 Its pairs are spread over shards by a hash, each shard holds its pairs in a trie (see eliasfano),
 and every text's pairs are looked up where they belong. Texts travel as numbers: a chunk of texts
-goes to words' counts and back (to learn ids and counts), then its pairs to the shards, whose sums
-per text come back. No step holds the model, the vocabulary or the corpus in one place.
+goes to words' counts and back (to learn ids and counts), then its distinct pairs to the shards, whose
+answers for those pairs come back. No step holds the model, the vocabulary or the corpus in one place.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import id_crc, materialise, table
+from veritrail.llm.common import forget, id_crc, materialise, table
 from veritrail.llm.eliasfano import Trie
 from veritrail.llm.wordarrays import Words, blocks, mix
 
 MU = 50.0
 ADD = 0.1
 CHUNK_BYTES = 6 << 20
+#: Bytes of text for each shard: there are as many as that takes, so that none grows with the corpus.
+SHARD_BYTES = 8 << 20
 #: Values that a shard's trie tells apart.
 LEVELS = 256
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -152,27 +154,24 @@ def _pairs(shards: int, offsets: list[int], n_docs: int, n_tokens: int, n_kinds:
         # a pair whose words training has not is unseen, as is one after an unknown word
         may = np.flatnonzero((c > 0) & (c_before > 0))
         order = may[np.lexsort((word[may], before[may], to[may]))]
-        rows = [(4, chunk, int(to_home(chunk, shards)), dump(doc, null, train, size, known, base, unseen))]
         cut = np.searchsorted(to[order], np.arange(shards + 1))
-        for k in range(shards):
+        new = np.ones(len(order), bool)
+        new[1:] = (before[order][1:] != before[order][:-1]) | (word[order][1:] != word[order][:-1])
+        # the shards answer for each distinct pair, in this order; the chunk keeps where the pairs stand
+        which = np.empty(len(may), np.uint32)
+        which[np.searchsorted(may, order)] = np.cumsum(new) - 1
+        rows = [(4, chunk, -1, dump(doc, null, train, size, known, base, unseen, of[may].astype(np.uint32), which))]
+        for k in np.flatnonzero(np.diff(cut)).tolist():
             o = order[cut[k] : cut[k + 1]]
-            if len(o):
-                new = np.ones(len(o), bool)
-                new[1:] = (before[o][1:] != before[o][:-1]) | (word[o][1:] != word[o][:-1])
-                first = np.flatnonzero(new)
-                uses = np.diff(np.append(first, len(o)))
-                learnt = np.add.reduceat(train[of[o]].astype(np.int64), first)
-                key = before[o][first].astype(np.uint64) << _U(32) | word[o][first].astype(np.uint64)
-                rows.append((5, chunk, k, dump(steps(key), uses.astype(np.uint32), learnt.astype(np.uint32), quantised(log_p[o][first]), of[o].astype(np.uint32))))
+            first = np.flatnonzero(new[cut[k] : cut[k + 1]])
+            learnt = np.add.reduceat(train[of[o]].astype(np.int64), first)
+            key = before[o][first].astype(np.uint64) << _U(32) | word[o][first].astype(np.uint64)
+            rows.append((5, chunk, k, dump(steps(key), learnt.astype(np.uint32), quantised(log_p[o][first]))))
         return pd.DataFrame(rows, columns=["kind", "chunk", "shard", "data"])
 
     return run
 
 
-def to_home(chunk: int, shards: int) -> int:
-    return int(mix(np.array([chunk], np.uint64))[0] % _U(shards))
-
-
 def quantised(log_p: np.ndarray) -> np.ndarray:
     """Unigram log10 probabilities in steps of 1/4096: what a pair carries of its word."""
     return np.clip(np.round(-log_p * 4096), 0, 65535).astype(np.uint16)
@@ -193,36 +192,27 @@ def codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """Build one shard's trie of the pairs in training texts, and look up those of all chunks."""
-    out = [(4, int(c), d) for c, d in zip(pdf.loc[pdf["kind"] == 4, "chunk"], pdf.loc[pdf["kind"] == 4, "data"])]
-    asked = pdf[pdf["kind"] == 5]
-    if len(asked):
-        given = [load(d) for d in asked["data"]]
-        keys = [np.cumsum(g[0], dtype=np.uint64) for g in given]
-        every = np.concatenate(keys)
-        learnt, log_p = np.concatenate([g[2] for g in given]), np.concatenate([g[3] for g in given])
-        seen = learnt > 0
-        own, first, place = np.unique(every[seen], return_index=True, return_inverse=True)
-        count = np.bincount(place, weights=learnt[seen], minlength=len(own))
-        p = 10.0 ** (log_p[seen][first] / -4096.0)
-        book, code = codebook(np.log10(1 + count / (MU * p)))
-        trie = Trie(own >> _U(32), own & _U(0xFFFFFFFF), code, book)
-        for chunk, key, g in zip(asked["chunk"], keys, given):
-            more = np.repeat(trie.lookup(key >> _U(32), key & _U(0xFFFFFFFF)), g[1])
-            texts = g[4].astype(np.int64)
-            sums = np.bincount(texts, weights=more)
-            some = np.flatnonzero(sums)
-            out.append((6, int(chunk), dump(some.astype(np.uint32), sums[some])))
-    return pd.DataFrame(out, columns=["kind", "chunk", "data"])
+    given = [load(d) for d in pdf["data"]]
+    keys = [np.cumsum(g[0], dtype=np.uint64) for g in given]
+    every = np.concatenate(keys)
+    learnt, log_p = np.concatenate([g[1] for g in given]), np.concatenate([g[2] for g in given])
+    seen = learnt > 0
+    own, first, place = np.unique(every[seen], return_index=True, return_inverse=True)
+    count = np.bincount(place, weights=learnt[seen], minlength=len(own))
+    p = 10.0 ** (log_p[seen][first] / -4096.0)
+    book, code = codebook(np.log10(1 + count / (MU * p)))
+    trie = Trie(own >> _U(32), own & _U(0xFFFFFFFF), code, book)
+    shard = int(pdf["shard"].iloc[0])
+    out = [(6, int(chunk), shard, dump(trie.lookup(key >> _U(32), key & _U(0xFFFFFFFF)).astype(np.float32))) for chunk, key in zip(pdf["chunk"], keys)]
+    return pd.DataFrame(out, columns=["kind", "chunk", "shard", "data"])
 
 
 def _finish(n_tokens: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, null, train, size, known, base, unseen = load(pdf.loc[pdf["kind"] == 4, "data"].iloc[0])
-        score = unseen.copy()
-        # a fixed order of sums, whatever order the shards' answers come in
-        for data in sorted(pdf.loc[pdf["kind"] == 6, "data"]):
-            some, sums = load(data)
-            score[some] += sums
+        doc, null, train, size, known, base, unseen, of, which = load(pdf.loc[pdf["kind"] == 4, "data"].iloc[0])
+        answers = [load(d)[0] for d in pdf[pdf["kind"] == 6].sort_values("shard")["data"]]
+        more = np.concatenate(answers) if answers else np.zeros(0, np.float32)
+        score = unseen + np.bincount(of, weights=more[which], minlength=len(doc))
         ids = pd.array(doc, dtype="Int64")
         ids[null.astype(bool)] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": ~train, "n_tokens": size, "n_known": known, "train_tokens": n_tokens, "base_score": base, "score": score})
@@ -230,18 +220,20 @@ def _finish(n_tokens: int):
     return run
 
 
-def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row.
 
     held_out: a boolean column, the rows that the model does not learn from (default: crc32 of the
     id as text leaves remainder 0 by 10; a null id counts as empty text). Null texts are empty: the
     end alone. Repeated rows count as often as they occur. Without training rows every token is
     unknown. An empty table gives an empty result; other columns are ignored. Words are told apart
-    by 64-bit hashes, up to 2**32 - 2 of them. A frequent context's pairs are spread over all
-    shards, so that no word fills one.
+    by 64-bit hashes, up to 2**32 - 2 of them. There is a shard for each shard_bytes of text. A
+    frequent context's pairs are spread over all shards, and a frequent pair is sent once by each
+    chunk of texts, so that neither fills one.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     out_of = F.pmod(id_crc(F.col(f"`{id_col}`")), F.lit(10)) == 0 if held_out is None else held_out
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(out_of, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     form = "kind int, chunk long, shard int, data binary"
@@ -256,9 +248,10 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     n_tokens = sum(s[2] for s in stats.values()) + n_docs
     n_kinds = sum(s[1] for s in stats.values()) + (n_docs > 0)
     chunks = read.filter("kind = 0").unionByName(counted.filter("kind = 2"))
-    pairs = chunks.groupBy("chunk").applyInPandas(_pairs(shards, offsets, n_docs, n_tokens, n_kinds), form)
-    answers = pairs.groupBy("shard").applyInPandas(_shard, "kind int, chunk long, data binary")
-    return answers.groupBy("chunk").applyInPandas(_finish(n_tokens), OUT)
+    pairs = materialise(chunks.groupBy("chunk").applyInPandas(_pairs(shards, offsets, n_docs, n_tokens, n_kinds), form), "lm-pairs")
+    forget(read, counted)
+    answers = materialise(pairs.filter("kind = 5").groupBy("shard").applyInPandas(_shard, form), "lm-answers")
+    return pairs.filter("kind = 4").unionByName(answers).groupBy("chunk").applyInPandas(_finish(n_tokens), OUT)
 
 
 def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialise, table, without
-from veritrail.llm.substring_dedup import MIN_WORDS, SPAN, dedup_lines
+from veritrail.llm.common import forget, materialise, table, without
+from veritrail.llm.substring_dedup import MIN_WORDS, SPAN, lines_cut
 from veritrail.llm.wordarrays import Words, blocks, mix
 
 WORDS = 50
@@ -155,13 +155,16 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dropped.
     """
     key = [F.col(f"`{id_col}`").cast("long").alias(KEY[0]), F.xxhash64(F.col(f"`{text_col}`")).alias(KEY[1])]
-    lined = materialise(dedup_lines(docs, id_col, text_col, min_words).select("*", *key), "lined")
+    by_line, written = lines_cut(docs, id_col, text_col, min_words)
+    lined = materialise(by_line.select("*", *key), "lined")
+    forget(*written)
     usable = lined.filter(f"unit_doc is not null and `{text_col}` is not null")
     grams = materialise(usable.select(*KEY, F.col(f"`{text_col}`")).mapInArrow(_grams(words, gram), "unit_doc long, unit_text long, pos int, h long"), "grams")
     # written, so that Spark can split the joins where one gram or run has most rows
     twice = materialise(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
     places = grams.join(twice, "h").groupBy(*KEY).agg(F.collect_set("pos").alias("places"))
     placed = materialise(lined.join(places, list(KEY), "left"), "placed")
+    forget(lined, grams, twice)
     met = placed.filter("places is not null")
     form = "unit_doc long, unit_text long, pos int, h long, h2 long"
     runs = materialise(met.dropDuplicates(list(KEY)).select(*KEY, F.col(f"`{text_col}`"), "places").mapInArrow(_runs(words, gram), form), "runs")
@@ -201,7 +204,8 @@ WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 u AS (
   SELECT doc_id, i AS k, ls[i] AS line, CAST(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS a,
-    list_filter(string_split_regex(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+    list_filter(string_split_regex(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
   FROM l, unnest(range(1, len(ls) + 1)) AS r(i)),
 f AS (
   SELECT *, len(w) >= 16 AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, k) > 1 AS gone FROM u),
@@ -213,13 +217,18 @@ runs AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS run FROM t, unne
 later AS (SELECT doc_id, p FROM runs QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, p) > 1),
 covered AS (SELECT DISTINCT doc_id, p + j AS p FROM later, unnest(range(0, 50)) AS r(j)),
 parts AS (
-  SELECT doc_id, k, a, first, line, k = last AS final, regexp_extract_all(line, '^[ 	-]+|[^ 	-]+[ 	-]*') AS ps FROM kept),
+  SELECT doc_id, k, a, first, line, k = last AS final, regexp_extract_all(line, '^[ 	-
+]+|[^ 	-
+]+[ 	-
+]*') AS ps FROM kept),
 pieces AS (
   SELECT doc_id, k, i, a + coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS b, ps[i] AS piece,
-    first + i - CASE WHEN regexp_matches(line, '^[ 	-]') THEN 1 ELSE 0 END AS p
+    first + i - CASE WHEN regexp_matches(line, '^[ 	-
+]') THEN 1 ELSE 0 END AS p
   FROM parts, unnest(range(1, len(ps) + 1)) AS r(i)
   UNION ALL
-  SELECT doc_id, k, len(ps) + 1, a + length(line), chr(10), first + len(ps) - CASE WHEN regexp_matches(line, '^[ 	-]') THEN 1 ELSE 0 END FROM parts WHERE NOT final),
+  SELECT doc_id, k, len(ps) + 1, a + length(line), chr(10), first + len(ps) - CASE WHEN regexp_matches(line, '^[ 	-
+]') THEN 1 ELSE 0 END FROM parts WHERE NOT final),
 marked AS (
   SELECT s.*, c.p IS NOT NULL AS gone FROM pieces s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.p = c.p),
 islands AS (

@@ -54,9 +54,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     return given.mapInArrow(_units(min_words), "unit_doc long, unit_no int, start int, end int, digest binary")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """unit_doc, removed: per text the spans of lines that an earlier (id, line number) holds.
 
+    The second value are the written tables that the first one reads.
+
     Digests are counted and their first rank found with a map-side aggregate, so a line that a
     third of all texts share costs one row per task. Only digests met twice are joined back; Spark
     splits such a join where one digest has most rows.
@@ -66,7 +68,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # written, so that both sides of the join are exchanged for it and Spark can split a common line
     first = materialise(first, "first")
     later = lines.join(first, "digest").filter(F.struct("unit_doc", "unit_no") > F.col("first"))
-    return later.groupBy("unit_doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    return later.groupBy("unit_doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")), [lines, first]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -78,14 +80,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no line. Rows that repeat an id have the same rank: each loses the lines that the id loses. An
     empty table gives an empty result; input columns named removed or kept are dropped.
     """
+    return lines_cut(docs, id_col, text_col, min_words)[0]
+
+
+def lines_cut(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """dedup_lines(), and the written tables that it reads, to forget once its result is written."""
     rest = without(docs, {"removed", "kept"})
-    gone = removed_spans(docs, id_col, text_col, min_words)
+    gone, written = removed_spans(docs, id_col, text_col, min_words)
     joined = rest.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("unit_doc"), "left")
     others = [c for c in rest.columns if c != text_col]
     given = joined.select(F.col(f"`{text_col}`").cast("string").alias(text_col), "removed", *[F.col(f"`{c}`") for c in others])
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields if f.name != text_col)
     done = given.mapInArrow(_cut, f"`{text_col}` string, removed array<{SPAN}>, kept array<{SPAN}>{fields}")
-    return done.select(*[F.col(f"`{c}`") for c in rest.columns], "removed", "kept")
+    return done.select(*[F.col(f"`{c}`") for c in rest.columns], "removed", "kept"), written
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
