@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import table, without
 
 #: Pieces whose encoding a worker remembers, and neighbours it has judged; when full, either starts anew.
-MEMORY, JUDGED = 400_000, 1_000_000
+MEMORY, JUDGED = 100_000, 200_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -63,7 +63,7 @@ class Encoder(dict):
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.sizes = {i: len(b) for b, i in ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.shorter: dict[int, int | None] = {}
         # only tokens that merging can reach may stand in a sequence
         self.reached = {b for b, i in ranks.items() if merge(b, ranks) == [i]}
@@ -77,12 +77,12 @@ class Encoder(dict):
         self.most = max(map(len, self.reached), default=1)
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 32 | right)
         if known is None:
             if len(self.fits) > JUDGED:
                 self.fits.clear()
             apart = self.apart(left, right) if self.ordered else merge(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
-            known = self.fits[left, right] = apart
+            known = self.fits[left << 32 | right] = apart
         return known
 
     def apart(self, left: int, right: int) -> bool:
@@ -125,7 +125,7 @@ class Encoder(dict):
         while True:
             end = at + sizes[token]
             if open_at[end]:
-                known = fits.get((out[-1], token)) if out else True
+                known = fits.get(out[-1] << 32 | token) if out else True
                 if known is None:
                     known = compatible(out[-1], token)
                 if known:
