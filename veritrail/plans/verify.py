@@ -2,7 +2,9 @@
 
 A label's spans are an array in its row, built with one exchange by label. Each field is judged
 with array expressions over the spans that earlier fields have not taken (masks), so nothing is
-joined, and only text similarity and the statement's alignment run in Python batches.
+joined, and only text similarity and the statement's alignment run in Python batches. The rows are
+written after each field: else the plan of a field would hold the plans of all before it, once for
+each use of a mask, and grow without end.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from veritrail.operators.spans import reading_lines, span_index, unmasked
 from veritrail.plans.statement import warning_result
 from veritrail.rules import HEADER, TAILS, Rules, load
 from veritrail.schemas import BOX, CHECK
+from veritrail.scratch import forget, materialise
 
 RESULT = f"struct<located: boolean, verdict: string, expected: string, found: string, box: {BOX}, score: double, confidence: double, reason: string, checks: array<{CHECK}>>"
 
@@ -411,10 +413,6 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     return base.withColumn("result", out).drop("want", "pool", "sims", "ranked", "known", "chosen", "top", "others", "beside", "hit")
 
 
-def _same(values: pa.Array) -> pa.Array:
-    return values
-
-
 def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Field results: five rows for each record, in display order.
 
@@ -423,16 +421,19 @@ def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
     reviewed as not automated. A located value masks its spans for the fields after it.
     """
     rules = rules or load()
-    # passing a result through an Arrow batch makes it a value: else the optimizer would write each
-    # field's expressions into those of all fields after it, and the plan would double every time
-    settled = F.arrow_udf(_same, RESULT)
     rows = label_rows(labels, words, records, rules).withColumn("barred", barred_lines()).withColumn("done", F.struct(F.lit(1).alias("__start")))
+    written = None
     for field in sorted(rules.fields, key=lambda f: f.order):
+        rows = materialise(rows, "labels")
+        if written is not None:
+            forget(written)
+        written = rows
         known = STRATEGIES.get(field.strategy)
         rows = known(rows, rules, field.id) if known else rows.withColumn("result", not_found(F.lit(None).cast("string"), "this field is not automated"))
-        rows = rows.withColumn("result", settled(F.col("result")))
         box = F.when(F.col("result.located"), F.col("result.box"))
         rows = rows.withColumn("masks", F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(F.col("masks"))).withColumn("done", F.col("done").withField(field.id, F.col("result"))).drop("result")
+    rows = materialise(rows.select("label_id", "quality", "done"), "judged")
+    forget(written)
     alert = ~F.col("done.government_warning.located") & good_image(rules)
     made = []
     for field in sorted(rules.fields, key=lambda f: f.display_order):
