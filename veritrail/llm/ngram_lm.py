@@ -30,7 +30,7 @@ ADD = 0.1
 CHUNK_BYTES = 6 << 20
 #: Bytes of text for each shard: there are as many as that takes, so that none grows with the corpus.
 SHARD_BYTES = 8 << 20
-#: Values that a shard's trie tells apart.
+#: Values that a shard's trie tells apart; answers travel in half precision, which is finer.
 LEVELS = 256
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _U = np.uint64
@@ -157,10 +157,9 @@ def _pairs(shards: int, offsets: list[int], n_docs: int, n_tokens: int, n_kinds:
         cut = np.searchsorted(to[order], np.arange(shards + 1))
         new = np.ones(len(order), bool)
         new[1:] = (before[order][1:] != before[order][:-1]) | (word[order][1:] != word[order][:-1])
-        # the shards answer for each distinct pair, in this order; the chunk keeps where the pairs stand
-        which = np.empty(len(may), np.uint32)
-        which[np.searchsorted(may, order)] = np.cumsum(new) - 1
-        rows = [(4, chunk, -1, dump(doc, null, train, size, known, base, unseen, of[may].astype(np.uint32), which))]
+        # the shards answer for each distinct pair, in this order; the chunk keeps in which texts it stands
+        uses = np.diff(np.append(np.flatnonzero(new), len(order))).astype(np.uint32)
+        rows = [(4, chunk, -1, dump(doc, null, train, size, known, base, unseen, of[order].astype(np.uint32), uses))]
         for k in np.flatnonzero(np.diff(cut)).tolist():
             o = order[cut[k] : cut[k + 1]]
             first = np.flatnonzero(new[cut[k] : cut[k + 1]])
@@ -173,8 +172,8 @@ def _pairs(shards: int, offsets: list[int], n_docs: int, n_tokens: int, n_kinds:
 
 
 def quantised(log_p: np.ndarray) -> np.ndarray:
-    """Unigram log10 probabilities in steps of 1/4096: what a pair carries of its word."""
-    return np.clip(np.round(-log_p * 4096), 0, 65535).astype(np.uint16)
+    """Unigram log10 probabilities in steps of 1/64: what a pair carries of its word."""
+    return np.clip(np.round(-log_p * 64), 0, 65535).astype(np.uint16)
 
 
 def codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,20 +198,20 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     seen = learnt > 0
     own, first, place = np.unique(every[seen], return_index=True, return_inverse=True)
     count = np.bincount(place, weights=learnt[seen], minlength=len(own))
-    p = 10.0 ** (log_p[seen][first] / -4096.0)
+    p = 10.0 ** (log_p[seen][first] / -64.0)
     book, code = codebook(np.log10(1 + count / (MU * p)))
     trie = Trie(own >> _U(32), own & _U(0xFFFFFFFF), code, book)
     shard = int(pdf["shard"].iloc[0])
-    out = [(6, int(chunk), shard, dump(trie.lookup(key >> _U(32), key & _U(0xFFFFFFFF)).astype(np.float32))) for chunk, key in zip(pdf["chunk"], keys)]
+    out = [(6, int(chunk), shard, dump(trie.lookup(key >> _U(32), key & _U(0xFFFFFFFF)).astype(np.float16))) for chunk, key in zip(pdf["chunk"], keys)]
     return pd.DataFrame(out, columns=["kind", "chunk", "shard", "data"])
 
 
 def _finish(n_tokens: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, null, train, size, known, base, unseen, of, which = load(pdf.loc[pdf["kind"] == 4, "data"].iloc[0])
+        doc, null, train, size, known, base, unseen, of, uses = load(pdf.loc[pdf["kind"] == 4, "data"].iloc[0])
         answers = [load(d)[0] for d in pdf[pdf["kind"] == 6].sort_values("shard")["data"]]
-        more = np.concatenate(answers) if answers else np.zeros(0, np.float32)
-        score = unseen + np.bincount(of, weights=more[which], minlength=len(doc))
+        more = np.concatenate(answers) if answers else np.zeros(0, np.float16)
+        score = unseen + np.bincount(of, weights=np.repeat(more.astype(np.float64), uses), minlength=len(doc))
         ids = pd.array(doc, dtype="Int64")
         ids[null.astype(bool)] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": ~train, "n_tokens": size, "n_known": known, "train_tokens": n_tokens, "base_score": base, "score": score})
@@ -250,7 +249,7 @@ def score_texts(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col
     chunks = read.filter("kind = 0").unionByName(counted.filter("kind = 2"))
     pairs = materialise(chunks.groupBy("chunk").applyInPandas(_pairs(shards, offsets, n_docs, n_tokens, n_kinds), form), "lm-pairs")
     forget(read, counted)
-    answers = materialise(pairs.filter("kind = 5").groupBy("shard").applyInPandas(_shard, form), "lm-answers")
+    answers = pairs.filter("kind = 5").groupBy("shard").applyInPandas(_shard, form)
     return pairs.filter("kind = 4").unionByName(answers).groupBy("chunk").applyInPandas(_finish(n_tokens), OUT)
 
 
