@@ -176,10 +176,11 @@ def contained_rows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str
         if len(rows):
             part = given.mapInArrow(_search(rows), FOUND)
             found = part if found is None else found.unionByName(part)
+    # written, so that no task searches and verifies at once, with two Python workers
+    found = materialise(found, "found")
     # an item in pieces may be found once for each; no other pair is met twice for one row
     several = sketch.groupBy("key").agg(F.max("piece").alias("piece")).filter("piece > 0").select("key")
     if not several.isEmpty():
-        found = materialise(found, "found")
         found = found.join(several, "key", "left_anti").unionByName(found.join(several, "key", "left_semi").distinct())
     return found.join(own, "key").select("doc_id", "doc_key", "text", "item_id", "item").mapInArrow(_verify, ROWS)
 
