@@ -10,7 +10,7 @@ from veritrail.llm.common import id_crc
 
 
 #: Bytes of text that the sample of one class takes; the text that passes the bound is its last one, whole.
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 8 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, each: int, most_bytes: int = SAMPLE_BYTES) -> pd.DataFrame:

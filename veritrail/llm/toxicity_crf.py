@@ -125,7 +125,7 @@ def chains(counts: np.ndarray) -> np.ndarray:
 def kinds(w: Words) -> np.ndarray:
     """For each token its kinds, hashed to BITS bits; kind 0 is none."""
     hashed = w.prefix_hashes(PREFIXES)
-    return np.stack([np.where(h > 0, (h >> np.uint64(64 - BITS)) | np.uint64(1), 0) for h in hashed], axis=1).astype(np.int64)
+    return np.stack([np.where(h > 0, (h >> np.uint64(64 - BITS)) | np.uint64(1), 0) for h in hashed], axis=1).astype(np.int32)
 
 
 def log_odds(field: Field, kind: np.ndarray) -> np.ndarray:
@@ -147,15 +147,15 @@ def token_labels(kind: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nda
         runs = mix(k[:-2] ^ mix(k[1:-1] ^ mix(k[2:])))
         inside = doc[2:] == doc[:-2]
         np.minimum.at(least, doc[2:][inside], runs[inside].view(np.int64) >> 1)
-    group = least[doc]
+    group = np.unique(least, return_inverse=True)[1][doc]
     bad_token = toxic[doc] == 1
     out = np.zeros(len(kind), bool)
     n_bad, n_good = max(len(np.unique(least[toxic == 1])), 1), max(len(np.unique(least[toxic == 0])), 1)
     for c in range(kind.shape[1]):
-        own = np.unique(np.stack([kind[:, c], group, bad_token]), axis=1)
-        bad = own[2] == 1
-        in_bad = np.bincount(own[0][bad], minlength=1 << BITS)
-        in_good = np.bincount(own[0][~bad], minlength=1 << BITS)
+        # kind, group and class in one number
+        own = np.unique((kind[:, c].astype(np.int64) * len(toxic) + group) * 2 + bad_token)
+        bad, of = own % 2 == 1, own // 2 // len(toxic)
+        in_bad, in_good = np.bincount(of[bad], minlength=1 << BITS), np.bincount(of[~bad], minlength=1 << BITS)
         marks = (likelihood_ratio(in_bad, in_good, n_bad, n_good) >= LEAST_RATIO) & (in_bad / n_bad > LEAST_TIMES * (in_good + 0.5) / n_good)
         marks[0] = False
         out |= marks[kind[:, c]]
