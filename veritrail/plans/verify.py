@@ -348,7 +348,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     names = list(terms)
     want = expand(X.canonical(F.col(field)))
     brand = F.col("done.brand_name.box")
-    outside = lambda s: F.coalesce(~G.overlaps(s["box"], brand, 0.25), F.lit(True))
+    outside = lambda s: brand.isNull() | ~G.overlaps(s["box"], brand, 0.25)
     pool = F.transform(F.filter(free(F.col("masks")), outside), lambda s: s.withField("canonical", expand(s["canonical"])))
     base = rows.withColumn("want", want).withColumn("pool", pool)
     base = base.withColumn("pool", F.transform("pool", lambda s: s.withField("canonical_words", F.size(X.tokens(s["canonical"])))))
@@ -357,7 +357,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     base = base.withColumn("known", designations(names, f.match)(F.transform("pool", lambda s: s["canonical"]), F.transform("pool", lambda s: s["span_id"])))
     best = F.get("ranked", F.lit(0))
     top = -best["order"]
-    near_brand = lambda box: F.coalesce(G.near(box, brand, rules.reach_heights), F.lit(False))
+    near_brand = lambda box: brand.isNotNull() & F.coalesce(G.near(box, brand, rules.reach_heights), F.lit(False))
     residual = lambda r: S.residual_edits(r["s"]["canonical"], F.col("want"))
     # 1: a read of the expected designation; of those that clear, the best without residual edits
     clearing = F.filter("ranked", lambda r: -r["order"] >= f.match)
