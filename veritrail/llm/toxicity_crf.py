@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import table
 from veritrail.llm.labelled import held_out, labelled_sample
-from veritrail.llm.wordarrays import Words, mix, text_buffer
+from veritrail.llm.wordarrays import Words, blocks, mix, text_buffer
 
 SAMPLE_EACH = 1500
 #: Tokens of one chain; longer texts are several chains, so that a long one takes no more steps.
@@ -198,9 +198,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w
 
 
-def token_marginals(field: Field, w: Words) -> np.ndarray:
-    p = pack(chains(w.counts))
-    got, _ = marginals(log_odds(field, kinds(w))[p.order], p, field.step)
+def token_marginals(field: Field, kind: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    p = pack(chains(counts))
+    got, _ = marginals(log_odds(field, kind)[p.order], p, field.step)
     m = np.empty(len(got))
     m[p.order] = got
     return m
@@ -216,11 +216,12 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 1.5
     if not texts or not any(toxic):
         field.bias = -12.0
         return field
-    raw, at = text_buffer(pa.array(texts, pa.string()))
-    w = Words.of(raw, at, BREAK)
-    kind = kinds(w)
-    tag = token_labels(kind, w.doc(), np.array(toxic)).astype(np.int64)
-    counts = chains(w.counts)
+    # by blocks, since hashing takes several numbers for each byte
+    read = [Words.of(raw, at, BREAK) for _, _, raw, at in blocks(pa.array(texts, pa.string()), 1 << 20)]
+    kind, sizes = np.concatenate([kinds(w) for w in read]), np.concatenate([w.counts for w in read])
+    del read
+    tag = token_labels(kind, np.repeat(np.arange(len(sizes)), sizes), np.array(toxic)).astype(np.int8)
+    counts = chains(sizes)
     first = np.concatenate(([0], np.cumsum(counts)))
     groups = np.array_split(np.random.default_rng(3).permutation(len(counts)), max(1, len(counts) // 2000))
     parts = []
@@ -248,7 +249,8 @@ def train(texts: list[str], toxic: list[int], rounds: int = 8, rate: float = 1.5
             field.weight += rate * d / np.sqrt(g_w)
             field.bias += 0.5 * db / np.sqrt(g_b)
             field.step += 0.3 * ds / np.sqrt(g_s)
-    field.curve = fit_curve(document_features(token_marginals(field, w), w.first), np.array(toxic, float))
+    m = token_marginals(field, kind, sizes)
+    field.curve = fit_curve(document_features(m, np.concatenate(([0], np.cumsum(sizes)))), np.array(toxic, float))
     return field
 
 
@@ -261,10 +263,10 @@ def _tag(field: Field, threshold: float):
             i, n = 0, len(texts)
             while i < n:
                 # many texts at once: a position is one step for all of them
-                j = max(i + 1, int(np.searchsorted(at_all, at_all[i] + (8 << 20), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(at_all, at_all[i] + (2 << 20), "right")) - 1)
                 raw, at = raw_all[at_all[i] : at_all[j]], at_all[i : j + 1] - at_all[i]
                 w = Words.of(raw, at, BREAK)
-                m = token_marginals(field, w)
+                m = token_marginals(field, kinds(w), w.counts)
                 tagged = m >= threshold
                 x = document_features(m, w.first)
                 some = x[:, 1] > 0
