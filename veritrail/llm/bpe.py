@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from veritrail.llm.common import table, without
 
 #: Pieces whose encoding a worker remembers, and neighbours it has judged; when full, either starts anew.
-MEMORY, JUDGED = 100_000, 200_000
+MEMORY, JUDGED = 250_000, 300_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
