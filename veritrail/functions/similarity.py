@@ -17,9 +17,12 @@ from veritrail.functions.text import CONFUSED, despaced, sorted_tokens
 
 DIFFERENCES = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("expected", "found", "kind")]]))
 ML_PER_FL_OZ = 29.5735
-METRIC = {"ML": 1.0, "CL": 10.0, "L": 1000.0}
-for _stem, _ml in (("MILLILIT", 1.0), ("CENTILIT", 10.0), ("LIT", 1000.0)):
-    METRIC |= {_stem + end: _ml for end in ("ER", "ERS", "RE", "RES")}
+# Metric units of volume in millilitres.
+METRIC = {
+    "ML": 1.0, "MILLILITER": 1.0, "MILLILITERS": 1.0, "MILLILITRE": 1.0, "MILLILITRES": 1.0,
+    "CL": 10.0, "CENTILITER": 10.0, "CENTILITERS": 10.0, "CENTILITRE": 10.0, "CENTILITRES": 10.0,
+    "L": 1000.0, "LITER": 1000.0, "LITERS": 1000.0, "LITRE": 1000.0, "LITRES": 1000.0,
+}
 
 
 def common_length(a, b) -> int:

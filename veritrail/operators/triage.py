@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.schemas import TIERS
+from veritrail.scratch import materialise
 
 
 def summarise(field_results: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -62,7 +63,8 @@ def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = by.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
+    # written once: computed twice, the bounds of the ranges and with them the places could differ
+    tagged = materialise(by.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), "ranked")
     sized = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sized.select("__part", "__first", before.alias("__before"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Columns, classes, limits, image suffixes and clutter of manifests.
 REQUIRED = ("filename", "brand_name", "class_type", "alcohol_content", "net_contents")
 OPTIONAL = ("beverage_class", "label_width_mm")
 COLUMNS = REQUIRED + OPTIONAL
