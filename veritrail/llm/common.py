@@ -2,47 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_scratch: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _own_scratch:
-        _own_scratch.append("file://" + tempfile.mkdtemp(prefix="veritrail-"))
-    return _own_scratch[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from veritrail.scratch import forget, materialise
 
-def forget(*written: DataFrame) -> None:
-    """Delete what materialise() wrote, once what reads it has been written too."""
-    for df in written:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        root = scratch_root(spark)
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/veritrail/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["forget", "id_crc", "materialise", "table", "without"]
 
 
 def without(df: DataFrame, names: set[str] | list[str]) -> DataFrame:
