@@ -147,20 +147,33 @@ def token_class(expected: Column, found: Column, least: int = 5) -> Column:
     )
 
 
+def _band(a: str, b: str, width: int) -> list[dict[int, int]]:
+    """Edit distances of prefixes whose lengths differ by width at most."""
+    far = len(a) + len(b) + 1
+    rows = [{j: j for j in range(min(width, len(b)) + 1)}]
+    for i in range(1, len(a) + 1):
+        last, row = rows[-1], {}
+        for j in range(max(0, i - width), min(len(b), i + width) + 1):
+            row[j] = min(last.get(j, far) + 1, row.get(j - 1, far) + 1, last.get(j - 1, far) + (a[i - 1] != b[j - 1]) if j else far)
+        rows.append(row)
+    return rows
+
+
 def edits(expected: str, found: str, most: int = 3) -> list[dict]:
     """Up to most described edits on one shortest path; substitutions within a confusion class are passed over."""
     n, m = len(expected), len(found)
-    cost = [[max(i, j) if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (expected[i - 1] != found[j - 1]))
+    band = 8
+    while (cost := _band(expected, found, band))[n].get(m, band + 1) > band:
+        band *= 2  # a distance within the band is exact, as no shortest path leaves it
+    far = n + m + 1
+    at = lambda i, j: cost[i].get(j, far)
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (expected[i - 1] != found[j - 1]):
+        if i and j and at(i, j) == at(i - 1, j - 1) + (expected[i - 1] != found[j - 1]):
             i, j = i - 1, j - 1
             if CONFUSED.get(expected[i], expected[i]) != CONFUSED.get(found[j], found[j]):
                 out.append({"position": i, "expected": expected[i], "found": found[j], "kind": "substituted"})
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and at(i, j) == at(i - 1, j) + 1:
             i -= 1
             out.append({"position": i, "expected": expected[i], "found": None, "kind": "missing"})
         else:

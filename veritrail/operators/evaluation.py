@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+EXPECTED = "schema_version int, fields array<struct<label_id: string, field: string, allowed: array<string>, elevated: boolean>>"
+
+
+def load_expected(spark: SparkSession, path: str, versions: tuple[int, ...] = (1,)) -> DataFrame:
+    """Ground truth from JSON files; reading one whose schema_version isn't among versions, or has none, fails."""
+    raw = spark.read.schema(EXPECTED).json(path, multiLine=True)
+    known = F.coalesce(F.col("schema_version").isin(*versions), F.lit(False))
+    refuse = F.raise_error(F.concat(F.lit("unknown schema_version: "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none")))).cast("array<struct<label_id: string, field: string, allowed: array<string>, elevated: boolean>>")
+    return raw.select(F.explode(F.when(known, F.col("fields")).otherwise(refuse)).alias("f")).select("f.*")
+
+
 def grade(results: DataFrame, expected: DataFrame) -> DataFrame:
     """expected: label_id, field, allowed (array), elevated (null: either), compliance; one row per pair.
 

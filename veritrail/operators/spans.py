@@ -101,6 +101,34 @@ def span_index(words: DataFrame, keep_blank: bool = False) -> DataFrame:
     return out.withColumn("span_id", ordinal).drop("made").withColumn("canonical_words", F.size(tokens(F.col("canonical"))))
 
 
+def candidate_trace(spans: DataFrame, masks: DataFrame) -> DataFrame:
+    """Per label, how many candidate spans there are and how many the masks (label_id, masks) leave free."""
+    both = spans.join(masks, "label_id", "left")
+    free = F.coalesce(unmasked(F.col("box"), F.col("masks")), F.lit(True))
+    return both.groupBy("label_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(free).alias("free"))
+
+
+def neighbour_gaps(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per block (label_id, first_line, last_line, box, glyph) the least gap to other text above, below and beside it.
+
+    lines: label_id, line, box. Gaps are in the block's line heights, null where no text is there;
+    above and below only lines count that share some of the block's columns. Only advice: borders
+    and panels set a block apart as well, and boxes don't show them.
+    """
+    b, x = F.col("b.box"), F.col("x.box")
+    other = F.col("x.line").isNotNull() & ~F.col("x.line").between(F.col("b.first_line"), F.col("b.last_line"))
+    above = other & (x["bottom"] <= b["top"]) & (G.column_overlap(x, b) > 0)
+    below = other & (x["top"] >= b["bottom"]) & (G.column_overlap(x, b) > 0)
+    beside = other & (G.vertical_gap(x, b) == 0)
+    least = lambda where, gap: F.greatest(F.lit(0.0), F.min(F.when(where, gap)))
+    out = blocks.alias("b").join(lines.alias("x"), F.col("b.label_id") == F.col("x.label_id"), "left").groupBy(F.col("b.label_id").alias("label_id"), F.col("b.glyph").alias("glyph")).agg(
+        F.max(above).alias("has_above"), F.max(below).alias("has_below"), F.max(beside).alias("has_beside"),
+        least(above, b["top"] - x["bottom"]).alias("above"), least(below, x["top"] - b["bottom"]).alias("below"),
+        least(beside, F.greatest(b["left"] - x["right"], x["left"] - b["right"])).alias("beside"),
+    )
+    return out.select("label_id", *[F.when(F.col(f"has_{n}"), F.col(n) / F.col("glyph")).alias(n) for n in ("above", "below", "beside")])
+
+
 def unmasked(box: Column, masks: Column, share: float = 0.5) -> Column:
     """Whether less than that share of the box lies in any one mask."""
     return ~F.exists(masks, lambda m: G.overlaps(box, m, share))

@@ -85,9 +85,43 @@ def keep_polling(batch_state: Column, item_states: Column) -> Column:
 
 
 def neighbours(ranked: DataFrame, key: str, partition: str | None = None) -> DataFrame:
-    """Previous and next key in a ranked queue."""
-    w = Window.partitionBy(partition).orderBy("rank") if partition else Window.orderBy("rank")
-    return ranked.select("*", F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("next"))
+    """Previous and next key in a ranked queue: within a partition by any order, else by ranks 1, 2, ... without gaps.
+
+    Without a partition the rows beside a rank are joined to it, so that no task holds the queue.
+    """
+    if partition:
+        w = Window.partitionBy(partition).orderBy("rank")
+        return ranked.select("*", F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("next"))
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col(key).alias("previous"))
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.col(key).alias("next"))
+    return ranked.join(before, "rank", "left").join(after, "rank", "left")
+
+
+def only(ranked: DataFrame, wanted: str) -> DataFrame:
+    """The items of one category (category()), still in the queue's order."""
+    return ranked.filter(category() == wanted).orderBy("rank")
+
+
+def snapshot_order(items: DataFrame) -> DataFrame:
+    """items with their place in a batch's snapshot: checked ones worst first, then running, pending and skipped ones as uploaded.
+
+    items: batch_id, state, upload_no, label_id and the columns of summarise(), null where nothing was checked.
+    """
+    group = F.when(F.col("tier").isNotNull(), 0).when(F.col("state") == "running", 1).when(F.col("state") == "pending", 2).otherwise(3)
+    keys = [group.asc(), *worst_first(), F.col("upload_no").asc()]
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("batch_id").orderBy(*keys)).cast("long"))
+
+
+def item(rows: DataFrame, **key) -> DataFrame:
+    """The rows that have these values: a point lookup, pushed down to the scan."""
+    for name, value in key.items():
+        rows = rows.filter(F.col(name) == value)
+    return rows
+
+
+def polled(field_results: DataFrame) -> DataFrame:
+    """What a poll carries: no boxes, checks or texts; the rest is read on demand by item()."""
+    return field_results.select("label_id", "field", "display_order", "verdict", "score", "elevated", "automated")
 
 
 def snapshot(items: DataFrame) -> DataFrame:
@@ -110,14 +144,15 @@ def remaining_seconds(elapsed: Column, finished: Column, total: Column, over: Co
 
 
 def retry_after(longest_remaining: Column) -> Column:
-    return F.coalesce(F.least(F.lit(600), F.greatest(F.lit(30), F.ceil(longest_remaining))), F.lit(60))
+    # greatest() passes over nulls, so an unknown wait is told apart first
+    return F.when(longest_remaining.isNull(), F.lit(60)).otherwise(F.least(F.lit(600), F.greatest(F.lit(30), F.ceil(longest_remaining))))
 
 
 def evictable(batches: DataFrame, capacity: int = 20) -> DataFrame:
     """The finished batches to drop, oldest first, to come back under capacity."""
-    ranked = batches.filter("finished_at is not null").withColumn("age", F.row_number().over(Window.orderBy("finished_at", "batch_id")))
     over = batches.count() - capacity + 1
-    return ranked.filter(F.col("age") <= max(over, 0)).drop("age")
+    ranked = global_rank(batches.filter("finished_at is not null"), [F.col("finished_at").asc(), F.col("batch_id").asc()])
+    return ranked.filter(F.col("rank") <= max(over, 0)).drop("rank")
 
 
 def first_messages(messages: Column, most: int = 3) -> Column:

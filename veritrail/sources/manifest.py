@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritrail.operators.triage import global_rank
 
 # Columns, classes, limits, image suffixes and clutter of manifests.
 REQUIRED = ("filename", "brand_name", "class_type", "alcohol_content", "net_contents")
@@ -83,7 +84,7 @@ def parse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     filled = records.filter(F.exists("cells", lambda c: F.trim(c) != ""))
     head = filled.groupBy("manifest").agg(F.min(F.struct("row_number", "cells")).alias("h")).select("manifest", F.col("h.row_number").alias("head_row"), F.transform("h.cells", header_name).alias("names"))
-    body = filled.join(F.broadcast(head), "manifest").filter(F.col("row_number") > F.col("head_row"))
+    body = filled.join(head, "manifest").filter(F.col("row_number") > F.col("head_row"))
     cell = lambda n: F.coalesce(F.trim(F.get(F.col("cells"), F.array_position("names", n).cast("int") - 1)), F.lit(""))
     # array_position gives 0 for a missing column; get(-1) is null, so the cell is blank
     read = body.select("manifest", "row_number", *[cell(n).alias(n) for n in COLUMNS])
@@ -100,10 +101,10 @@ def parse(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     judged = read.withColumn("problems", problems).withColumn("file", file).withColumn("kind", kind)
     missing = head.select("manifest", F.explode(F.array_except(F.array(*[F.lit(n) for n in REQUIRED]), "names")).alias("column"))
-    rows = judged.filter(F.size("problems") == 0).join(F.broadcast(missing.select("manifest").distinct()), "manifest", "left_anti").select(
+    rows = judged.filter(F.size("problems") == 0).join(missing.select("manifest").distinct(), "manifest", "left_anti").select(
         "manifest", "row_number", F.col("file").alias("filename"), "brand_name", "class_type", "alcohol_content", "net_contents", F.col("kind").alias("beverage_class"), width_mm(F.col("label_width_mm")).alias("label_width_mm")
     )
-    bad = judged.filter(F.size("problems") > 0).join(F.broadcast(missing.select("manifest").distinct()), "manifest", "left_anti").select(
+    bad = judged.filter(F.size("problems") > 0).join(missing.select("manifest").distinct(), "manifest", "left_anti").select(
         "manifest", F.lit("invalid_row").alias("kind"), F.when(F.col("file") != "", F.col("file")).alias("filename"), "row_number", F.array_join("problems", "; ").alias("message")
     )
     absent = missing.select("manifest", F.lit("missing_column").alias("kind"), F.lit(None).cast("string").alias("filename"), F.lit(None).cast("int").alias("row_number"), F.concat(F.lit("no column "), "column").alias("message"))
@@ -115,12 +116,8 @@ def template(spark: SparkSession) -> DataFrame:
 
 
 def cycled(spark: SparkSession, corpus: DataFrame, n: int, order_by: str = "filename") -> DataFrame:
-    """n rows that repeat a small corpus in turn under new names b0001_..., for load tests."""
-    from pyspark.sql import Window
-
-    numbered = corpus.withColumn("__k", F.row_number().over(Window.orderBy(order_by)) - 1)
-    size = numbered.count()
-    turns = spark.range(n).withColumn("__k", (F.col("id") % size).cast("int"))
-    return turns.join(F.broadcast(numbered), "__k").withColumn(order_by, F.concat(F.format_string("b%04d_", F.col("id") + 1), F.col(order_by))).drop("__k", "id")
-
-
+    """n rows that repeat a corpus in turn under new names b0001_..., for load tests."""
+    numbered = global_rank(corpus, [F.col(order_by).asc()]).withColumn("__k", F.col("rank") - 1).drop("rank")
+    size = corpus.count()
+    turns = spark.range(n).withColumn("__k", F.col("id") % size)
+    return turns.join(numbered, "__k").withColumn(order_by, F.concat(F.format_string("b%04d_", F.col("id") + 1), F.col(order_by))).drop("__k", "id")

@@ -18,7 +18,7 @@ def write_csv(table: DataFrame, path: str, one_file: bool = True) -> None:
     """CSV with cells that no spreadsheet runs as formulas, in rank order."""
     cells = [safe_cell(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in table.dtypes]
     ordered = table.orderBy("rank")
-    (ordered.coalesce(1) if one_file else ordered).select(*cells).write.mode("overwrite").option("header", True).csv(path)
+    (ordered.coalesce(1) if one_file else ordered).select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(table: DataFrame, path: str) -> None:
