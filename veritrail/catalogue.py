@@ -140,7 +140,7 @@ WITH v AS (SELECT p_partkey, upper(p_name) AS u, string_split(upper(p_name), ' '
 SELECT p_partkey, replace(translate(u, '01L5826', 'OIISBZG'), ' ', '') AS anchor, translate(u, '01L5826', 'OIISBZG') AS folded,
   array_to_string(list_transform(ws, lambda w: CASE w WHEN 'SMALL' THEN 'SM' WHEN 'WIDGET' THEN 'WDG' WHEN 'RED' THEN 'RD' ELSE w END), ' ') AS expanded,
   array_to_string(list_transform(ws, lambda w: CASE w WHEN 'SMALL' THEN 'SM' ELSE w END), ' ') AS readable,
-  'ALC BY VOL' AS wording, replace(replace('A' || p_size, '1', 'I'), '2', 'I') AS enumerated, lower(u) AS trimmed,
+  'ALC BY VOL' AS wording, translate('A' || p_size, '012568', 'OIZSGB') AS enumerated, lower(u) AS trimmed,
   CASE WHEN p_partkey % 2 = 0 THEN replace(u, ' ', '') || '|X' ELSE '' END AS parts FROM v""")
 def text_forms(spark, sf_dir):
     u, name = F.upper("p_name"), F.col("p_name")

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrail.functions.text import CONFUSED, despaced, sorted_tokens
+from veritrail.functions.text import CONFUSED, despaced, enumerator_fold, sorted_tokens
 
 DIFFERENCES = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ("expected", "found", "kind")]]))
 ML_PER_FL_OZ = 29.5735
@@ -130,8 +130,7 @@ def one_decimal(value: Column) -> Column:
 
 def token_class(expected: Column, found: Column, least: int = 5) -> Column:
     """noise, ambiguous or wording: what a substituted statutory word amounts to."""
-    fold = lambda c: F.translate(c, "12", "II")
-    e, f = fold(expected), fold(found)
+    e, f = enumerator_fold(expected), enumerator_fold(found)
     distance = F.levenshtein(e, f)
     pairs = F.zip_with(F.split(e, ""), F.split(f, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     changed = F.filter(pairs, lambda p: p["x"] != p["y"])

@@ -114,8 +114,12 @@ def printed_number(c: Column) -> Column:
     return F.when(thousands, F.replace(c, F.lit(","), F.lit(""))).otherwise(F.replace(c, F.lit(","), F.lit("."))).try_cast("double")
 
 
+# Digits of the statute's enumerators and the letters they are read as.
+ENUMERATORS = {"0": "O", "1": "I", "2": "Z", "5": "S", "6": "G", "8": "B"}
+
+
 def enumerator_fold(c: Column) -> Column:
-    return F.translate(c, "12", "II")
+    return F.translate(c, "".join(ENUMERATORS), "".join(ENUMERATORS.values()))
 
 
 def quote_trim(c: Column) -> Column:

@@ -1,9 +1,9 @@
 """Verification of labels against their records: one row per label, five fields in turn.
 
-A label's spans are an array in its row, built with one exchange by label. Each field is judged
-with array expressions over the spans that earlier fields have not taken (masks), so nothing is
-joined, and only text similarity and the statement's alignment run in Python batches. The rows are
-written after each field: else the plan of a field would hold the plans of all before it, once for
+A label's spans are an array in its row, built with one exchange by label and written once. Each
+field is judged with array expressions over the spans that earlier fields have not taken (masks);
+only text similarity runs in Python batches. What a field hands on, masks and results, is a narrow
+table written after it: else the plan of a field would hold the plans of all before it, once for
 each use of a mask, and grow without end.
 """
 
@@ -21,7 +21,7 @@ from veritrail.functions import patterns as P
 from veritrail.functions import similarity as S
 from veritrail.functions import text as X
 from veritrail.operators.spans import reading_lines, span_index, unmasked
-from veritrail.plans.statement import warning_result
+from veritrail.plans.statement import judge_statements
 from veritrail.rules import HEADER, TAILS, Rules, load
 from veritrail.schemas import BOX, CHECK
 from veritrail.scratch import forget, materialise
@@ -116,15 +116,13 @@ def designations(terms: list[str], least: float):
 
 
 def label_rows(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules) -> DataFrame:
-    """One row per record with quality, words in reading order and spans in generation order."""
+    """One row per record with quality, page (lines with their words, in reading order) and spans in generation order."""
     spans = span_index(words).groupBy("label_id").agg(
         F.array_sort(F.collect_list(F.struct("span_id", "lines", F.col("run").isNull().alias("whole"), "raw", "canonical", "canonical_words", "numeric", "box", "confidence", "glyph", "n_words"))).alias("spans")
     )
-    lines = reading_lines(words).select("label_id", "line", F.explode("words").alias("w"))
-    units = lines.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("line", F.col("w.box.left").alias("x"), F.col("w.word_no").alias("n"), F.col("w.text").alias("text"), F.col("w.confidence").alias("confidence"), F.col("w.box").alias("box")))).alias("units"))
-    rows = records.join(labels.select("label_id", "quality"), "label_id", "left").join(spans, "label_id", "left").join(units, "label_id", "left")
-    empty = span_index_type(spans)
-    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(empty))).withColumn("units", F.coalesce("units", F.array().cast(units.schema["units"].dataType))).withColumn("masks", F.array().cast(f"array<{BOX}>"))
+    page = reading_lines(words).groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("line", "box", "glyph", "words"))).alias("page"))
+    rows = records.join(labels.select("label_id", "quality"), "label_id", "left").join(spans, "label_id", "left").join(page, "label_id", "left")
+    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(span_index_type(spans)))).withColumn("page", F.coalesce("page", F.array().cast(page.schema["page"].dataType)))
 
 
 def span_index_type(spans: DataFrame):
@@ -156,14 +154,17 @@ def good_image(rules: Rules) -> Column:
 
 @strategy("warning")
 def warning(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
-    w = rows.withColumn("w", warning_result(F.col("units"), F.col("quality"), rules))
+    w = rows.join(judge_statements(rows.select("label_id", "page", "quality"), rules), "label_id", "left")
     cite = rules.of(field).citation
+    here = lambda outcome: F.when(F.col("w.located"), outcome).otherwise("not_evaluable")
+    gaps = F.array_join(F.array(*[F.concat(F.coalesce(F.format_string("%.1f line heights", F.col(f"w.gaps.{n}")), F.lit("no text")), F.lit(f" {n}")) for n in ("above", "below", "beside")]), ", ")
+    room = F.when(F.col("w.located"), F.concat(F.lit("nearest other text: "), gaps, F.when(F.col("w.shares_line"), "; other text shares a line").otherwise(""))).otherwise("room around the block")
     checks = F.array(
         one_check("header_capitalisation", F.col("w.capitals"), "the header stands in capitals", "27 CFR 16.22(a)(2)"),
-        one_check("text_accuracy", F.when(F.col("w.located"), F.col("w.text")).otherwise("not_evaluable"), "the text is as prescribed", cite),
+        one_check("text_accuracy", F.col("w.text"), "the text is as prescribed", cite),
         one_check("header_bold", F.lit("not_evaluable"), "stroke widths are not measured", "27 CFR 16.22(a)(2)"),
         one_check("contrast", F.lit("not_evaluable"), "contrast is not measured", "27 CFR 16.22(a)(1)"),
-        one_check("separation", F.when(F.col("w.separation").isNull(), "not_evaluable").when(F.col("w.separation") > 0, "pass").otherwise("fail"), "room around the block", cite),
+        one_check("separation", here(F.lit("advisory")), room, cite),
         one_check("type_size", F.lit("not_evaluable"), "sizes are not measured", "27 CFR 16.22(b)"),
     )
     out = result(F.col("w.located"), F.col("w.verdict"), F.lit(""), F.col("w.found"), F.col("w.box"), F.col("w.score"), F.col("w.confidence"), F.col("w.reason"), checks)
@@ -421,19 +422,24 @@ def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
     reviewed as not automated. A located value masks its spans for the fields after it.
     """
     rules = rules or load()
-    rows = label_rows(labels, words, records, rules).withColumn("barred", barred_lines()).withColumn("done", F.struct(F.lit(1).alias("__start")))
+    # the wide rows are written once; what fields hand on is a narrow table
+    wide = materialise(label_rows(labels, words, records, rules).withColumn("barred", barred_lines()), "labels")
+    state = wide.select("label_id", F.array().cast(f"array<{BOX}>").alias("masks"), F.struct(F.lit(1).alias("__start")).alias("done"))
     written = None
     for field in sorted(rules.fields, key=lambda f: f.order):
-        rows = materialise(rows, "labels")
-        if written is not None:
-            forget(written)
-        written = rows
+        rows = wide.join(state, "label_id")
         known = STRATEGIES.get(field.strategy)
         rows = known(rows, rules, field.id) if known else rows.withColumn("result", not_found(F.lit(None).cast("string"), "this field is not automated"))
         box = F.when(F.col("result.located"), F.col("result.box"))
-        rows = rows.withColumn("masks", F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(F.col("masks"))).withColumn("done", F.col("done").withField(field.id, F.col("result"))).drop("result")
-    rows = materialise(rows.select("label_id", "quality", "done"), "judged")
-    forget(written)
+        state = rows.select(
+            "label_id", F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(F.col("masks")).alias("masks"), F.col("done").withField(field.id, F.col("result")).alias("done")
+        )
+        state = materialise(state, "state")
+        if written is not None:
+            forget(written)
+        written = state
+    rows = materialise(wide.select("label_id", "quality").join(state, "label_id").select("label_id", "quality", "done"), "judged")
+    forget(wide, state)
     alert = ~F.col("done.government_warning.located") & good_image(rules)
     made = []
     for field in sorted(rules.fields, key=lambda f: f.display_order):
