@@ -30,7 +30,7 @@ BLOCK = "ids binary, labels binary, windows binary"
 
 
 def quantised(rows: DataFrame) -> DataFrame:
-    """vec_id, label, vector of the rows that take part: integers, labels shifted where the id is divisible by 7.
+    """vec_id, label, vector, grp (0) of the rows that take part: integers, labels shifted where the id is divisible by 7.
 
     Rows with a null label, a null vector, or a null or non-finite component are left out. Rows
     equal in id, label and integers count once. A row without an id sorts after all others.
@@ -39,7 +39,7 @@ def quantised(rows: DataFrame) -> DataFrame:
     fine = F.col("label").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     label = F.when(F.col("vec_id") % NOISE_EVERY == 0, (F.col("label").cast("long") + 1) % CLASSES).otherwise(F.col("label").cast("long"))
     scaled = F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("long"))
-    return rows.filter(F.coalesce(fine, F.lit(False))).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), label.alias("label"), scaled.alias("vector")).distinct()
+    return rows.filter(F.coalesce(fine, F.lit(False))).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), label.alias("label"), scaled.alias("vector")).distinct().withColumn("grp", F.lit(0).cast("long"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], chunk: int, chunks: int) -> Iterator[pa.RecordBatch]:
@@ -204,9 +204,8 @@ def hard_negatives(embeddings: DataFrame, anchor_block: int = ANCHOR_BLOCK, row_
     forget(own, alike, kinds)
     # negatives: all anchors by all rows, in blocks
     windows = positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("windows"))
-    everyone = F.lit(0).cast("long").alias("grp")
-    asked = materialise(blocks(anchors.join(windows, "vec_id").select(everyone, "vec_id", "label", "vector", "windows"), anchor_block, chunk, chunks), "asked")
-    whole = materialise(blocks(rows.select(everyone, "vec_id", "label", "vector"), row_block, chunk, chunks), "rows")
+    asked = materialise(blocks(anchors.join(windows, "vec_id").select("grp", "vec_id", "label", "vector", "windows"), anchor_block, chunk, chunks), "asked")
+    whole = materialise(blocks(rows.select("grp", "vec_id", "label", "vector"), row_block, chunk, chunks), "rows")
     kept = reduced_tiles(asked, whole, tile_negatives, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long", chunk, chunks)
     best = first_of(kept, ["anchor_id", "positive_id"], "negative_score", "negative_id", NEGATIVES)
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
