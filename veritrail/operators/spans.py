@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as G
@@ -12,21 +12,27 @@ MAX_LINES, MAX_WORDS = 4, 6
 ROW_SHARE, GAP_SHARE, COLUMN_SHARE, GLYPH_RATIO = 0.5, 1.5, 0.3, 0.6
 
 
-def reading_lines(words: DataFrame) -> DataFrame:
-    """label_id, line (position in reading order), words, box, glyph, label_glyph; one row per line.
+def middle(values: Column) -> Column:
+    """The median of an array of numbers; null for an empty one."""
+    x, n = F.array_sort(values), F.size(values)
+    return F.when(n > 0, (F.get(x, ((n - 1) / 2).cast("int")) + F.get(x, (n / 2).cast("int"))) / 2)
+
+
+def pages(words: DataFrame) -> DataFrame:
+    """label_id, label_glyph, page: a label's lines (line, box, glyph, words) in reading order; one exchange by label.
 
     Lines sort by the middle of their height; one joins the current row while it lies within half
     the label's median glyph height of the row's first line, and rows read from left to right. The
-    row's first line is carried along a sorted array, since no window frame can hold it.
+    row's first line is carried along a sorted array, since no window frame can hold it. Words get
+    their canonical and numeric forms here, once for all spans they are part of.
     """
-    line = words.groupBy("label_id", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("word_no", "text", "confidence", "box"))).alias("words"),
-        G.union_agg(F.col("box")).alias("box"),
-        F.median(G.height(F.col("box"))).alias("glyph"),
-    )
-    label = words.filter(G.height(F.col("box")) > 0).groupBy("label_id").agg(F.median(G.height(F.col("box"))).alias("label_glyph"))
-    page = line.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct(G.centre_y(F.col("box")).alias("cy"), "line_no", F.col("box.left").alias("left"), "words", "box", "glyph"))).alias("lines"))
-    page = page.join(label, "label_id", "left").withColumn("label_glyph", F.coalesce("label_glyph", F.lit(1.0)))
+    words = words.withColumn("canonical", canonical(F.col("text"))).withColumn("numeric", canonical_numeric(F.col("text")))
+    line = words.groupBy("label_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "text", "confidence", "box", "canonical", "numeric"))).alias("words"))
+    heights = lambda ws: F.transform(ws, lambda w: G.height(w["box"]))
+    line = line.withColumn("box", G.union(F.transform("words", lambda w: w["box"])))
+    page = line.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct(G.centre_y(F.col("box")).alias("cy"), "line_no", F.col("box.left").alias("left"), "words", "box", middle(heights(F.col("words"))).alias("glyph")))).alias("lines"))
+    tall = F.filter(F.flatten(F.transform("lines", lambda x: heights(x["words"]))), lambda h: h > 0)
+    page = page.withColumn("label_glyph", F.coalesce(middle(tall), F.lit(1.0)))
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -36,7 +42,12 @@ def reading_lines(words: DataFrame) -> DataFrame:
 
     rows = page.withColumn("rows", F.aggregate("lines", start, step, lambda a: a["rows"]))
     ordered = F.array_sort(F.zip_with("rows", "lines", lambda r, x: F.struct(r.alias("row"), x["left"].alias("left"), x["line_no"].alias("line_no"), x["words"].alias("words"), x["box"].alias("box"), x["glyph"].alias("glyph"))))
-    return rows.select("label_id", "label_glyph", F.posexplode(ordered).alias("line", "x")).select("label_id", "label_glyph", "line", "x.words", "x.box", "x.glyph")
+    return rows.select("label_id", "label_glyph", F.transform(ordered, lambda x, n: F.struct(n.alias("line"), x["box"].alias("box"), x["glyph"].alias("glyph"), x["words"].alias("words"))).alias("page"))
+
+
+def reading_lines(words: DataFrame) -> DataFrame:
+    """label_id, label_glyph, line (position in reading order), words, box, glyph; one row per line of pages()."""
+    return pages(words).select("label_id", "label_glyph", F.explode("page").alias("x")).select("label_id", "label_glyph", "x.line", "x.words", "x.box", "x.glyph")
 
 
 def coherent(upper: Column, lower: Column, upper_glyph: Column, lower_glyph: Column, label_glyph: Column) -> Column:
@@ -55,50 +66,47 @@ def word_runs(n: Column, most: int = MAX_WORDS) -> Column:
     return F.filter(runs, lambda r: ~((r["start"] == 0) & (r["end"] == n)))
 
 
+def _span(lines: Column, run: Column, words: Column) -> Column:
+    """A span of words; no rule of the forms looks beyond a space, so its forms are the words' forms joined."""
+    form = lambda name: F.array_join(F.filter(F.transform(words, lambda w: w[name]), lambda x: x != ""), " ")
+    mean = F.aggregate(F.transform(words, lambda w: w["confidence"]), F.lit(0.0), lambda a, c: a + c) / F.size(words)
+    return F.struct(
+        lines.alias("lines"), run.alias("run"), F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("raw"), form("canonical").alias("canonical"), form("numeric").alias("numeric"),
+        G.union(F.transform(words, lambda w: w["box"])).alias("box"), mean.alias("confidence"), middle(F.transform(words, lambda w: G.height(w["box"]))).alias("glyph"), F.size(words).alias("n_words"),
+    )
+
+
+def label_spans(page: Column, label_glyph: Column, keep_blank: bool = False) -> Column:
+    """All spans of a page in generation order, with span_id (their place in it) and canonical_words."""
+    none = F.lit(None).cast("struct<start: int, end: int>")
+
+    def inside(x: Column) -> Column:
+        n = F.size(x["words"])
+        runs = F.transform(word_runs(n), lambda r: _span(F.array(x["line"]), r.cast("struct<start: int, end: int>"), F.slice(x["words"], r["start"] + 1, r["end"] - r["start"])))
+        return F.concat(F.array(_span(F.array(x["line"]), none, x["words"])), runs)
+
+    follows = F.zip_with(F.slice(page, F.lit(1), F.greatest(F.size(page) - 1, F.lit(0))), F.slice(page, F.lit(2), F.size(page)), lambda a, b: coherent(a["box"], b["box"], a["glyph"], b["glyph"], label_glyph))
+
+    def across(at: Column) -> Column:
+        lasting = F.filter(F.sequence(F.lit(1), F.least(F.lit(MAX_LINES - 1), F.size(page) - 1 - at)), lambda k: (at + k < F.size(page)) & (k > 0) & F.forall(F.slice(follows, at + 1, F.greatest(k, F.lit(0))), lambda ok: ok))
+        return F.transform(lasting, lambda k: _span(F.transform(F.slice(page, at + 1, k + 1), lambda x: x["line"]), none, F.flatten(F.transform(F.slice(page, at + 1, k + 1), lambda x: x["words"]))))
+
+    starts = F.when(F.size(page) > 1, F.sequence(F.lit(0), F.size(page) - 2)).otherwise(F.array().cast("array<int>"))
+    made = F.concat(F.flatten(F.transform(page, inside)), F.flatten(F.transform(starts, across)))
+    if not keep_blank:
+        made = F.filter(made, lambda s: s["canonical"] != "")
+    return F.transform(made, lambda s, n: F.struct(n.alias("span_id"), *[s[c].alias(c) for c in ("lines", "run", "raw", "canonical", "numeric", "box", "confidence", "glyph", "n_words")], F.size(tokens(s["canonical"])).alias("canonical_words")))
+
+
 def span_index(words: DataFrame, keep_blank: bool = False) -> DataFrame:
     """One row per span: span_id (its place in generation order, the tie-break), lines, texts, box.
 
     Generation order: for each line the whole line, then its runs by start and end; afterwards runs
     of two to four coherent lines by start and length. Spans of punctuation only vanish. One
-    exchange by label serves the whole index; nothing is joined but a label's own arrays.
+    exchange by label serves the whole index; the rest is an expression of a label's own lines.
     """
-    lines = reading_lines(words)
-    by = Window.partitionBy("label_id").orderBy("line")
-    n = F.size("words")
-    inside = lines.select(
-        "label_id", "label_glyph", "line",
-        F.posexplode(F.concat(F.array(F.struct(F.lit(0).alias("start"), n.alias("end"))), word_runs(n))).alias("k", "run"), "words",
-    )
-    single = inside.select("label_id", F.array("line").alias("lines"), F.when(F.col("k") > 0, F.col("run")).alias("run"), F.struct(F.lit(0).alias("family"), F.col("line").alias("a"), F.col("k").alias("b")).alias("made"), F.slice("words", F.col("run.start") + 1, F.col("run.end") - F.col("run.start")).alias("words"))
-    # the next lines, while each pair of neighbours is coherent
-    ahead = lines
-    for k in range(1, MAX_LINES):
-        here = lambda c, i=k - 1: F.col(c) if not i else F.lead(c, i).over(by)
-        ahead = ahead.withColumn(f"ok{k}", F.coalesce(coherent(here("box"), F.lead("box", k).over(by), here("glyph"), F.lead("glyph", k).over(by), F.col("label_glyph")), F.lit(False))).withColumn(f"w{k}", F.lead("words", k).over(by))
-    runs = []
-    for k in range(1, MAX_LINES):
-        whole = F.col("ok1")
-        for j in range(2, k + 1):
-            whole = whole & F.col(f"ok{j}")
-        joined = F.concat("words", *[F.col(f"w{j}") for j in range(1, k + 1)])
-        runs.append(F.when(whole, F.struct(F.lit(k).alias("k"), joined.alias("words"))))
-    several = ahead.select("label_id", "line", F.explode(F.array_compact(F.array(*runs))).alias("r"))
-    multi = several.select("label_id", F.sequence(F.col("line"), F.col("line") + F.col("r.k")).alias("lines"), F.lit(None).cast("struct<start: int, end: int>").alias("run"), F.struct(F.lit(1).alias("family"), F.col("line").alias("a"), F.col("r.k").alias("b")).alias("made"), F.col("r.words").alias("words"))
-    spans = single.unionByName(multi)
-    raw = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    mean = F.aggregate(F.transform("words", lambda w: w["confidence"]), F.lit(0.0), lambda a, c: a + c) / F.size("words")
-    heights = F.array_sort(F.transform("words", lambda w: w["box"]["bottom"] - w["box"]["top"]))
-    m = F.size("words")
-    middle = (F.get(heights, ((m - 1) / 2).cast("int")) + F.get(heights, (m / 2).cast("int"))) / 2
-    out = spans.select(
-        "label_id", "lines", "run", "made", raw.alias("raw"), G.union(F.transform("words", lambda w: w["box"])).alias("box"),
-        mean.alias("confidence"), middle.alias("glyph"), F.size("words").alias("n_words"),
-    )
-    out = out.withColumn("canonical", canonical(F.col("raw"))).withColumn("numeric", canonical_numeric(F.col("raw")))
-    if not keep_blank:
-        out = out.filter(F.col("canonical") != "")
-    ordinal = F.row_number().over(Window.partitionBy("label_id").orderBy("made")) - 1
-    return out.withColumn("span_id", ordinal).drop("made").withColumn("canonical_words", F.size(tokens(F.col("canonical"))))
+    spans = pages(words).select("label_id", F.explode(label_spans(F.col("page"), F.col("label_glyph"), keep_blank)).alias("s"))
+    return spans.select("label_id", "s.*")
 
 
 def candidate_trace(spans: DataFrame, masks: DataFrame) -> DataFrame:

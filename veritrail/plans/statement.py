@@ -94,7 +94,7 @@ def resolve_tokens(tokens: DataFrame, key: list[str], statute: list[str], least:
 
 def _units(page: Column) -> Column:
     """Words with tokens, in reading order: line, text, confidence, box, tokens."""
-    of_line = lambda x: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), w["text"].alias("text"), w["confidence"].alias("confidence"), w["box"].alias("box"), X.tokens(X.canonical(w["text"])).alias("tokens")))
+    of_line = lambda x: F.transform(x["words"], lambda w: F.struct(x["line"].alias("line"), w["text"].alias("text"), w["confidence"].alias("confidence"), w["box"].alias("box"), X.tokens(w["canonical"]).alias("tokens")))
     return F.filter(F.flatten(F.transform(page, of_line)), lambda u: F.size(u["tokens"]) > 0)
 
 
@@ -270,7 +270,7 @@ def _findings(rules: Rules, statute: Statute) -> Column:
 def judge_statements(rows: DataFrame, rules: Rules, statute: Statute | None = None) -> DataFrame:
     """label_id, w: what rows (label_id, page, quality) say of the statement; one row per label.
 
-    page: the lines in reading order (line, box, glyph, words with text, confidence, box). w: located,
+    page: the lines in reading order (line, box, glyph, words with text, confidence, box, canonical). w: located,
     box, found, score, confidence, verdict, reason, capitals, capitals_assertable, text, gaps,
     shares_line, precision, differences. A label without words, or without anything like the
     statement, is not located. Null quality is unassessed. Labels repeat as often as their rows;
@@ -285,7 +285,7 @@ def judge_statements(rows: DataFrame, rules: Rules, statute: Statute | None = No
     known = resolve_tokens(each, ["label_id", "u", "k"], tokens, rules.noise_length)
     entry = F.struct(F.concat_ws("_", "u", "k").alias("key"), "run")
     known = known.groupBy("label_id").agg(F.map_from_entries(F.collect_set(entry)).alias("runs"))
-    base = base.join(known, "label_id", "left")
+    base = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label_id").join(known, "label_id", "left")
     stand = lambda u, k: F.flatten(F.transform(u["tokens"], lambda t, m: F.coalesce(F.try_element_at(F.col("runs"), F.concat_ws("_", k.cast("string"), m.cast("string"))), F.array(t))))
     base = base.withColumn("stood", F.transform("units", stand))
     ahead, back = A.bits_of(tokens), A.bits_of(tokens, True)

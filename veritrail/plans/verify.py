@@ -20,7 +20,8 @@ from veritrail.functions import geometry as G
 from veritrail.functions import patterns as P
 from veritrail.functions import similarity as S
 from veritrail.functions import text as X
-from veritrail.operators.spans import reading_lines, span_index, unmasked
+from veritrail.operators.spans import label_spans, pages, unmasked
+from veritrail.operators.vocabulary import near_terms
 from veritrail.plans.statement import judge_statements
 from veritrail.rules import HEADER, TAILS, Rules, load
 from veritrail.schemas import BOX, CHECK
@@ -81,52 +82,15 @@ def wording_scores(phrases: tuple[str, ...]):
     return F.pandas_udf(best, T.ArrayType(T.DoubleType()))
 
 
-DESIGNATION = T.ArrayType(T.StructType([T.StructField("span_id", T.IntegerType()), T.StructField("term", T.IntegerType()), T.StructField("score", T.DoubleType())]))
-
-
-def designations(terms: list[str], least: float):
-    """Spans that read as a known designation: (span_id, term, score) for scores of least and more.
-
-    Lengths bound the score before it is computed.
-    """
-    shapes = [(t, " ".join(sorted(t.split())), t.replace(" ", "")) for t in terms]
-
-    def near(spans: pd.Series, ids: pd.Series) -> pd.Series:
-        known: dict[str, list] = {}
-        out = []
-        for texts, numbers in zip(spans, ids):
-            rows = []
-            for x, i in zip(texts, numbers):
-                if x not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    a, b = " ".join(sorted(x.split())), x.replace(" ", "")
-                    known[x] = []
-                    for k, (_, o, d) in enumerate(shapes):
-                        if max(2 * min(len(a), len(o)) / max(len(a) + len(o), 1), 2 * min(len(b), len(d)) / max(len(b) + len(d), 1)) >= least:
-                            s = max(S.indel(a, o), S.indel(b, d))
-                            if s >= least:
-                                known[x].append((k, s))
-                rows += [{"span_id": int(i), "term": k, "score": s} for k, s in known[x]]
-            out.append(rows)
-        return pd.Series(out)
-
-    near.__annotations__ = {"spans": pd.Series, "ids": pd.Series, "return": pd.Series}
-    return F.pandas_udf(near, DESIGNATION)
-
-
 def label_rows(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules) -> DataFrame:
     """One row per record with quality, page (lines with their words, in reading order) and spans in generation order."""
-    spans = span_index(words).groupBy("label_id").agg(
-        F.array_sort(F.collect_list(F.struct("span_id", "lines", F.col("run").isNull().alias("whole"), "raw", "canonical", "canonical_words", "numeric", "box", "confidence", "glyph", "n_words"))).alias("spans")
-    )
-    page = reading_lines(words).groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct("line", "box", "glyph", "words"))).alias("page"))
-    rows = records.join(labels.select("label_id", "quality"), "label_id", "left").join(spans, "label_id", "left").join(page, "label_id", "left")
-    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(span_index_type(spans)))).withColumn("page", F.coalesce("page", F.array().cast(page.schema["page"].dataType)))
-
-
-def span_index_type(spans: DataFrame):
-    return spans.schema["spans"].dataType
+    # by number: the work is many times what the bytes suggest, so small partitions stay apart
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = pages(words.repartition(parts, "label_id")).select("label_id", "page", label_spans(F.col("page"), F.col("label_glyph")).alias("spans"))
+    spans = F.transform("spans", lambda s: F.struct(s["span_id"], s["lines"], s["run"].isNull().alias("whole"), *[s[c] for c in ("raw", "canonical", "canonical_words", "numeric", "box", "confidence", "glyph", "n_words")]))
+    read = read.withColumn("spans", spans)
+    rows = records.repartition(parts, "label_id").join(labels.select("label_id", "quality"), "label_id", "left").join(read, "label_id", "left")
+    return rows.withColumn("spans", F.coalesce("spans", F.array().cast(read.schema["spans"].dataType))).withColumn("page", F.coalesce("page", F.array().cast(read.schema["page"].dataType)))
 
 
 def free(masks: Column) -> Column:
@@ -297,8 +261,9 @@ def net_contents(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
 
 
 def _ranked(spans: str, sims: str, words: Column, penalty: float, weight: float) -> Column:
-    """Spans with sim and score, best first; equal scores by generation order."""
-    scored = F.zip_with(spans, sims, lambda s, m: F.struct((-(m * S.length_penalty(s["canonical_words"], words, penalty) * S.confidence_factor(s["confidence"], weight))).alias("order"), s["span_id"].alias("id"), m.alias("sim"), s.alias("s")))
+    """Spans with sim, score (order, negated) and score but for the confidence (by), best first; equal scores by generation order."""
+    by = lambda s, m: m * S.length_penalty(s["canonical_words"], words, penalty)
+    scored = F.zip_with(spans, sims, lambda s, m: F.struct((-(by(s, m) * S.confidence_factor(s["confidence"], weight))).alias("order"), s["span_id"].alias("id"), m.alias("sim"), by(s, m).alias("by"), s.alias("s")))
     return F.array_sort(scored)
 
 
@@ -342,76 +307,109 @@ def _families(text: Column, families: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def designation_hits(texts: DataFrame, terms: list[str], least: float, penalty: float) -> DataFrame:
+    """text, hit (term, sim, score): the known designation that each text reads as, the best by similarity and length."""
+    spark = texts.sparkSession
+    listed = spark.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, place int")
+    near = near_terms(texts, listed, least)
+    score = F.col("score") * S.length_penalty(F.size(X.tokens(F.col("text"))), F.size(X.tokens(F.col("term"))), penalty)
+    best = near.withColumn("by", score).filter(F.col("by") >= least).groupBy("text").agg(F.min(F.struct((-F.col("by")).alias("by"), "place", "term", "score")).alias("b"))
+    return best.select("text", F.struct(F.col("b.term").alias("term"), F.col("b.score").alias("sim"), (-F.col("b.by")).alias("score")).alias("hit"))
+
+
 @strategy("class_type")
 def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
+    """The designation: a read of the expected one, the likest text beside the brand, or another known designation."""
     f = rules.of(field)
     expand, terms, families = _expanded(rules)
     names = list(terms)
     want = expand(X.canonical(F.col(field)))
     brand = F.col("done.brand_name.box")
     outside = lambda s: brand.isNull() | ~G.overlaps(s["box"], brand, 0.25)
-    pool = F.transform(F.filter(free(F.col("masks")), outside), lambda s: s.withField("canonical", expand(s["canonical"])))
+    pool = F.transform(F.filter(free(F.col("masks")), outside), lambda s: s.withField("own_words", s["canonical_words"]).withField("canonical", expand(s["canonical"])))
     base = rows.withColumn("want", want).withColumn("pool", pool)
     base = base.withColumn("pool", F.transform("pool", lambda s: s.withField("canonical_words", F.size(X.tokens(s["canonical"])))))
-    base = base.withColumn("sims", similarities(F.transform("pool", lambda s: s["canonical"]), F.col("want")))
-    base = base.withColumn("ranked", _ranked("pool", "sims", F.size(X.tokens(F.col("want"))), f.length_penalty, f.confidence_weight))
-    base = base.withColumn("known", designations(names, f.match)(F.transform("pool", lambda s: s["canonical"]), F.transform("pool", lambda s: s["span_id"])))
-    best = F.get("ranked", F.lit(0))
-    top = -best["order"]
+    base = base.drop("spans", "page").withColumn("sims", similarities(F.transform("pool", lambda s: s["canonical"]), F.col("want")))
+    base = materialise(base.withColumn("ranked", _ranked("pool", "sims", F.size(X.tokens(F.col("want"))), f.length_penalty, f.confidence_weight)), "pools")
+    # known designations, for each text once however many labels print it
+    printed = base.select("label_id", F.explode(F.array_distinct(F.transform("pool", lambda s: s["canonical"]))).alias("text"))
+    found = designation_hits(printed, names, f.match, f.length_penalty)
+    of_label = printed.join(found, "text").groupBy("label_id").agg(F.map_from_entries(F.collect_list(F.struct("text", "hit"))).alias("known"))
+    wanted = base.select(F.col("want").alias("text"))
+    listed = base.sparkSession.createDataFrame([(t, k) for k, t in enumerate(names)], "term string, place int")
+    same = near_terms(wanted, listed, f.match, len(names)).groupBy(F.col("text").alias("want")).agg(F.collect_set("term").alias("same"))
+    base = base.join(of_label, "label_id", "left").join(same, "want", "left")
     near_brand = lambda box: brand.isNotNull() & F.coalesce(G.near(box, brand, rules.reach_heights), F.lit(False))
+    weigh = lambda s, score: score * S.confidence_factor(s["confidence"], f.confidence_weight)
+    met = F.filter(F.transform("pool", lambda s: F.struct(F.try_element_at("known", s["canonical"]).alias("hit"), s.alias("s"))), lambda o: o["hit"].isNotNull())
+    met = F.filter(met, lambda o: ~F.array_contains(F.coalesce("same", F.array().cast("array<string>")), o["hit"]["term"]))
+    others = F.transform(met, lambda o: F.struct(o["hit"]["term"].alias("term"), o["hit"]["sim"].alias("sim"), weigh(o["s"], o["hit"]["score"]).alias("score"), near_brand(o["s"]["box"]).alias("near"), o["s"].alias("s")))
+    base = base.withColumn("others", others).withColumn("others", F.coalesce("others", F.array().cast(base.withColumn("others", others).schema["others"].dataType)))
+    first = F.get("ranked", F.lit(0))
     residual = lambda r: S.residual_edits(r["s"]["canonical"], F.col("want"))
+
+    def likeliest(hits: Column) -> Column:
+        """In position, then the strongest, then the longest; grown to the most specific one that holds it."""
+        best = F.array_min(F.transform(hits, lambda o: F.struct((~o["near"]).alias("a"), (-F.round(o["score"], 4)).alias("b"), (-o["s"]["own_words"]).alias("c"), o["s"]["span_id"].alias("d"), o.alias("o"))))["o"]
+        return best
+
+    def grown(hits: Column, best: Column) -> Column:
+        wider = F.filter(hits, lambda o: G.contains(best["s"]["box"], o["s"]["box"]) & (o["s"]["own_words"] > best["s"]["own_words"]))
+        return F.coalesce(F.array_min(F.transform(wider, lambda o: F.struct((-o["s"]["own_words"]).alias("a"), (-o["score"]).alias("b"), o["s"]["span_id"].alias("c"), o.alias("o"))))["o"], best)
+
     # 1: a read of the expected designation; of those that clear, the best without residual edits
     clearing = F.filter("ranked", lambda r: -r["order"] >= f.match)
     exact = F.get(F.filter(clearing, lambda r: residual(r) <= rules.max_residual_edits), F.lit(0))
-    base = base.withColumn("chosen", F.coalesce(exact, F.get(clearing, F.lit(0)), best)).withColumn("top", top)
-    terms_array = F.array(*[F.lit(n) for n in names])
-    term = lambda k: F.element_at(terms_array, k + 1)
-    by_id = lambda i: F.get(F.filter("pool", lambda s: s["span_id"] == i), F.lit(0))
-    others = F.filter(F.transform("known", lambda k: F.struct(k["score"].alias("score"), term(k["term"]).alias("term"), by_id(k["span_id"]).alias("s"))), lambda k: k["term"] != F.col("want"))
-    base = base.withColumn("others", others)
+    base = base.withColumn("chosen", F.coalesce(exact, F.get(clearing, F.lit(0)), first)).withColumn("top", -first["order"])
     c = F.col("chosen")
-    refined = F.exists("others", lambda o: G.contains(o["s"]["box"], c["s"]["box"]) & (o["s"]["canonical_words"] > c["s"]["canonical_words"]) & (o["term"] != F.col("want")))
+    base = base.withColumn("longer", F.filter("others", lambda o: G.contains(c["s"]["box"], o["s"]["box"]) & (o["s"]["own_words"] > c["s"]["own_words"])))
+    base = base.withColumn("refined", likeliest(F.col("longer"))).withColumn("refined", grown(F.col("longer"), F.col("refined")))
     # 2: the likest text near the brand
-    base = base.withColumn("beside", F.array_min(F.transform(F.filter("ranked", lambda r: near_brand(r["s"]["box"]) & (r["sim"] >= rules.positional_floor)), lambda r: F.struct((-F.round(r["sim"], 4)).alias("a"), r["order"].alias("b"), r["id"].alias("c"), r.alias("r"))))["r"])
+    beside = F.array_min(F.transform(F.filter("ranked", lambda r: near_brand(r["s"]["box"])), lambda r: F.struct((-F.round(r["by"], 4)).alias("a"), r["order"].alias("b"), r["id"].alias("c"), r.alias("r"))))["r"]
+    base = base.withColumn("beside", beside).withColumn("beside", F.when(F.col("beside.by") >= rules.positional_floor, F.col("beside")))
     # 3: another known designation, not a part of a plausible read of the expected one
-    plausible = F.filter("ranked", lambda r: -r["order"] > f.mismatch)
-    fragment = lambda o: F.exists(plausible, lambda r: G.contains(r["s"]["box"], o["s"]["box"]) & (r["s"]["canonical_words"] > o["s"]["canonical_words"]))
-    hit = F.array_min(F.transform(F.filter("others", lambda o: ~fragment(o)), lambda o: F.struct((~near_brand(o["s"]["box"])).alias("a"), (-F.round(o["score"], 4)).alias("b"), (-o["s"]["canonical_words"]).alias("c"), o["s"]["span_id"].alias("d"), o.alias("o"))))["o"]
-    base = base.withColumn("hit", hit)
+    base = base.withColumn("plausible", F.concat(F.filter("ranked", lambda r: -r["order"] > f.mismatch), F.array_compact(F.array("beside"))))
+    mine = X.tokens(F.col("want"))
+    within = lambda o: F.size(F.array_except(X.tokens(o["term"]), mine)) == 0
+    fragment = lambda o: within(o) & F.exists("plausible", lambda r: G.contains(r["s"]["box"], o["s"]["box"]) & (r["s"]["own_words"] > o["s"]["own_words"]))
+    base = base.withColumn("left", F.filter("others", lambda o: ~fragment(o))).withColumn("hit", likeliest(F.col("left"))).withColumn("hit", grown(F.col("left"), F.col("hit")))
     h = F.col("hit")
-    # the most specific designation that holds the chosen one
-    wider = F.filter("others", lambda o: G.contains(o["s"]["box"], h["s"]["box"]) & (o["s"]["canonical_words"] > h["s"]["canonical_words"]))
-    base = base.withColumn("hit", F.coalesce(F.array_min(F.transform(wider, lambda o: F.struct((-o["s"]["canonical_words"]).alias("a"), (-o["score"]).alias("b"), o["s"]["span_id"].alias("c"), o.alias("o"))))["o"], h))
-    mine, theirs = X.tokens(F.col("want")), X.tokens(F.col("hit.term"))
+    theirs = X.tokens(F.col("hit.term"))
     fam_a, fam_b = _families(F.col("want"), families), _families(F.col("hit.term"), families)
-    agreement = F.get(F.transform(F.filter("ranked", lambda r: r["s"]["span_id"] == F.col("hit.s.span_id")), lambda r: -r["order"]), F.lit(0))
-    competing = F.exists(plausible, lambda r: ~G.overlaps(r["s"]["box"], F.col("hit.s.box"), 0.25))
+    agreed = lambda o: F.coalesce(F.get(F.transform(F.filter("ranked", lambda r: r["s"]["span_id"] == o["s"]["span_id"]), lambda r: -r["order"]), F.lit(0)), F.lit(0.0))
+    base = base.withColumn("agreement", agreed(h))
+    competing = F.exists("plausible", lambda r: ~G.overlaps(r["s"]["box"], F.col("hit.s.box"), 0.25))
+    part = (F.size(F.array_except(mine, theirs)) == 0) | (F.size(F.array_except(theirs, mine)) == 0)
     blockers = F.array_compact(F.array(
-        F.when((F.size(F.array_except(mine, theirs)) == 0) | (F.size(F.array_except(theirs, mine)) == 0), "refinement"),
-        F.when((F.size(fam_a) == 0) | (F.size(fam_b) == 0), "unknown_family"),
-        F.when(F.arrays_overlap(fam_a, fam_b), "same_family"),
-        F.when(F.col("hit.score") < rules.vocabulary_assert_similarity, "weak_read"),
+        F.when(part, "refinement"),
+        F.when(~part & ((F.size(fam_a) == 0) | (F.size(fam_b) == 0)), "unknown_family"),
+        F.when(~part & F.arrays_overlap(fam_a, fam_b), "same_family"),
+        F.when(F.col("hit.sim") < rules.vocabulary_assert_similarity, "weak_read"),
         F.when(F.col("hit.s.confidence") < max(rules.class_assert_confidence, rules.min_confidence), "low_confidence"),
         F.when(brand.isNull(), "no_brand_anchor"),
-        F.when(brand.isNotNull() & ~near_brand(F.col("hit.s.box")), "not_in_position"),
+        F.when(brand.isNotNull() & ~F.col("hit.near"), "not_in_position"),
         F.when(~good_image(rules), "degraded_image"),
-        F.when(agreement > f.mismatch, "close_to_expected"),
+        F.when(F.col("agreement") > f.mismatch, "close_to_expected"),
         F.when(competing, "competing_read"),
     ))
+    base = base.withColumn("blockers", blockers)
     low = lambda r: r["s"]["confidence"] < rules.min_confidence
     read = lambda r, verdict, why: result(True, verdict, F.col(field), r["s"]["raw"], r["s"]["box"], F.round(-r["order"], 4), r["s"]["confidence"], why)
-    clean = F.when(refined | low(c) | (residual(c) > rules.max_residual_edits), "REVIEW").otherwise("MATCH")
-    why = F.when(refined, "a longer designation is printed").when(clean == "MATCH", "the label reads the same").otherwise("the label reads nearly the same")
-    other = result(True, F.when(F.size(blockers) == 0, "MISMATCH").otherwise("REVIEW"), F.col(field), h["s"]["raw"], h["s"]["box"], F.round(F.coalesce(agreement, F.lit(0.0)), 4), h["s"]["confidence"], F.concat(F.lit("the label reads "), h["term"], F.when(F.size(blockers) > 0, F.concat(F.lit(" ("), F.array_join(blockers, ", "), F.lit(")"))).otherwise("")))
+    said = lambda o, verdict, score, why: result(True, verdict, F.col(field), o["s"]["raw"], o["s"]["box"], F.round(score, 4), o["s"]["confidence"], F.concat(F.lit("the label reads "), o["term"], why))
+    clean = F.when(low(c) | (residual(c) > rules.max_residual_edits), "REVIEW").otherwise("MATCH")
+    why = F.when(clean == "MATCH", "the label reads the same").otherwise("the label reads nearly the same")
+    r = F.col("refined")
+    other = said(h, F.when(F.size("blockers") == 0, "MISMATCH").otherwise("REVIEW"), F.col("agreement"), F.when(F.size("blockers") > 0, F.concat(F.lit(" ("), F.array_join("blockers", ", "), F.lit(")"))).otherwise(""))
     out = (
         F.when(F.col("want") == "", not_found(F.col(field), "the application states no designation"))
+        .when((F.col("top") >= f.match) & r.isNotNull(), said(r, "REVIEW", agreed(r), F.lit(" (a longer designation is printed)")))
         .when(F.col("top") >= f.match, read(c, clean, why))
         .when(h.isNotNull(), other)
-        .when((F.col("top") > f.mismatch) & (near_brand(best["s"]["box"]) | F.col("beside").isNull()), read(best, "REVIEW", F.lit("resembles the expected designation")))
+        .when((F.col("top") > f.mismatch) & (near_brand(first["s"]["box"]) | F.col("beside").isNull()), read(first, "REVIEW", F.lit("resembles the expected designation")))
         .when(F.col("beside").isNotNull(), read(F.col("beside"), "REVIEW", F.lit("stands where the designation should")))
         .otherwise(not_found(F.col(field), "could not be located"))
     )
-    return base.withColumn("result", out).drop("want", "pool", "sims", "ranked", "known", "chosen", "top", "others", "beside", "hit")
+    return base.select("label_id", "masks", "done", out.alias("result"))
 
 
 def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules | None = None) -> DataFrame:

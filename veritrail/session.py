@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans of the verification are large; where each of their columns was made is not kept
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
