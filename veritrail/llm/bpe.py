@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import table, without
+from veritrail.llm.common import own_name, table, without
 
 #: Pieces whose encoding a worker remembers, and neighbours it has judged; when full, either starts anew.
 MEMORY, JUDGED = 250_000, 300_000
@@ -183,7 +183,7 @@ def encode_texts(docs: DataFrame, ranks_file: str, pattern: str, text_col: str =
     """
     rest = without(docs, {"ids", text_col})
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields)
-    given = docs.select(F.col(f"`{text_col}`").cast("string").alias("__encoded"), *[F.col(f"`{c}`") for c in rest.columns])
+    given = docs.select(F.col(f"`{text_col}`").cast("string").alias(own_name(rest, "__encoded")), *[F.col(f"`{c}`") for c in rest.columns])
     return given.mapInArrow(_encoding(ranks_file, pattern), f"{fields}ids array<int>")
 
 
@@ -231,7 +231,7 @@ def _digests(ranks_file: str, pattern: str, with_ids: bool):
 
 def round_trip(docs: DataFrame, ranks_file: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """The kept columns, with with_ids the ids, then n_tokens, ids_sha256 and decoded_sha256 of encode and decode."""
-    given = docs.select(F.col(f"`{text_col}`").cast("string").alias("__encoded"), *[F.col(f"`{c}`") for c in keep])
+    given = docs.select(F.col(f"`{text_col}`").cast("string").alias(own_name(docs, "__encoded")), *[F.col(f"`{c}`") for c in keep])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[1:])
     ids = "ids array<int>, " if with_ids else ""
     return given.mapInArrow(_digests(ranks_file, pattern, with_ids), f"{fields}{ids}n_tokens long, ids_sha256 string, decoded_sha256 string")

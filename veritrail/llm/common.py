@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from veritrail.scratch import forget, materialise
 
-__all__ = ["forget", "id_crc", "materialise", "table", "without"]
+__all__ = ["forget", "id_crc", "materialise", "own_name", "table", "without"]
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores added as keep it apart from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without(df: DataFrame, names: set[str] | list[str]) -> DataFrame:

@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import forget, materialise, table, without
-from veritrail.llm.substring_dedup import MIN_WORDS, SPAN, lines_cut
+from veritrail.llm.substring_dedup import KEY, MIN_WORDS, SPAN, keyed, lines_cut, restored
 from veritrail.llm.wordarrays import Words, blocks, mix
 
 WORDS = 50
 GRAM = 25
-KEY = ("unit_doc", "unit_text")
 
 
 def _sliding(h: np.ndarray, k: int, of) -> np.ndarray:
@@ -150,16 +149,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of the texts without repeated lines; runs that overlap go as one, with the white space after
     them. Rows with a null id or text claim no run and are returned as they are. Rows that repeat
     id and text are one text given twice: each loses what the text loses. Two texts under one id
-    are told apart in runs; a line that one of them loses goes from both. Texts of any length are
-    hashed whole; an empty table gives an empty result; input columns named removed or kept are
-    dropped.
+    are two texts, in lines as in runs. Texts of any length are hashed whole; an empty table gives
+    an empty result; input columns named removed or kept are dropped, others may have any name.
     """
-    key = [F.col(f"`{id_col}`").cast("long").alias(KEY[0]), F.xxhash64(F.col(f"`{text_col}`")).alias(KEY[1])]
-    by_line, written = lines_cut(docs, id_col, text_col, min_words)
-    lined = materialise(by_line.select("*", *key), "lined")
+    rest = without(docs, {"removed", "kept"})
+    by_line, written = lines_cut(keyed(rest, id_col, text_col), min_words)
+    lined = materialise(by_line, "lined")
     forget(*written)
-    usable = lined.filter(f"unit_doc is not null and `{text_col}` is not null")
-    grams = materialise(usable.select(*KEY, F.col(f"`{text_col}`")).mapInArrow(_grams(words, gram), "unit_doc long, unit_text long, pos int, h long"), "grams")
+    usable = lined.filter("unit_doc is not null and text is not null")
+    grams = materialise(usable.select(*KEY, "text").mapInArrow(_grams(words, gram), "unit_doc long, unit_text long, pos int, h long"), "grams")
     # written, so that Spark can split the joins where one gram or run has most rows
     twice = materialise(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "twice")
     places = grams.join(twice, "h").groupBy(*KEY).agg(F.collect_set("pos").alias("places"))
@@ -167,20 +165,18 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     forget(lined, grams, twice)
     met = placed.filter("places is not null")
     form = "unit_doc long, unit_text long, pos int, h long, h2 long"
-    runs = materialise(met.dropDuplicates(list(KEY)).select(*KEY, F.col(f"`{text_col}`"), "places").mapInArrow(_runs(words, gram), form), "runs")
+    runs = materialise(met.dropDuplicates(list(KEY)).select(*KEY, "text", "places").mapInArrow(_runs(words, gram), form), "runs")
     rank = F.struct(*KEY, "pos")
     first = materialise(runs.groupBy("h", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "h2", "first"), "first-runs")
     starts = runs.join(first, ["h", "h2"]).filter(rank > F.col("first")).groupBy(*KEY).agg(F.array_sort(F.collect_list("pos")).alias("starts"))
     cut = met.join(starts, list(KEY), "left").unionByName(placed.filter("places is null").withColumn("starts", F.lit(None).cast("array<int>")))
-    rest = without(docs, {"removed", "kept"})
-    others = [f for f in rest.schema.fields if f.name != text_col]
-    given = cut.select(text_col, "starts", "removed", "kept", *[F.col(f"`{f.name}`") for f in others])
-    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in others)
-    done = given.mapInArrow(_cut(words), f"`{text_col}` string, removed array<{SPAN}>, kept array<{SPAN}>{fields}")
-    return done.select(*[F.col(f"`{c}`") for c in rest.columns], "removed", "kept")
+    row = lined.schema["row"].dataType.simpleString()
+    done = cut.select("text", "starts", "removed", "kept", "row").mapInArrow(_cut(words), f"text string, removed array<{SPAN}>, kept array<{SPAN}>, row {row}")
+    return restored(done, rest.columns, text_col)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated lines and runs; nulls, repeats and empty tables as dedup_passages() states."""
     done = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return done.select("doc_id", "text", F.size("removed").alias("n_removed"), flat("removed").alias("removed_spans"), flat("kept").alias("kept_spans"))
@@ -192,8 +188,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows stay, whatever is cut; those with a null id or text are returned as they are. Repeated
     ids as in dedup_passages.
     """
-    done = dedup_passages(docs)
-    cols = [F.when(F.size("removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.col("doc_id").alias("unit"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
+    done = dedup_passages(rows, "unit")
+    cols = []
+    for c in docs.columns:
+        was = F.col("text") if c == "text" else F.col(f"rest.`{c}`")
+        cols.append((F.when(F.size("removed") > 0, F.char_length("text").cast("long")).otherwise(was) if c == "n_chars" else was).alias(c))
     return done.select(*cols)
 
 

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import table, without
+from veritrail.llm.common import own_name, table, without
 from veritrail.llm.wordarrays import Words, blocks, mix
 
 MIN_WORDS = 20
@@ -153,7 +153,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     """
     own = {x.split()[0] for x in COLUMNS.split(", ")}
     rest = without(docs if keep is None else docs.select(*keep), own)
-    given = docs.select(F.col(text_col).cast("string").alias("__judged"), *[F.col(f"`{c}`") for c in rest.columns])
+    given = docs.select(F.col(f"`{text_col}`").cast("string").alias(own_name(rest, "__judged")), *[F.col(f"`{c}`") for c in rest.columns])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return given.mapInArrow(_rules, f"{fields}, {COLUMNS}" if fields else COLUMNS)
 
@@ -163,6 +163,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep."""
-    names = docs.columns
-    return quality_rules(docs).filter("kept").select(*[F.col(f"`{c}`") for c in names])
+    """Pipeline stage: the documents that the rules keep, with all their columns, whatever these are called.
+
+    A null or empty text has no words and goes; repeated rows are judged alike, so all of them
+    stay or go; an empty table gives an empty one.
+    """
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    return quality_rules(rows, keep=["row"]).filter("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import materialise, table, without
+from veritrail.llm.common import materialise, own_name, table, without
 
 SHARDS = 24
 #: A shard's bytes may miss an equal share by this part of it.
@@ -137,15 +137,16 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_i
     part = _ranges(key, [edges[k] for k in keep_edges], [place[k] for k in order])
     counts = rows.select(part.alias(PART)).groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
     by_shard = Window.partitionBy(SHARD).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn(SHARD, F.floor(F.col(PART) / per_shard).cast("int")).select(PART, SHARD, F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias("__before"))
+    before, rank = own_name(rest, "__before"), own_name(rest, "__rank")
+    offsets = counts.withColumn(SHARD, F.floor(F.col(PART) / per_shard).cast("int")).select(PART, SHARD, F.coalesce(F.sum("n").over(by_shard), F.lit(0)).alias(before))
     offsets = materialise(offsets, "offsets")
     # equal keys of different rows, should a hash meet twice, follow the size: any order is as good
     in_part = Window.partitionBy(PART).orderBy(KEY, BYTES)
-    ranked = rows.withColumn(PART, part).withColumn("__rank", F.row_number().over(in_part))
+    ranked = rows.withColumn(PART, part).withColumn(rank, F.row_number().over(in_part))
     # offsets has a row for each part_bytes of text; up to 100,000 such rows are small enough to send
     small = shards * per_shard <= 100_000
     out = ranked.join(F.broadcast(offsets) if small else offsets, PART)
-    return out.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(SHARD).alias("shard"), (F.col("__before") + F.col("__rank") - 1).alias("slot"))
+    return out.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(SHARD).alias("shard"), (F.col(before) + F.col(rank) - 1).alias("slot"))
 
 
 def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

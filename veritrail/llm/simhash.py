@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import forget, materialise, table
+from veritrail.llm.common import forget, materialise, own_name, table
 from veritrail.llm.components import components
 from veritrail.llm.wordarrays import LOWER_TABLE
 
@@ -202,5 +202,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(stays, same, "left_semi")
     if not prints.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         equal = Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(F.lit(1))
-        kept = kept.withColumn("__keep_one_nth", F.row_number().over(equal)).filter("__keep_one_nth = 1")
+        nth = own_name(docs, "__keep_one_nth")
+        kept = kept.withColumn(nth, F.row_number().over(equal)).filter(F.col(nth) == 1)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
