@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,16 @@ from veritrail.functions import geometry as G
 from veritrail.functions import patterns as P
 from veritrail.functions import similarity as S
 from veritrail.functions import text as X
+from veritrail.functions.alignment import opcodes
 from veritrail.operators import evaluation as E
 from veritrail.operators import pairing, quality, triage
 from veritrail.operators.spans import candidate_trace, neighbour_gaps, reading_lines, span_index
-from veritrail.plans.verify import broken_invariants, verify
+from veritrail.operators.vocabulary import near_terms
+from veritrail.plans.statement import Statute, resolve_tokens
+from veritrail.plans.verify import broken_invariants, refused, verify, verify_versions
 from veritrail.queries import _BOXES, _FIELDS, _PAIRS, TARGETS, _boxes, _field_results, _rows_files, t
-from veritrail.rules import STATUTE, load, rules_table
+from veritrail.rules import STATUTE, VOCABULARY, document, load, read_rules, rules_table
+from veritrail.scratch import scratch_path
 from veritrail.sources import images, manifest, sidecars
 from veritrail.sources.results import results_table
 from veritrail.sources.samples import wrap
@@ -239,10 +245,15 @@ def statement_gaps(spark, sf_dir):
     return neighbour_gaps(blocks, lines).select("label_id", *[F.round(c, 4).alias(c) for c in ("above", "below", "beside")])
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS label_id FROM part WHERE false")
+@query("""
+WITH p AS (SELECT p_partkey % 10 AS m FROM part), f AS (SELECT unnest(['alcohol_content', 'brand_name', 'class_type', 'government_warning', 'net_contents']) AS field, m FROM p)
+SELECT field, count(*) AS judged, count(*) FILTER ((field, m) IN (('alcohol_content', 2), ('class_type', 6), ('government_warning', 4), ('government_warning', 9), ('net_contents', 3))) AS mismatches, CAST(0 AS BIGINT) AS broken FROM f GROUP BY field""")
 def verdict_invariants(spark, sf_dir):
-    rules = load()
-    return broken_invariants(verify(*shelf(t(spark, sf_dir, "part")), rules)).select("label_id")
+    """Per field how many labels were judged, how many mismatch, and how many of the results can't be."""
+    judged = verify(*shelf(t(spark, sf_dir, "part")), load())
+    broken = broken_invariants(judged).groupBy("field").agg(F.count(F.lit(1)).alias("broken"))
+    sums = judged.groupBy("field").agg(F.count(F.lit(1)).alias("judged"), F.count_if(F.col("verdict") == "MISMATCH").alias("mismatches"))
+    return sums.join(broken, "field", "left").fillna(0, ["broken"])
 
 
 # recognised words
@@ -427,6 +438,137 @@ def batch_signals(spark, sf_dir):
     )
 
 
-@query("""SELECT * FROM (VALUES ('government_warning', 1, 5), ('alcohol_content', 2, 2), ('net_contents', 3, 3), ('brand_name', 4, 1), ('class_type', 5, 4)) AS r(field, resolve_order, display_order)""")
+# the statement's words and the designations
+
+_TOKENS = Statute().tokens
+_CLASS = """CASE WHEN translate({e}, '012568', 'OIZSGB') = translate({f}, '012568', 'OIZSGB') THEN 'noise' WHEN length({e}) < 5 OR starts_with({e}, {f}) OR starts_with({f}, {e}) THEN 'wording'
+  WHEN levenshtein({e}, {f}) = 1 AND NOT (length({e}) = length({f}) AND translate({e}, 'EIOU', 'AAAA') = translate({f}, 'EIOU', 'AAAA')) THEN 'noise' WHEN levenshtein({e}, {f}) = 2 THEN 'ambiguous' ELSE 'wording' END"""
+
+
+@query(f"""
+WITH s AS (SELECT {_TOKENS!r} AS ts),
+runs AS (SELECT n, i, ts[i:i + n - 1] AS run, array_to_string(ts[i:i + n - 1], '') AS text FROM s, unnest(range(1, 7)) AS a(n), unnest(range(1, 44)) AS b(i) WHERE i + n <= 44),
+asked AS (SELECT p_partkey, array_to_string(ts[p_partkey % 43 + 1:p_partkey % 43 + 1 + p_size % 6], '') AS r, p_size % 7 + 1 AS pos FROM part, s),
+q AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN r[1:pos - 1] || r[pos + 1:] WHEN 2 THEN r[1:pos - 1] || 'X' || r[pos + 1:] WHEN 3 THEN r[1:pos - 1] || 'Q' || r[pos:] ELSE r END AS token FROM asked),
+met AS (SELECT p_partkey, run, n, i, CASE WHEN n > 1 AND text = token THEN 0 WHEN n = 1 AND {_CLASS.format(e="text", f="token")} = 'noise' THEN 1 WHEN n > 1 AND levenshtein(text, token) <= 1 THEN 2 END AS o
+  FROM q, runs, s WHERE token <> '' AND NOT list_contains(ts, token))
+SELECT p_partkey, array_to_string(run, ' ') AS stands_for FROM met WHERE o IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY o, n, i) = 1""")
+def merged_words(spark, sf_dir):
+    """Runs of the statute without their spaces, most with a letter wrong, back to words."""
+    words = F.array(*[F.lit(x) for x in _TOKENS])
+    run = F.array_join(F.slice(words, (F.col("p_partkey") % 43 + 1).cast("int"), F.col("p_size") % 6 + 1), "")
+    q = t(spark, sf_dir, "part").select("p_partkey", run.alias("r"), (F.col("p_size") % 7 + 1).alias("at"))
+    head, here, tail = F.substring("r", F.lit(1), F.col("at") - 1), F.substring("r", F.col("at"), F.lit(99)), F.substring("r", F.col("at") + 1, F.lit(99))
+    edit = F.col("p_partkey") % 4
+    token = F.when(edit == 1, F.concat(head, tail)).when(edit == 2, F.concat(head, F.lit("X"), tail)).when(edit == 3, F.concat(head, F.lit("Q"), here)).otherwise(F.col("r"))
+    return resolve_tokens(q.select("p_partkey", token.alias("token")), ["p_partkey"], _TOKENS, 5).select("p_partkey", F.array_join("run", " ").alias("stands_for"))
+
+
+#: the statute with a word left out, one replaced, one put in and, for every third part, its halves exchanged
+_EDITED = f"""
+s AS (SELECT {_TOKENS!r} AS a),
+e1 AS (SELECT p_partkey, a, p_partkey % 43 + 1 AS x, p_size % 42 + 1 AS y, p_partkey * 7 % 42 + 1 AS z FROM part, s),
+e2 AS (SELECT p_partkey, a, y, z, a[1:x - 1] || a[x + 1:] AS b FROM e1),
+e3 AS (SELECT p_partkey, a, z, b[1:y - 1] || ['OTHER'] || b[y + 1:] AS b FROM e2),
+e4 AS (SELECT p_partkey, a, b[1:z - 1] || ['MORE'] || b[z:] AS b FROM e3),
+e AS (SELECT p_partkey, a, CASE WHEN p_partkey % 3 = 0 THEN b[22:] || b[1:21] ELSE b END AS b FROM e4)"""
+
+
+@query(f"""
+WITH RECURSIVE {_EDITED},
+pairs AS (SELECT p_partkey, i - j AS d, i FROM e, unnest(range(0, len(a))) AS r(i), unnest(range(0, len(b))) AS c(j) WHERE a[i + 1] = b[j + 1]),
+islands AS (SELECT p_partkey, d, min(i) AS lo, max(i) + 1 AS hi FROM (SELECT *, i - row_number() OVER (PARTITION BY p_partkey, d ORDER BY i) AS k FROM pairs) GROUP BY p_partkey, d, k),
+reg AS (SELECT p_partkey, 0 AS alo, len(a) AS ahi, 0 AS blo, len(b) AS bhi, NULL::STRUCT(size BIGINT, i BIGINT, j BIGINT) AS best FROM e
+  UNION ALL
+  SELECT p_partkey, x.alo, x.ahi, x.blo, x.bhi, x.best FROM (
+    SELECT r.p_partkey, m.best AS best, unnest([{{'alo': r.alo, 'ahi': -m.best.i, 'blo': r.blo, 'bhi': -m.best.j, 'best': m.best}}, {{'alo': -m.best.i + m.best.size, 'ahi': r.ahi, 'blo': -m.best.j + m.best.size, 'bhi': r.bhi, 'best': NULL}}]) AS x
+    FROM reg r, LATERAL (SELECT max({{'size': least(hi, r.ahi, r.bhi + d) - greatest(lo, r.alo, r.blo + d), 'i': -greatest(lo, r.alo, r.blo + d), 'j': d - greatest(lo, r.alo, r.blo + d)}}) AS best
+      FROM islands s WHERE s.p_partkey = r.p_partkey AND least(hi, r.ahi, r.bhi + d) > greatest(lo, r.alo, r.blo + d)) m WHERE m.best IS NOT NULL)),
+blocks AS (SELECT p_partkey, -best.i AS i, -best.j AS j, best.size AS size FROM reg WHERE best IS NOT NULL UNION ALL SELECT p_partkey, len(a), len(b), 0 FROM e),
+joined AS (SELECT p_partkey, min(i) AS i, min(j) AS j, sum(size) AS size FROM (SELECT *, sum(step) OVER (PARTITION BY p_partkey ORDER BY i, size DESC) AS k FROM (
+  SELECT *, CASE WHEN size > 0 AND lag(i + size) OVER w = i AND lag(j + size) OVER w = j THEN 0 ELSE 1 END AS step FROM blocks WINDOW w AS (PARTITION BY p_partkey ORDER BY i, size DESC))) GROUP BY p_partkey, k),
+gaps AS (SELECT p_partkey, i, j, size, coalesce(lag(i + size) OVER w, 0) AS i0, coalesce(lag(j + size) OVER w, 0) AS j0 FROM joined WINDOW w AS (PARTITION BY p_partkey ORDER BY i, size DESC))
+SELECT p_partkey, CASE WHEN i0 < i AND j0 < j THEN 'replace' WHEN i0 < i THEN 'delete' ELSE 'insert' END AS tag, i0::INTEGER AS i1, i::INTEGER AS i2, j0::INTEGER AS j1, j::INTEGER AS j2 FROM gaps WHERE i0 < i OR j0 < j
+UNION ALL SELECT p_partkey, 'equal', i::INTEGER, (i + size)::INTEGER, j::INTEGER, (j + size)::INTEGER FROM joined WHERE size > 0""")
+def statement_opcodes(spark, sf_dir):
+    """How the statute becomes an edited read of it, block by block."""
+    x, y, z = F.col("p_partkey") % 43, F.col("p_size") % 42, F.col("p_partkey") * 7 % 42
+    cut = lambda c, a, b: F.slice(c, (a + 1).cast("int"), (b - a).cast("int"))
+    a, n = F.array(*[F.lit(w) for w in _TOKENS]), F.lit(43)
+    e = t(spark, sf_dir, "part").select("p_partkey", a.alias("a"), x.alias("x"), y.alias("y"), z.alias("z"))
+    e = e.withColumn("b", F.concat(cut("a", F.lit(0), F.col("x")), cut("a", F.col("x") + 1, n)))
+    e = e.withColumn("b", F.concat(cut("b", F.lit(0), F.col("y")), F.array(F.lit("OTHER")), cut("b", F.col("y") + 1, n - 1)))
+    e = e.withColumn("b", F.concat(cut("b", F.lit(0), F.col("z")), F.array(F.lit("MORE")), cut("b", F.col("z"), n - 1)))
+    e = e.withColumn("b", F.when(F.col("p_partkey") % 3 == 0, F.concat(cut("b", F.lit(21), n), cut("b", F.lit(0), F.lit(21)))).otherwise(F.col("b")))
+    return e.select("p_partkey", F.explode(opcodes(F.col("a"), F.col("b"))).alias("o")).select("p_partkey", "o.*")
+
+
+_TERMS = [" ".join("".join(X.CONFUSED.get(c, c) for c in v.upper()).split()) for v in VOCABULARY]
+
+
+@query(f"""
+WITH RECURSIVE v AS (SELECT unnest({_TERMS!r}) AS term, unnest(range(0, {len(_TERMS)})) AS place),
+q AS (SELECT DISTINCT p_partkey % {len(_TERMS)} AS k, p_size % 12 + 1 AS pos, p_partkey % 4 AS kind FROM part),
+s AS (SELECT DISTINCT CASE kind WHEN 0 THEN term WHEN 1 THEN term[1:pos - 1] || term[pos + 1:] WHEN 2 THEN term[1:pos - 1] || 'X' || term[pos + 1:] ELSE replace(term, ' ', '') END AS text FROM q JOIN v ON v.place = q.k),
+f AS (SELECT text, term, place, form, CASE form WHEN 0 THEN array_to_string(list_sort(list_filter(string_split(text, ' '), lambda w: w <> '')), ' ') ELSE replace(text, ' ', '') END AS x,
+  CASE form WHEN 0 THEN array_to_string(list_sort(string_split(term, ' ')), ' ') ELSE replace(term, ' ', '') END AS y FROM s, v, (VALUES (0), (1)) AS n(form)),
+p AS (SELECT *, string_split(x, '') AS xs, string_split(y, '') AS ys FROM f WHERE 2.0 * least(length(x), length(y)) >= 0.9 * (length(x) + length(y)) - 1e-9 AND x <> ''),
+r AS (SELECT text, term, place, form, xs, ys, 0 AS i, list_transform(xs, lambda c: 0) AS row FROM p
+  UNION ALL SELECT text, term, place, form, xs, ys, i + 1, list_transform(range(1, len(xs) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(row[k], CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + CASE WHEN xs[k] = ys[i + 1] THEN 1 ELSE 0 END)))) FROM r WHERE i < len(ys)),
+t AS (SELECT text, term, place, form, 2.0 * row[-1] / (len(xs) + len(ys)) AS score FROM r WHERE i = len(ys) AND 2.0 * row[-1] / (len(xs) + len(ys)) >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY text, form ORDER BY score DESC, place) <= 3)
+SELECT text, term, round(max(score), 6) AS score FROM t GROUP BY text, term""")
+def vocabulary_terms(spark, sf_dir):
+    """Printed designations, most with a letter wrong or no spaces, and the three likest known ones of either form."""
+    terms = spark.createDataFrame([(v, k) for k, v in enumerate(_TERMS)], "term string, place int")
+    kind, at = F.col("p_partkey") % 4, F.col("p_size") % 12 + 1
+    q = t(spark, sf_dir, "part").select(F.element_at(F.array(*[F.lit(v) for v in _TERMS]), (F.col("p_partkey") % len(_TERMS) + 1).cast("int")).alias("v"), kind.alias("kind"), at.alias("at"))
+    head, tail = F.substring("v", F.lit(1), F.col("at") - 1), F.substring("v", F.col("at") + 1, F.lit(99))
+    text = F.when(F.col("kind") == 0, F.col("v")).when(F.col("kind") == 1, F.concat(head, tail)).when(F.col("kind") == 2, F.concat(head, F.lit("X"), tail)).otherwise(X.despaced(F.col("v")))
+    return near_terms(q.select(text.alias("text")), terms, 0.9).select("text", "term", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH w AS (SELECT l_orderkey, l_returnflag || l_linestatus || ' ' || CAST(l_linenumber AS VARCHAR) AS said, l_shipdate AS top, l_linenumber AS "left" FROM lineitem)
+SELECT l_orderkey, string_agg('"' || said || '"', ', ' ORDER BY top, "left", said) AS readings, count(DISTINCT said[1:2]) > 1 AS inconsistent FROM w GROUP BY l_orderkey""")
+def collected_readings(spark, sf_dir):
+    """All statements of a kind in reading order, as a reason lists them."""
+    w = t(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_linenumber").cast("string")).alias("said"), F.col("l_shipdate").alias("top"), F.col("l_linenumber").alias("left"))
+    return w.groupBy("l_orderkey").agg(E.readings("said", "top", "left"), (F.count_distinct(F.substring("said", 1, 2)) > 1).alias("inconsistent"))
+
+
+def _rule_sets(spark):
+    """Two versions of the rules, written as documents and read back: the second has another standard of fill and asserts less."""
+    one = load()
+    two = replace(one, version="spirits-2", standards_of_fill=(*one.standards_of_fill, 730), numeric_assert_confidence=0.99)
+    path = scratch_path(spark, "rules")
+    spark.createDataFrame([(json.dumps(document(r)),) for r in (one, two)], "document string").repartition(2).write.text(path)
+    return read_rules(spark, path)
+
+
+def _versioned(df):
+    """Every third label has the first version, every third the second, the others one that no set has."""
+    return df.withColumn("rules_version", F.concat(F.lit("spirits-"), (F.col("label_id").cast("long") % 3 + 1).cast("string")))
+
+
+@query("""
+WITH p AS (SELECT p_partkey % 3 AS v, count(*) AS n FROM part WHERE p_partkey % 3 < 2 GROUP BY 1),
+f AS (SELECT * FROM (VALUES ('government_warning', 1, 5), ('alcohol_content', 2, 2), ('net_contents', 3, 3), ('brand_name', 4, 1), ('class_type', 5, 4)) AS r(field, resolve_order, display_order))
+SELECT 'spirits-' || (v + 1) AS version, field, resolve_order, display_order, n AS records FROM p, f""")
 def rule_orders(spark, sf_dir):
-    return rules_table(spark, load()).select("field", "resolve_order", "display_order")
+    """Fields in the order they are resolved and shown, with the records that each version of the rules covers."""
+    records = _versioned(shelf(t(spark, sf_dir, "part"))[2]).groupBy(F.col("rules_version").alias("version"), "beverage_class").agg(F.count(F.lit(1)).alias("records"))
+    return rules_table(spark, _rule_sets(spark)).join(records, ["version", "beverage_class"]).select("version", "field", "resolve_order", "display_order", "records")
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS label_id, 'spirits-' || (p_partkey % 3 + 1) AS version, p_partkey % 3 = 2 AS refused,
+  CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN p_partkey % 10 = 3 THEN CASE p_partkey % 3 WHEN 0 THEN 'MISMATCH' ELSE 'REVIEW' END WHEN p_partkey % 10 = 8 THEN CASE p_partkey % 3 WHEN 0 THEN 'REVIEW' ELSE 'MATCH' END ELSE 'MATCH' END AS verdict FROM part""")
+def versioned_verdicts(spark, sf_dir):
+    """Net contents under two versions of the rules in one plan, and the records that neither covers."""
+    labels, words, records = shelf(t(spark, sf_dir, "part"))
+    sets = [replace(r, fields=(r.of("net_contents"),)) for r in _rule_sets(spark)]
+    records = _versioned(records)
+    judged = verify_versions(labels, words, records, sets).select("label_id", F.col("rules").alias("version"), F.lit(False).alias("refused"), "verdict")
+    return judged.unionByName(refused(records, sets).select("label_id", F.col("rules_version").alias("version"), F.lit(True).alias("refused"), F.lit(None).cast("string").alias("verdict")))

@@ -87,8 +87,8 @@ def length_penalty(words: Column, expected_words: Column, weight: float) -> Colu
     return F.greatest(F.lit(0.1), 1 - F.greatest(F.lit(0), words - expected_words) * weight)
 
 
-def confidence_factor(confidence: Column, weight: float) -> Column:
-    w = min(1.0, max(0.0, weight))
+def confidence_factor(confidence: Column, weight: float | Column) -> Column:
+    w = F.least(F.lit(1.0), F.greatest(F.lit(0.0), weight)) if isinstance(weight, Column) else min(1.0, max(0.0, weight))
     return F.lit(1 - w) + F.lit(w) * confidence
 
 
@@ -128,7 +128,7 @@ def one_decimal(value: Column) -> Column:
     return F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
 
 
-def token_class(expected: Column, found: Column, least: int = 5) -> Column:
+def token_class(expected: Column, found: Column, least: int | Column = 5) -> Column:
     """noise, ambiguous or wording: what a substituted statutory word amounts to."""
     e, f = enumerator_fold(expected), enumerator_fold(found)
     distance = F.levenshtein(e, f)

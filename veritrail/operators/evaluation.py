@@ -96,3 +96,8 @@ def per_minute(count: Column, milliseconds: Column) -> Column:
 
 def load_verdict(samples: Column, p95_seconds: Column) -> Column:
     return F.when(samples < 3, "INCONCLUSIVE").when(p95_seconds < 5, "PASS").otherwise("FAIL")
+
+
+def readings(text: str, top: str, left: str, name: str = "readings") -> Column:
+    """Aggregate: quoted texts in reading order, joined by commas."""
+    return F.expr(f"""listagg(concat('"', `{text}`, '"'), ', ') WITHIN GROUP (ORDER BY `{top}`, `{left}`, concat('"', `{text}`, '"'))""").alias(name)

@@ -69,7 +69,7 @@ def run_index(spark: SparkSession, tokens: list[str]) -> DataFrame:
     return table.select(F.explode(A.deletions(X.enumerator_fold(F.col("text")))).alias("variant"), "text", "rank", "run")
 
 
-def resolve_tokens(tokens: DataFrame, key: list[str], statute: list[str], least: int) -> DataFrame:
+def resolve_tokens(tokens: DataFrame, key: list[str], statute: list[str], least: int | Column) -> DataFrame:
     """key, run: what tokens (key, token) stand for, where it is no word of the statute read as it is.
 
     In this order: a run of statutory words without its spaces; a statutory word but for noise; a
@@ -79,14 +79,15 @@ def resolve_tokens(tokens: DataFrame, key: list[str], statute: list[str], least:
     """
     index = run_index(tokens.sparkSession, statute)
     longest = max(len("".join(statute[i : i + MOST_MERGED])) for i in range(len(statute))) + 1
+    tokens = tokens.withColumn("least", F.lit(least))
     asked = tokens.filter(F.char_length("token").between(1, longest) & ~F.col("token").isin(sorted(set(statute))))
-    near = asked.select(*key, "token", F.explode(A.deletions(X.enumerator_fold(F.col("token")))).alias("variant"))
+    near = asked.select(*key, "token", "least", F.explode(A.deletions(X.enumerator_fold(F.col("token")))).alias("variant"))
     # the index is as long as the statute is, and fixed with it
-    met = near.join(F.broadcast(index), "variant").select(*key, "token", "text", "rank", "run")
+    met = near.join(F.broadcast(index), "variant").select(*key, "token", "least", "text", "rank", "run")
     one = F.size("run") == 1
     order = (
         F.when(~one & (F.col("text") == F.col("token")), 0)
-        .when(one & (S.token_class(F.col("text"), F.col("token"), least) == "noise"), 1)
+        .when(one & (S.token_class(F.col("text"), F.col("token"), F.col("least")) == "noise"), 1)
         .when(~one & (F.levenshtein("text", "token") <= 1), 2)
     )
     return met.withColumn("order", order).filter("order is not null").groupBy(*key).agg(F.min(F.struct("order", "rank", "run")).alias("best")).select(*key, F.col("best.run").alias("run"))
@@ -268,7 +269,7 @@ def _findings(rules: Rules, statute: Statute) -> Column:
 
 
 def judge_statements(rows: DataFrame, rules: Rules, statute: Statute | None = None) -> DataFrame:
-    """label_id, w: what rows (label_id, page, quality) say of the statement; one row per label.
+    """label_id, w: what rows (label_id, page, quality, and rule if rules are columns) say of the statement; one row per label.
 
     page: the lines in reading order (line, box, glyph, words with text, confidence, box, canonical). w: located,
     box, found, score, confidence, verdict, reason, capitals, capitals_assertable, text, gaps,
@@ -276,13 +277,14 @@ def judge_statements(rows: DataFrame, rules: Rules, statute: Statute | None = No
     statement, is not located. Null quality is unassessed. Labels repeat as often as their rows;
     rows with a null label_id get no w.
     """
-    statute = statute or Statute()
+    statute = statute or Statute(rules.statute, rules.header, rules.tails)
+    carried = [c for c in rows.columns if c == "rule"]
     tokens = statute.tokens
     n = len(tokens)
-    base = rows.filter("label_id is not null").select("label_id", F.coalesce("page", F.array().cast(rows.schema["page"].dataType)).alias("page"), "quality").withColumn("units", _units(F.col("page")))
+    base = rows.filter("label_id is not null").select("label_id", F.coalesce("page", F.array().cast(rows.schema["page"].dataType)).alias("page"), "quality", *carried).withColumn("units", _units(F.col("page")))
     # misread and merged words
-    each = base.select("label_id", F.posexplode("units").alias("u", "unit")).select("label_id", "u", F.posexplode("unit.tokens").alias("k", "token"))
-    known = resolve_tokens(each, ["label_id", "u", "k"], tokens, rules.noise_length)
+    each = base.select("label_id", *carried, F.posexplode("units").alias("u", "unit")).select("label_id", "u", F.lit(rules.noise_length).alias("noise"), F.posexplode("unit.tokens").alias("k", "token"))
+    known = resolve_tokens(each, ["label_id", "u", "k"], tokens, F.col("noise"))
     entry = F.struct(F.concat_ws("_", "u", "k").alias("key"), "run")
     known = known.groupBy("label_id").agg(F.map_from_entries(F.collect_set(entry)).alias("runs"))
     base = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label_id").join(known, "label_id", "left")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +21,9 @@ from veritrail.functions import patterns as P
 from veritrail.functions import similarity as S
 from veritrail.functions import text as X
 from veritrail.operators.spans import label_spans, pages, unmasked
-from veritrail.operators.vocabulary import near_terms
+from veritrail.operators.vocabulary import SHORTLIST, near_terms
 from veritrail.plans.statement import judge_statements
-from veritrail.rules import HEADER, TAILS, Rules, load
+from veritrail.rules import RuleColumns, Rules, abbreviation_table, expanded_families, expanded_terms, load, rule_rows, shape
 from veritrail.schemas import BOX, CHECK
 from veritrail.scratch import forget, materialise
 
@@ -97,9 +97,9 @@ def free(masks: Column) -> Column:
     return F.filter("spans", lambda s: unmasked(s["box"], masks))
 
 
-def barred_lines() -> Column:
+def barred_lines(rules: Rules) -> Column:
     """Lines that on their own hold the statement's header or one of its phrases."""
-    marks = [X.fold_confused(F.lit(p)) for p in (HEADER, *TAILS)]
+    marks = [X.fold_confused(F.lit(p)) for p in (rules.header, *rules.tails)]
 
     def holds(s: Column) -> Column:
         text = X.despaced(s["canonical"])
@@ -118,7 +118,7 @@ def good_image(rules: Rules) -> Column:
 
 @strategy("warning")
 def warning(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
-    w = rows.join(judge_statements(rows.select("label_id", "page", "quality"), rules), "label_id", "left")
+    w = rows.join(judge_statements(rows.select("label_id", "page", "quality", *[c for c in rows.columns if c == "rule"]), rules), "label_id", "left")
     cite = rules.of(field).citation
     here = lambda outcome: F.when(F.col("w.located"), outcome).otherwise("not_evaluable")
     gaps = F.array_join(F.array(*[F.concat(F.coalesce(F.format_string("%.1f line heights", F.col(f"w.gaps.{n}")), F.lit("no text")), F.lit(f" {n}")) for n in ("above", "below", "beside")]), ", ")
@@ -238,7 +238,7 @@ def net_contents(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     differs = lambda x, y, how: F.when(how, F.abs(x - y) > rules.tolerance_ml + 1e-9).otherwise(~S.equal_2dp(x, y))
     inconsistent = F.exists("hits", lambda h: differs(h["hit"]["value"], v, converted(h["hit"]["tier"], b["hit"]["tier"])))
     off = differs(v, F.col("wanted.value"), converted(b["hit"]["tier"], F.col("wanted.tier")))
-    fills = F.array(*[F.lit(float(x)) for x in rules.standards_of_fill])
+    fills = rules.standards_of_fill if isinstance(rules.standards_of_fill, Column) else F.array(*[F.lit(float(x)) for x in rules.standards_of_fill])
     standard = F.exists(fills, lambda x: F.abs(x - v) <= F.when(b["hit"]["tier"] == 1, rules.tolerance_ml).otherwise(0.005))
     assertable = b["hit"]["exact"] & (b["confidence"] >= rules.numeric_assert_confidence) & good_image(rules)
     cases = [
@@ -285,63 +285,63 @@ def anchored(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     return base.withColumn("result", out).drop("want", "pool", "sims", "best")
 
 
-def _expanded(rules: Rules):
-    """Canonical text with abbreviations expanded, and the vocabulary in that form without repeats."""
-    canon = lambda t: "".join(X.CONFUSED.get(c, c) for c in t.upper())
-    table = {canon(k): canon(v) for k, v in rules.abbreviations.items() if canon(k) != canon(v)}
-    terms: dict[str, str] = {}
-    for v in rules.vocabulary:
-        terms.setdefault(" ".join(table.get(w, w) for w in canon(v).split()), v)
-    families = {name: [" ".join(table.get(w, w) for w in canon(m).split()) for m in members] for name, members in rules.families.items()}
-    return (lambda c: X.expand(c, table)), terms, families
+def _expansion(rules: Rules | RuleColumns) -> Callable[[Column], Column]:
+    """Canonical text with abbreviations expanded."""
+    if isinstance(rules, Rules):
+        return lambda c: X.expand(c, abbreviation_table(rules))
+    return lambda c: F.array_join(F.transform(F.split(c, " "), lambda t: F.coalesce(F.try_element_at(rules.abbreviations, t), t)), " ")
 
 
-def _families(text: Column, families: dict[str, list[str]]) -> Column:
+def _families(text: Column, rules: Rules | RuleColumns) -> Column:
+    """The families that one of whose terms a designation holds."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
-    out = []
-    for name, members in families.items():
-        has = F.lit(False)
-        for m in members:
-            has = has | F.contains(padded, F.lit(f" {m} "))
-        out.append(F.when(has, F.lit(name)))
-    return F.array_compact(F.array(*out))
+    families = rules.families
+    if isinstance(rules, Rules):
+        families = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(m) for m in ms]).alias("members")) for n, ms in expanded_families(rules).items()])
+    held = F.filter(families, lambda f: F.exists(f["members"], lambda m: F.contains(padded, F.concat(F.lit(" "), m, F.lit(" ")))))
+    return F.transform(held, lambda f: f["name"])
 
 
-def designation_hits(texts: DataFrame, terms: list[str], least: float, penalty: float) -> DataFrame:
-    """text, hit (term, sim, score): the known designation that each text reads as, the best by similarity and length."""
-    spark = texts.sparkSession
-    listed = spark.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, place int")
-    near = near_terms(texts, listed, least)
-    score = F.col("score") * S.length_penalty(F.size(X.tokens(F.col("text"))), F.size(X.tokens(F.col("term"))), penalty)
-    best = near.withColumn("by", score).filter(F.col("by") >= least).groupBy("text").agg(F.min(F.struct((-F.col("by")).alias("by"), "place", "term", "score")).alias("b"))
-    return best.select("text", F.struct(F.col("b.term").alias("term"), F.col("b.score").alias("sim"), (-F.col("b.by")).alias("score")).alias("hit"))
+def known_terms(texts: DataFrame, rules: Rules | RuleColumns, least: float) -> DataFrame:
+    """text, hits (term, sim): the known designations of any rule set that each text reads as."""
+    sets = [rules] if isinstance(rules, Rules) else rules.sets
+    terms = list(dict.fromkeys(t for r in sets for t in expanded_terms(r)))
+    listed = texts.sparkSession.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, place int")
+    near = near_terms(texts, listed, least, max(SHORTLIST, len(terms) if len(sets) > 1 else 0))
+    return near.groupBy("text").agg(F.collect_list(F.struct("term", F.col("score").alias("sim"))).alias("hits"))
 
 
 @strategy("class_type")
 def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     """The designation: a read of the expected one, the likest text beside the brand, or another known designation."""
     f = rules.of(field)
-    expand, terms, families = _expanded(rules)
-    names = list(terms)
+    expand, least = _expansion(rules), rules.least_match(field)
     want = expand(X.canonical(F.col(field)))
     brand = F.col("done.brand_name.box")
     outside = lambda s: brand.isNull() | ~G.overlaps(s["box"], brand, 0.25)
     pool = F.transform(F.filter(free(F.col("masks")), outside), lambda s: s.withField("own_words", s["canonical_words"]).withField("canonical", expand(s["canonical"])))
     base = rows.withColumn("want", want).withColumn("pool", pool)
     base = base.withColumn("pool", F.transform("pool", lambda s: s.withField("canonical_words", F.size(X.tokens(s["canonical"])))))
-    base = base.drop("spans", "page").withColumn("sims", similarities(F.transform("pool", lambda s: s["canonical"]), F.col("want")))
+    base = base.drop("page").withColumn("sims", similarities(F.transform("pool", lambda s: s["canonical"]), F.col("want")))
     base = materialise(base.withColumn("ranked", _ranked("pool", "sims", F.size(X.tokens(F.col("want"))), f.length_penalty, f.confidence_weight)), "pools")
     # known designations, for each text once however many labels print it
     printed = base.select("label_id", F.explode(F.array_distinct(F.transform("pool", lambda s: s["canonical"]))).alias("text"))
-    found = designation_hits(printed, names, f.match, f.length_penalty)
-    of_label = printed.join(found, "text").groupBy("label_id").agg(F.map_from_entries(F.collect_list(F.struct("text", "hit"))).alias("known"))
-    wanted = base.select(F.col("want").alias("text"))
-    listed = base.sparkSession.createDataFrame([(t, k) for k, t in enumerate(names)], "term string, place int")
-    same = near_terms(wanted, listed, f.match, len(names)).groupBy(F.col("text").alias("want")).agg(F.collect_set("term").alias("same"))
-    base = base.join(of_label, "label_id", "left").join(same, "want", "left")
+    found = materialise(known_terms(printed.select("text").unionByName(base.select(F.col("want").alias("text"))), rules, least), "designations")
+    of_label = printed.join(found, "text").groupBy("label_id").agg(F.map_from_entries(F.collect_list(F.struct("text", "hits"))).alias("known"))
+    base = base.join(of_label, "label_id", "left").join(found.select(F.col("text").alias("want"), F.col("hits").alias("same")), "want", "left")
+    # the terms of the row's own rules, in their order, and those that the application's value is
+    terms = F.array(*[F.lit(t) for t in expanded_terms(rules)]) if isinstance(rules, Rules) else rules.terms
+    base = base.withColumn("same", F.transform(F.filter("same", lambda t: t["sim"] >= f.match), lambda t: t["term"]))
+
+    def best_term(s: Column) -> Column:
+        by = lambda t: t["sim"] * S.length_penalty(s["canonical_words"], F.size(X.tokens(t["term"])), f.length_penalty)
+        own = F.filter(F.try_element_at("known", s["canonical"]), lambda t: F.array_contains(terms, t["term"]))
+        rated = F.filter(F.transform(own, lambda t: F.struct((-by(t)).alias("by"), F.array_position(terms, t["term"]).alias("place"), t["term"].alias("term"), t["sim"].alias("sim"), by(t).alias("score"))), lambda t: t["score"] >= f.match)
+        return F.array_min(rated)
+
     near_brand = lambda box: brand.isNotNull() & F.coalesce(G.near(box, brand, rules.reach_heights), F.lit(False))
     weigh = lambda s, score: score * S.confidence_factor(s["confidence"], f.confidence_weight)
-    met = F.filter(F.transform("pool", lambda s: F.struct(F.try_element_at("known", s["canonical"]).alias("hit"), s.alias("s"))), lambda o: o["hit"].isNotNull())
+    met = F.filter(F.transform("pool", lambda s: F.struct(best_term(s).alias("hit"), s.alias("s"))), lambda o: o["hit"].isNotNull())
     met = F.filter(met, lambda o: ~F.array_contains(F.coalesce("same", F.array().cast("array<string>")), o["hit"]["term"]))
     others = F.transform(met, lambda o: F.struct(o["hit"]["term"].alias("term"), o["hit"]["sim"].alias("sim"), weigh(o["s"], o["hit"]["score"]).alias("score"), near_brand(o["s"]["box"]).alias("near"), o["s"].alias("s")))
     base = base.withColumn("others", others).withColumn("others", F.coalesce("others", F.array().cast(base.withColumn("others", others).schema["others"].dataType)))
@@ -354,7 +354,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
         return best
 
     def grown(hits: Column, best: Column) -> Column:
-        wider = F.filter(hits, lambda o: G.contains(best["s"]["box"], o["s"]["box"]) & (o["s"]["own_words"] > best["s"]["own_words"]))
+        wider = F.filter(hits, lambda o: G.contains(o["s"]["box"], best["s"]["box"]) & (o["s"]["own_words"] > best["s"]["own_words"]))
         return F.coalesce(F.array_min(F.transform(wider, lambda o: F.struct((-o["s"]["own_words"]).alias("a"), (-o["score"]).alias("b"), o["s"]["span_id"].alias("c"), o.alias("o"))))["o"], best)
 
     # 1: a read of the expected designation; of those that clear, the best without residual edits
@@ -362,7 +362,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     exact = F.get(F.filter(clearing, lambda r: residual(r) <= rules.max_residual_edits), F.lit(0))
     base = base.withColumn("chosen", F.coalesce(exact, F.get(clearing, F.lit(0)), first)).withColumn("top", -first["order"])
     c = F.col("chosen")
-    base = base.withColumn("longer", F.filter("others", lambda o: G.contains(c["s"]["box"], o["s"]["box"]) & (o["s"]["own_words"] > c["s"]["own_words"])))
+    base = base.withColumn("longer", F.filter("others", lambda o: G.contains(o["s"]["box"], c["s"]["box"]) & (o["s"]["own_words"] > c["s"]["own_words"])))
     base = base.withColumn("refined", likeliest(F.col("longer"))).withColumn("refined", grown(F.col("longer"), F.col("refined")))
     # 2: the likest text near the brand
     beside = F.array_min(F.transform(F.filter("ranked", lambda r: near_brand(r["s"]["box"])), lambda r: F.struct((-F.round(r["by"], 4)).alias("a"), r["order"].alias("b"), r["id"].alias("c"), r.alias("r"))))["r"]
@@ -375,7 +375,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     base = base.withColumn("left", F.filter("others", lambda o: ~fragment(o))).withColumn("hit", likeliest(F.col("left"))).withColumn("hit", grown(F.col("left"), F.col("hit")))
     h = F.col("hit")
     theirs = X.tokens(F.col("hit.term"))
-    fam_a, fam_b = _families(F.col("want"), families), _families(F.col("hit.term"), families)
+    fam_a, fam_b = _families(F.col("want"), rules), _families(F.col("hit.term"), rules)
     agreed = lambda o: F.coalesce(F.get(F.transform(F.filter("ranked", lambda r: r["s"]["span_id"] == o["s"]["span_id"]), lambda r: -r["order"]), F.lit(0)), F.lit(0.0))
     base = base.withColumn("agreement", agreed(h))
     competing = F.exists("plausible", lambda r: ~G.overlaps(r["s"]["box"], F.col("hit.s.box"), 0.25))
@@ -385,7 +385,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
         F.when(~part & ((F.size(fam_a) == 0) | (F.size(fam_b) == 0)), "unknown_family"),
         F.when(~part & F.arrays_overlap(fam_a, fam_b), "same_family"),
         F.when(F.col("hit.sim") < rules.vocabulary_assert_similarity, "weak_read"),
-        F.when(F.col("hit.s.confidence") < max(rules.class_assert_confidence, rules.min_confidence), "low_confidence"),
+        F.when(F.col("hit.s.confidence") < F.greatest(F.lit(rules.class_assert_confidence), F.lit(rules.min_confidence)), "low_confidence"),
         F.when(brand.isNull(), "no_brand_anchor"),
         F.when(brand.isNotNull() & ~F.col("hit.near"), "not_in_position"),
         F.when(~good_image(rules), "degraded_image"),
@@ -409,38 +409,77 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
         .when(F.col("beside").isNotNull(), read(F.col("beside"), "REVIEW", F.lit("stands where the designation should")))
         .otherwise(not_found(F.col(field), "could not be located"))
     )
-    return base.select("label_id", "masks", "done", out.alias("result"))
+    return base.select("label_id", "masks", "done", "spans", out.alias("result"))
 
 
-def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules | None = None) -> DataFrame:
+def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules | None = None, trace: dict[str, dict] | None = None) -> DataFrame:
     """Field results: five rows for each record, in display order.
 
     labels: label_id, quality; words: label_id, line_no, word_no, text, confidence, box; records: one
     row per label. A label without words gives not-found rows; a field without a strategy is
-    reviewed as not automated. A located value masks its spans for the fields after it.
+    reviewed as not automated. A located value masks its spans for the fields after it. trace, if
+    given, gets per field how many labels and candidate spans it had and how many spans are free
+    after it, observed while the results are written: no pass is added.
+    """
+    return _judge(labels, words, records, rules or load(), None, trace)
+
+
+def verify_versions(labels: DataFrame, words: DataFrame, records: DataFrame, sets: list[Rules]) -> DataFrame:
+    """Field results of records under their own rules: rules_version and beverage_class name one of the sets.
+
+    Sets that agree in fields, strategies and statute are judged in one plan, to which they are
+    joined as rows; thresholds, vocabularies and the rest are then columns. Records that no set
+    covers give no row: see refused().
     """
-    rules = rules or load()
+    made = None
+    groups: dict[tuple, list[Rules]] = {}
+    for r in sets:
+        groups.setdefault(shape(r), []).append(r)
+    for own in groups.values():
+        # a row for each rule set: MOST_SETS at most
+        table = F.broadcast(rule_rows(records.sparkSession, own))
+        done = _judge(labels, words, records.join(table.select("rules_version", "beverage_class"), ["rules_version", "beverage_class"], "left_semi"), RuleColumns(own), table, None)
+        made = done if made is None else made.unionByName(done)
+    return made
+
+
+def refused(records: DataFrame, sets: list[Rules]) -> DataFrame:
+    """Records whose class and version no rule set covers; null is covered by none."""
+    covered = F.broadcast(rule_rows(records.sparkSession, sets).select("rules_version", "beverage_class"))
+    return records.join(covered, ["rules_version", "beverage_class"], "left_anti")
+
+
+def _judge(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules | RuleColumns, table: DataFrame | None, trace: dict[str, dict] | None) -> DataFrame:
+    ruled = lambda df: df if table is None else df.join(table, ["rules_version", "beverage_class"])
     # the wide rows are written once; what fields hand on is a narrow table
-    wide = materialise(label_rows(labels, words, records, rules).withColumn("barred", barred_lines()), "labels")
+    wide = materialise(label_rows(labels, words, records, rules).withColumn("barred", barred_lines(rules)), "labels")
     state = wide.select("label_id", F.array().cast(f"array<{BOX}>").alias("masks"), F.struct(F.lit(1).alias("__start")).alias("done"))
     written = None
     for field in sorted(rules.fields, key=lambda f: f.order):
-        rows = wide.join(state, "label_id")
+        rows = ruled(wide.join(state, "label_id"))
         known = STRATEGIES.get(field.strategy)
         rows = known(rows, rules, field.id) if known else rows.withColumn("result", not_found(F.lit(None).cast("string"), "this field is not automated"))
         box = F.when(F.col("result.located"), F.col("result.box"))
+        before = F.col("masks")
+        seen = None
+        if trace is not None and "spans" in rows.columns:
+            seen = Observation(field.id)
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("labels"), F.sum(F.size(free(before))).alias("available"), F.sum(F.size(free(F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(before)))).alias("remaining"))
         state = rows.select(
             "label_id", F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(F.col("masks")).alias("masks"), F.col("done").withField(field.id, F.col("result")).alias("done")
         )
         state = materialise(state, "state")
+        if seen is not None:
+            trace[field.id] = dict(seen.get)
         if written is not None:
             forget(written)
         written = state
-    rows = materialise(wide.select("label_id", "quality").join(state, "label_id").select("label_id", "quality", "done"), "judged")
+    which = [] if table is None else ["rules_version", "beverage_class"]
+    rows = ruled(materialise(wide.select("label_id", "quality", *which).join(state, "label_id").select("label_id", "quality", "done", *which), "judged"))
     forget(wide, state)
     alert = ~F.col("done.government_warning.located") & good_image(rules)
     made = []
-    for field in sorted(rules.fields, key=lambda f: f.display_order):
+    for field in rules.fields if table is not None else sorted(rules.fields, key=lambda f: f.display_order):
         r = F.col("done")[field.id]
         up = alert if field.id == "government_warning" else F.lit(False)
         reason = F.when(up, "the mandatory statement is missing from a clear image").otherwise(r["reason"])
@@ -448,7 +487,7 @@ def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
             F.lit(field.id).alias("field"), F.lit(field.display_order).alias("display_order"), r["verdict"].alias("verdict"), r["expected"].alias("expected"), r["found"].alias("found"), r["box"].alias("box"),
             r["score"].alias("score"), r["confidence"].alias("ocr_confidence"), reason.alias("reason"), up.alias("elevated"), F.lit(field.strategy in STRATEGIES).alias("automated"), r["checks"].alias("checks"),
         ))
-    return rows.select("label_id", F.explode(F.array(*made)).alias("r")).select("label_id", "r.*", F.lit(rules.version).alias("rules"))
+    return rows.select("label_id", F.lit(rules.version).alias("rules"), F.explode(F.array(*made)).alias("r")).select("label_id", "r.*", "rules")
 
 
 def broken_invariants(field_results: DataFrame) -> DataFrame:

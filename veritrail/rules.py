@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import re
+from dataclasses import asdict, dataclass, field, replace
+from dataclasses import fields as fields_of
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritrail.functions.text import CONFUSED
 
 # The statutory warning (27 CFR 16.21) and the phrases it is found by.
 STATUTE = (
@@ -90,6 +95,9 @@ class Rules:
     vocabulary: tuple[str, ...] = VOCABULARY
     families: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(FAMILIES))
     abbreviations: dict[str, str] = field(default_factory=lambda: dict(ABBREVIATIONS))
+    statute: str = STATUTE
+    header: str = HEADER
+    tails: tuple[str, ...] = TAILS
 
     def __post_init__(self):
         for of in ("id", "order", "display_order"):
@@ -103,6 +111,9 @@ class Rules:
     def of(self, field_id: str) -> Field:
         return next(f for f in self.fields if f.id == field_id)
 
+    def least_match(self, field_id: str) -> float:
+        return self.of(field_id).match
+
 
 _versions = {"spirits-1": Rules()}
 
@@ -115,6 +126,134 @@ def load(version: str = "spirits-1", beverage_class: str = "distilled_spirits",
     return replace(rules, **changes) if changes else rules
 
 
-def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
-    rows = [(rules.version, f.id, f.order, f.display_order, f.strategy, f.citation, f.match, f.mismatch) for f in rules.fields]
-    return spark.createDataFrame(rows, "version string, field string, resolve_order int, display_order int, strategy string, citation string, match double, mismatch double")
+# Rule sets as data: a JSON document for each version and class, read by Spark.
+
+MOST_SETS = 1000
+_FIELD = "struct<id: string, order: int, display_order: int, strategy: string, citation: string, match: double, mismatch: double, length_penalty: double, confidence_weight: double>"
+_WHOLE = {"max_residual_edits", "sporadic_lowercase", "case_run", "noise_length"}
+_LISTS = {"version": "string", "beverage_class": "string", "statute": "string", "header": "string", "tails": "array<string>", "fields": f"array<{_FIELD}>", "standards_of_fill": "array<double>", "vocabulary": "array<string>", "families": "map<string, array<string>>", "abbreviations": "map<string, string>"}
+TUNING = tuple(f.name for f in fields_of(Rules) if f.name not in _LISTS)
+RULES = ", ".join(f"`{n}` {k}" for n, k in (_LISTS | {n: "int" if n in _WHOLE else "double" for n in TUNING}).items())
+
+
+def read_rules(spark: SparkSession, path: str) -> list[Rules]:
+    """The rule sets in the JSON documents of a folder. One that is no document, lacks its version, class or fields, or contradicts itself is refused, and so is the folder.
+
+    What a document doesn't state has the default of Rules. A folder holds policy, not data: more
+    than MOST_SETS documents are refused as well.
+    """
+    documents = spark.read.schema(f"{RULES}, broken string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken").select("*", F.col("_metadata.file_name").alias("file"))
+    rows = documents.limit(MOST_SETS + 1).collect()
+    if len(rows) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} rule sets in {path}")
+    faults, sets = [], []
+    for row in rows:
+        try:
+            sets.append(_rules_of(row.asDict(recursive=True)))
+        except (TypeError, ValueError) as why:
+            faults.append(f"{row['file']}: {why}")
+    keys = [(r.version, r.beverage_class) for r in sets]
+    faults += [f"{v} for {c} is stated twice" for v, c in sorted({k for k in keys if keys.count(k) > 1})]
+    if faults or not sets:
+        raise ValueError("; ".join(sorted(faults)) or f"no rule set in {path}")
+    return sorted(sets, key=lambda r: (r.version, r.beverage_class))
+
+
+def _rules_of(given: dict) -> Rules:
+    if given.pop("broken") is not None:
+        raise ValueError("no JSON document of a rule set")
+    given.pop("file")
+    stated = {k: v for k, v in given.items() if v is not None}
+    missing = sorted({"version", "beverage_class", "fields"} - set(stated))
+    if missing:
+        raise ValueError(f"lacks {', '.join(missing)}")
+    stated["fields"] = tuple(Field(**{k: v for k, v in f.items() if v is not None}) for f in stated["fields"])
+    for name in ("tails", "standards_of_fill", "vocabulary"):
+        if name in stated:
+            stated[name] = tuple(stated[name])
+    if "families" in stated:
+        stated["families"] = {k: tuple(v) for k, v in stated["families"].items()}
+    return Rules(**stated)
+
+
+def document(rules: Rules) -> dict:
+    """A rule set as the JSON document that read_rules() reads."""
+    return asdict(rules)
+
+
+def rules_table(spark: SparkSession, sets: list[Rules] | Rules) -> DataFrame:
+    """A row per field of each rule set."""
+    rows = [(r.version, r.beverage_class, f.id, f.order, f.display_order, f.strategy, f.citation, f.match, f.mismatch) for r in (sets if isinstance(sets, list) else [sets]) for f in r.fields]
+    return spark.createDataFrame(rows, "version string, beverage_class string, field string, resolve_order int, display_order int, strategy string, citation string, match double, mismatch double")
+
+
+def _folded(text: str) -> str:
+    """Canonical form of a plain rule text."""
+    return " ".join("".join(CONFUSED.get(c, c) for c in w) for w in re.findall(r"\w+", text.upper()))
+
+
+def abbreviation_table(rules: Rules) -> dict[str, str]:
+    return {_folded(k): _folded(v) for k, v in rules.abbreviations.items() if _folded(k) != _folded(v)}
+
+
+def expanded_terms(rules: Rules) -> list[str]:
+    """The vocabulary in canonical form with abbreviations expanded, without repeats."""
+    table = abbreviation_table(rules)
+    return list(dict.fromkeys(" ".join(table.get(w, w) for w in _folded(v).split()) for v in rules.vocabulary))
+
+
+def expanded_families(rules: Rules) -> dict[str, list[str]]:
+    table = abbreviation_table(rules)
+    return {name: [" ".join(table.get(w, w) for w in _folded(m).split()) for m in members] for name, members in rules.families.items()}
+
+
+def rule_rows(spark: SparkSession, sets: list[Rules]) -> DataFrame:
+    """rules_version, beverage_class, rule: all that verdicts depend on, to be joined to records."""
+    of = ", ".join(f"`{f.id}`: struct<display_order: int, citation: string, match: double, mismatch: double, length_penalty: double, confidence_weight: double>" for f in sets[0].fields)
+    scalars = ", ".join(f"`{n}`: {'int' if n in _WHOLE else 'double'}" for n in TUNING)
+    kind = f"struct<version: string, {scalars}, standards_of_fill: array<double>, terms: array<string>, families: array<struct<name: string, members: array<string>>>, abbreviations: map<string, string>, fields: struct<{of}>>"
+    rows = []
+    for r in sets:
+        fields = tuple((f.display_order, f.citation, f.match, f.mismatch, f.length_penalty, f.confidence_weight) for f in (r.of(x.id) for x in sets[0].fields))
+        tuning = tuple(int(getattr(r, n)) if n in _WHOLE else float(getattr(r, n)) for n in TUNING)
+        rows.append((r.version, r.beverage_class, (r.version, *tuning, [float(x) for x in r.standards_of_fill], expanded_terms(r), list(expanded_families(r).items()), abbreviation_table(r), fields)))
+    return spark.createDataFrame(rows, f"rules_version string, beverage_class string, rule {kind}")
+
+
+class FieldColumns:
+    """A field's policy as columns of the row's rule."""
+
+    def __init__(self, own: Field):
+        self.id, self.order, self.strategy = own.id, own.order, own.strategy
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(f"rule.fields.{self.id}.{name}")
+
+
+class RuleColumns:
+    """Rules whose values are columns of the row's rule: one plan for rows of several versions.
+
+    What shapes the plan must be the same in all of them: fields with their order and strategy, and
+    the statute.
+    """
+
+    def __init__(self, sets: list[Rules]):
+        self.sets = sets
+        first = sets[0]
+        if any(shape(r) != shape(first) for r in sets):
+            raise ValueError("rule sets of one plan must share fields, strategies and statute")
+        self.fields = tuple(FieldColumns(f) for f in first.fields)
+        self.statute, self.header, self.tails = first.statute, first.header, first.tails
+
+    def of(self, field_id: str) -> FieldColumns:
+        return next(f for f in self.fields if f.id == field_id)
+
+    def least_match(self, field_id: str) -> float:
+        return min(r.of(field_id).match for r in self.sets)
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(f"rule.{name}")
+
+
+def shape(r: Rules) -> tuple:
+    return tuple(sorted((f.order, f.id, f.strategy) for f in r.fields)), r.statute, r.header, r.tails
