@@ -152,6 +152,11 @@ class Encoder(dict):
             self.clear()
         return list(chain.from_iterable(map(self.__getitem__, self.pieces(text))))
 
+    def forget(self) -> None:
+        """Give up the memory of pieces and neighbours."""
+        self.clear()
+        self.fits.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -225,6 +230,8 @@ def _digests(ranks_file: str, pattern: str, with_ids: bool):
                 own.insert(0, pa.ListArray.from_arrays(at, pa.concat_arrays(every) if every else pa.array([], pa.int32())))
                 names.insert(0, "ids")
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *own], [*batch.schema.names[1:], *names])
+        if with_ids:  # in the pipeline the same processes go on to other work
+            enc.forget()
 
     return run
 
