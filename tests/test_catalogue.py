@@ -14,7 +14,7 @@ from veritrail.operators import evaluation, triage
 from veritrail.sources import results
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region part orders events documents pages".split()
+TABLES = "region part orders lineitem events documents pages".split()
 
 
 def plain(value):
@@ -59,6 +59,18 @@ def test_csv_sheet(spark, tmp_path):
     assert open(file).read().splitlines() == ["rank,label_id,brand_name", '1,"a, ""x""",MATCH', "2,'=b,"]
 
 
+def test_csv_sheet_for_a_spreadsheet(spark, tmp_path):
+    sheet = spark.createDataFrame([(2, "é", None), (1, "a,b", "MATCH")], "rank int, label_id string, brand_name string")
+    results.write_csv(sheet, str(tmp_path / "sheet"), spreadsheet=True)
+    (file,) = glob.glob(str(tmp_path / "sheet" / "*.csv"))
+    assert open(file, "rb").read() == '\ufeffrank,label_id,brand_name\r\n1,"a,b",MATCH\r\n2,é,\r\n'.encode()
+
+
+def test_counts_of_verdicts(spark):
+    rows = spark.createDataFrame([("a", "MATCH"), ("a", "MATCH"), ("a", "REVIEW"), ("b", "MISMATCH"), ("b", None)], "label_id string, verdict string")
+    assert {tuple(r) for r in triage.verdict_counts(rows).collect()} == {("a", 2, 1, 0), ("b", 0, 0, 1)}
+
+
 def test_queue_of_no_labels(spark):
     none = spark.createDataFrame([], "label_id string, rank long")
     assert triage.neighbours(none, "label_id").count() == 0

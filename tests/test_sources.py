@@ -6,12 +6,16 @@ import itertools
 import json
 import os
 import random
+from dataclasses import replace
 
 import pandas as pd
 
 from veritrail.functions import similarity as S
 from veritrail.operators import triage
 from veritrail.operators.spans import span_index
+from veritrail.plans.verify import judge_pages
+from veritrail.rules import load
+from veritrail.schemas import TIERS
 from veritrail.sources import manifest, samples, sidecars
 
 
@@ -31,6 +35,23 @@ def test_sidecars(spark, tmp_path):
     assert [r["label_id"] for r in sidecars.broken_pages(pages).collect()] == ["a b.png"]
 
 
+def test_bad_pages_stop_no_other(spark, tmp_path):
+    """Five broken pages of a hundred: ninety-five are judged, five are unreadable, and one without a page."""
+    word = {"text": "VODKA", "left": 1.0, "top": 2.0, "width": 50.0, "height": 20.0}
+    good = {"width": 640, "height": 480, "lines": [{"words": [word]}]}
+    bad = ["{", "", "[1, 2]", json.dumps({"lines": [{"words": [word | {"width": -1.0}]}]}), json.dumps({"lines": [{"words": [{"text": "X"}]}]})]
+    for k in range(100):
+        (tmp_path / f"{k}.png.ocr.json").write_text(bad[k] if k < 5 else json.dumps(good))
+    pages = sidecars.read_sidecars(spark, str(tmp_path))
+    records = spark.createDataFrame([(f"{k}.png", "Vodka", "Vodka", "40%", "1 L") for k in range(101)], "label_id string, brand_name string, class_type string, alcohol_content string, net_contents string")
+    rules = replace(load(), fields=(load().of("net_contents"),))
+    results, summary = judge_pages(pages, records, rules)
+    assert results.count() == 95
+    tiers = {r["label_id"]: (r["tier"], r["headline"]) for r in summary.collect()}
+    assert len(tiers) == 101 and {k for k, v in tiers.items() if v[0] == TIERS["UNREADABLE"]} == {*(f"{k}.png" for k in range(5)), "100.png"}
+    assert tiers["100.png"][1] == "there is no recognised page" and tiers["3.png"][1] == "a word has a negative size" and tiers["4.png"][1] == "a word lacks its text or place"
+
+
 def test_manifests(spark, tmp_path):
     text = (
         "\r\nBrand-Name,FileName,class_type, Alcohol Content ,net_contents,label_width_mm,note\r\n"

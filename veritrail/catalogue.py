@@ -572,3 +572,16 @@ def versioned_verdicts(spark, sf_dir):
     records = _versioned(records)
     judged = verify_versions(labels, words, records, sets).select("label_id", F.col("rules").alias("version"), F.lit(False).alias("refused"), "verdict")
     return judged.unionByName(refused(records, sets).select("label_id", F.col("rules_version").alias("version"), F.lit(True).alias("refused"), F.lit(None).cast("string").alias("verdict")))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS label_id, CASE p_partkey % 20 WHEN 1 THEN 'the page is no readable document' WHEN 2 THEN 'the page has no lines' WHEN 3 THEN 'a word has a negative size'
+  WHEN 4 THEN 'a word lacks its text or place' ELSE 'there is no recognised page' END AS error FROM part WHERE p_partkey % 20 < 6 AND p_partkey % 20 <> 5""")
+def unreadable_items(spark, sf_dir):
+    """Records whose page is cut short, has no lines, sizes or texts, or isn't there; the others are judged."""
+    k = F.col("p_partkey") % 20
+    p = t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("label_id"), k.alias("k"), "p_name")
+    word = F.struct(F.when(F.col("k") != 4, F.col("p_name")).alias("text"), F.lit(1.0).alias("left"), F.lit(2.0).alias("top"), F.when(F.col("k") == 3, -3.0).otherwise(3.0).alias("width"), F.lit(4.0).alias("height"))
+    whole = F.to_json(F.struct(F.array(F.struct(F.array(word).alias("words"))).alias("lines")))
+    document = F.when(F.col("k") == 1, F.substring(whole, 1, 25)).when(F.col("k") == 2, F.lit('{"width": 10}')).otherwise(whole)
+    return sidecars.unreadable(sidecars.parse_pages(p.filter("k <> 0").select("label_id", document.alias("document"))), p)

@@ -34,6 +34,12 @@ def summarise(field_results: DataFrame, errors: DataFrame | None = None) -> Data
     return out
 
 
+def verdict_counts(field_results: DataFrame) -> DataFrame:
+    """label_id, matches, to_review, mismatches: a label's fields by verdict."""
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    return field_results.groupBy("label_id").agg(of("MATCH").alias("matches"), of("REVIEW").alias("to_review"), of("MISMATCH").alias("mismatches"))
+
+
 def tier_of() -> Column:
     t = TIERS
     return (

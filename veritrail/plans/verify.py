@@ -20,12 +20,14 @@ from veritrail.functions import geometry as G
 from veritrail.functions import patterns as P
 from veritrail.functions import similarity as S
 from veritrail.functions import text as X
+from veritrail.operators import triage
 from veritrail.operators.spans import label_spans, pages, unmasked
 from veritrail.operators.vocabulary import SHORTLIST, near_terms
 from veritrail.plans.statement import judge_statements
 from veritrail.rules import RuleColumns, Rules, abbreviation_table, expanded_families, expanded_terms, load, rule_rows, shape
 from veritrail.schemas import BOX, CHECK
 from veritrail.scratch import forget, materialise
+from veritrail.sources import sidecars
 
 RESULT = f"struct<located: boolean, verdict: string, expected: string, found: string, box: {BOX}, score: double, confidence: double, reason: string, checks: array<{CHECK}>>"
 
@@ -490,6 +492,17 @@ def _judge(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
     return rows.select("label_id", F.lit(rules.version).alias("rules"), F.explode(F.array(*made)).alias("r")).select("label_id", "r.*", "rules")
 
 
+def judge_pages(pages: DataFrame, records: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+    """Field results of the records with a readable page (sidecars.parse_pages), and one summary row for every record.
+
+    A bad page, or none, gives its record an UNREADABLE row with the fault; the others are judged.
+    """
+    errors = sidecars.unreadable(pages, records)
+    good = pages.filter("fault is null")
+    results = verify(sidecars.labels_of(good), sidecars.words_of(good), records.join(good.select("label_id"), "label_id", "left_semi"), rules)
+    return results, triage.summarise(results, errors)
+
+
 def broken_invariants(field_results: DataFrame) -> DataFrame:
     """Rows that can't be: a value not found yet mismatched, or a mismatch without a box. None, when all is well."""
     return field_results.filter((F.col("verdict") == "MISMATCH") & (F.col("found").isNull() | F.col("box").isNull()))

@@ -22,31 +22,37 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[0]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; other jobs have theirs beside it."""
+    return f"{scratch_root(spark)}/veritrail/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back."""
+    """Write df to the shared folder and read it back; the result knows its folder, for forget()."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def forget(*written: DataFrame) -> None:
-    """Delete what materialise() wrote, once what reads it has been written too."""
+    """Delete what materialise() wrote, once what reads it has been written too. Other tables are left alone."""
     for df in written:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        root = scratch_root(spark).split(":", 1)[-1].lstrip("/")
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/veritrail/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if path := getattr(df, "written_to", None):
+            _delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all written tables of the shared folder; for the end of a job, when no result reads them any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/veritrail")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that this application wrote; for the end of a job, when no result reads it any more."""
+    _delete(spark, own_folder(spark))

@@ -14,11 +14,18 @@ def results_table(field_results: DataFrame, worklist: DataFrame, fields: list[st
     return worklist.join(verdicts, "label_id", "left").select("rank", "label_id", "tier", "headline", *[F.col(f"`{f}`") for f in fields])
 
 
-def write_csv(table: DataFrame, path: str, one_file: bool = True) -> None:
-    """CSV with cells that no spreadsheet runs as formulas, in rank order."""
+def write_csv(table: DataFrame, path: str, one_file: bool = True, spreadsheet: bool = False) -> None:
+    """CSV with cells that no spreadsheet runs as formulas, in rank order.
+
+    spreadsheet: lines end as spreadsheets want them, and a byte order mark before the header tells
+    them the encoding. one_file gathers the sheet in one task; a large one is better off without.
+    """
     cells = [safe_cell(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in table.dtypes]
     ordered = table.orderBy("rank")
-    (ordered.coalesce(1) if one_file else ordered).select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    sheet = (ordered.coalesce(1) if one_file else ordered).select(*cells)
+    if spreadsheet:
+        sheet = sheet.withColumnRenamed(sheet.columns[0], f"\ufeff{sheet.columns[0]}")
+    sheet.write.mode("overwrite").options(header=True, escape='"', lineSep="\r\n" if spreadsheet else "\n").csv(path)
 
 
 def write_json(table: DataFrame, path: str) -> None:

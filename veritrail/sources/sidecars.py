@@ -14,10 +14,38 @@ MIN_CONFIDENCE = 0.30
 
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """label_id (the image's file name), width, height, quality, lines; null quality: not assessed."""
-    raw = spark.read.schema(SIDECAR).json(folder, multiLine=True, pathGlobFilter=f"*{SUFFIX}")
+    """parse_pages() of the sidecars in a folder; label_id is the image's file name."""
+    raw = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{SUFFIX}")
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.ocr\.json$", "")
-    return raw.select(F.url_decode(name).alias("label_id"), F.coalesce("width", F.lit(DEFAULT_WIDTH)).alias("width"), F.coalesce("height", F.lit(DEFAULT_HEIGHT)).alias("height"), "quality", "lines")
+    return parse_pages(raw.select(F.url_decode(name).alias("label_id"), F.col("value").alias("document")))
+
+
+def parse_pages(documents: DataFrame) -> DataFrame:
+    """label_id, width, height, quality, lines, fault of documents (label_id, document: JSON of a page).
+
+    null quality: not assessed. A document that can't be used has a fault, the first of those told
+    here, and no lines: it is an unreadable item and stops no other. Null documents are unreadable.
+    """
+    page = F.from_json("document", f"{SIDECAR}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    parsed = documents.select("label_id", page.alias("p"))
+    words = F.flatten(F.transform("p.lines", lambda x: F.coalesce(x["words"], F.array())))
+    lost = lambda w: w.isNull() | w["text"].isNull() | w["left"].isNull() | w["top"].isNull() | w["width"].isNull() | w["height"].isNull()
+    fault = (
+        F.when(F.col("p").isNull() | F.col("p.broken").isNotNull(), "the page is no readable document")
+        .when(F.col("p.lines").isNull(), "the page has no lines")
+        .when(F.exists("p.lines", lambda x: x.isNull()) | F.exists(words, lost), "a word lacks its text or place")
+        .when(F.exists(words, lambda w: (w["width"] < 0) | (w["height"] < 0)), "a word has a negative size")
+        .when((F.coalesce("p.width", F.lit(1)) <= 0) | (F.coalesce("p.height", F.lit(1)) <= 0), "the page has no size")
+    )
+    kept = parsed.withColumn("fault", fault)
+    lines = F.when(F.col("fault").isNull(), F.col("p.lines")).otherwise(F.array().cast(kept.select("p.lines").schema["lines"].dataType))
+    return kept.select("label_id", F.coalesce("p.width", F.lit(DEFAULT_WIDTH)).alias("width"), F.coalesce("p.height", F.lit(DEFAULT_HEIGHT)).alias("height"), "p.quality", lines.alias("lines"), "fault")
+
+
+def unreadable(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """label_id, error of records whose page has a fault or isn't there."""
+    told = records.select("label_id").join(pages.select("label_id", "fault", F.lit(True).alias("there")), "label_id", "left")
+    return told.select("label_id", F.when(F.col("there").isNull(), "there is no recognised page").otherwise(F.col("fault")).alias("error")).filter("error is not null")
 
 
 def words_of(pages: DataFrame) -> DataFrame:
