@@ -14,6 +14,7 @@ from veritrail.operators.spans import pages, span_index, unmasked
 from veritrail.operators.vocabulary import near_terms
 from veritrail.plans import verify
 from veritrail.rules import Rules, document, expanded_terms, load, read_rules
+from veritrail.schemas import QUALITY
 from veritrail.sources import samples, shelf
 
 BOX = "struct<left: double, top: double, right: double, bottom: double>"
@@ -146,6 +147,18 @@ def test_designation(designations, case):
     assert (got["verdict"], got["found"]) == (verdict, found) and why in got["reason"], got["reason"]
 
 
+def test_disagreeing_statements_are_listed_in_reading_order(spark):
+    rows = [("a", *w) for w in label(("OLD HARBOUR", 0.98), ("750 mL", 0.98), ("45% Alc./Vol.", 0.98), ("700 mL", 0.98), ("40% Alc./Vol.", 0.98))] + [("b", *w) for w in label(("750 mL", 0.98), ("40% Alc./Vol.", 0.98))]
+    words = spark.createDataFrame(rows, f"label_id string, line_no int, word_no int, text string, confidence double, box {BOX}")
+    records = spark.createDataFrame([(k, "OLD HARBOUR", "Gin", "40%", "750 mL") for k in "ab"], "label_id string, brand_name string, class_type string, alcohol_content string, net_contents string")
+    labels = records.select("label_id", F.lit(None).cast(QUALITY).alias("quality"))
+    rules = replace(load(), fields=tuple(f for f in load().fields if f.id in ("alcohol_content", "net_contents")))
+    got = {(r["label_id"], c["id"]): (c["outcome"], c["summary"]) for r in verify.verify(labels, words, records, rules).collect() for c in r["checks"]}
+    assert got["a", "abv_statement_consistency"] == ("fail", 'statements read: "45% Alc./Vol.", "40% Alc./Vol."')
+    assert got["a", "volume_statement_consistency"] == ("fail", 'statements read: "750 mL", "700 mL"')
+    assert ("b", "volume_statement_consistency") not in got and got["b", "standard_of_fill"][0] == "pass"
+
+
 def test_one_page_for_each_label(spark):
     _, words, _ = shelf.shelf(spark.read.parquet("/root/testdata/sf0.001/part.parquet"))
     page = pages(words)

@@ -154,6 +154,12 @@ def _reported(hits: Column, expected: Column) -> Column:
     return F.array_min(F.transform(keyed, lambda k: F.struct(k["a"].alias("a"), k["b"].alias("b"), k["c"].alias("c"), k["d"].alias("d"), k["e"].alias("e"), k["f"].alias("f"), k["h"].alias("h"))))["h"]
 
 
+def _readings(hits: Column) -> Column:
+    """What hits read, in reading order, quoted."""
+    placed = F.array_sort(F.transform(hits, lambda h: F.struct(h["box"]["top"].alias("top"), h["box"]["left"].alias("left"), h["raw"].alias("raw"))))
+    return F.array_join(F.transform(placed, lambda h: F.concat(F.lit('"'), h["raw"], F.lit('"'))), ", ")
+
+
 def _eligible() -> Column:
     return F.filter(free(F.col("masks")), lambda s: ~F.arrays_overlap(s["lines"], F.col("barred")))
 
@@ -223,7 +229,7 @@ def alcohol_content(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     bonus = F.when(backed & (agreement > 0), 0.05).otherwise(0.0)
     checks = F.array_compact(F.array(
         F.when((F.size(proofs) > 0) & abv.isNotNull(), one_check("proof_consistency", F.when(off, "fail").otherwise("pass"), "proof is twice the content", cite)),
-        F.when(F.size(labelled) > 1, one_check("abv_statement_consistency", F.when(two, "fail").otherwise("pass"), "all statements agree", cite)),
+        F.when(F.size(labelled) > 1, one_check("abv_statement_consistency", F.when(two, "fail").otherwise("pass"), F.when(two, F.concat(F.lit("statements read: "), _readings(labelled))).otherwise("all statements agree"), cite)),
         F.when(tier > 0, one_check("abv_wording", F.lit("advisory"), "stated without the labelled form", cite)),
     ))
     found = result(True, verdict, F.col("alcohol_content"), b["raw"], b["box"], S.triage_score(agreement, b["confidence"], penalty, bonus), b["confidence"], reason, checks)
@@ -256,7 +262,10 @@ def net_contents(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
         c = F.coalesce(c, F.lit(False))
         verdict, agreement, reason = F.when(c, word).otherwise(verdict), F.when(c, a).otherwise(agreement), F.when(c, why).otherwise(reason)
     penalty = F.when(inconsistent, 0.6).otherwise(1.0) * F.when(~standard, 0.8).otherwise(1.0)
-    checks = F.array(one_check("standard_of_fill", F.when(standard, "pass").otherwise("fail"), "an authorised volume", "27 CFR 5.203"))
+    checks = F.array_compact(F.array(
+        F.when(inconsistent, one_check("volume_statement_consistency", F.lit("fail"), F.concat(F.lit("statements read: "), _readings(F.col("hits"))), rules.of(field).citation)),
+        one_check("standard_of_fill", F.when(standard, "pass").otherwise("fail"), "an authorised volume", "27 CFR 5.203"),
+    ))
     found = result(True, verdict, F.col("net_contents"), b["raw"], b["box"], S.triage_score(agreement, b["confidence"], penalty, F.lit(0.0)), b["confidence"], reason, checks)
     out = F.when(F.size("hits") == 0, not_found(F.col("net_contents"), "no net contents were found")).otherwise(found)
     return base.withColumn("result", out).drop("wanted", "hits", "best")
