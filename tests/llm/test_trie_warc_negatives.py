@@ -9,11 +9,12 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("veritrail.llm")
 
-from veritrail.llm.hard_negatives import hard_negatives
+from veritrail.llm.hard_negatives import _product, blocks, hard_negatives, quantised, reduced_tiles, tile_positives
 from veritrail.llm.prefix_trie import prefix_trie
 from veritrail.llm.warc import archived_pages, member, page_record, parse_record, read_archives, reachable, record_candidates, warc_record, write_archives
 from veritrail.scratch import scratch_path
@@ -191,3 +192,15 @@ def test_negatives_equal_plain_python(spark, sizes):
 def test_no_vectors_no_negatives(spark):
     assert hard_negatives(spark.createDataFrame([], VECTORS)).collect() == []
     assert hard_negatives(spark.createDataFrame([(50, [1.0], 1, "v", 0)], VECTORS)).collect() == []
+
+
+def test_tiles_stay_where_they_are_made(spark):
+    """Only panels of vectors are exchanged: cells, whose number is the product of anchors and rows, are not."""
+    rows = quantised(spark.createDataFrame([(i, [0.1 * i, 1.0], 1, "v", 0) for i in range(200)], VECTORS))
+    anchors = blocks(rows.filter("vec_id % 50 = 0"), 2, 2, 1)
+    tiles = reduced_tiles(anchors, blocks(rows, 16, 2, 1), tile_positives, "anchor_id long, positive_id long, positive_score long", 2, 1)
+    assert tiles.filter("anchor_id % 50 = 0").select("anchor_id").distinct().count() == 4
+    assert "cells" not in tiles._jdf.queryExecution().executedPlan().toString()
+    # products beyond what floating point holds are added as integers
+    big = np.array([[2**31 + 1, 3]], np.int64)
+    assert _product(big, big)[0, 0] == (2**31 + 1) ** 2 + 9

@@ -1,8 +1,8 @@
 """Hard negatives by two-dimensional block products of integer vectors (SUMMA style).
 
-Anchors and rows are sharded to blocks and their components to chunks. Tasks multiply a block of
-anchors by a block of rows for one chunk; the partial int64 tiles are shuffled to their place and
-added; a finished tile keeps no more than the few best cells of each anchor, or of each window
+Anchors and rows are sharded to blocks and their components to chunks. A block of rows stays in its
+task; the panels of each block of anchors are sent there, multiplied chunk by chunk and added up
+in place; a finished tile keeps no more than the few best cells of each anchor, or of each window
 that a positive's score opens.
 """
 
@@ -21,13 +21,11 @@ ANCHOR_EVERY, NOISE_EVERY, CLASSES = 50, 7, 10
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95  # per cent of the positive's score
 SCALE = 256
-ANCHOR_BLOCK, ROW_BLOCK, CHUNK = 128, 512, 32
+ANCHOR_BLOCK, ROW_BLOCK, CHUNK = 256, 4096, 32
+ROWS = -1  # the place of a block's own rows among the blocks of anchors: before them
 NO_ID = 2**63 - 1  # rows without an id, after all others
 LOWEST = -(2**63)
 
-TILE = "grp long, i long, j long, chunk int, anchors long, anchor_ids binary, anchor_labels binary, windows binary, row_ids binary, row_labels binary, cells binary"
-BLOCK = "ids binary, labels binary, windows binary"
-
 
 def quantised(rows: DataFrame) -> DataFrame:
     """vec_id, label, vector, grp (0) of the rows that take part: integers, labels shifted where the id is divisible by 7.
@@ -94,36 +92,40 @@ def blocks(rows: DataFrame, size: int, chunk: int, chunks: int) -> DataFrame:
     return placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "vec_id").mapInArrow(lambda b: _pack(b, chunk, chunks), schema)
 
 
-def _multiply(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in TILE.split(", ")]
-    for batch in batches:
-        if not len(batch):
-            continue
-        for k in range(len(batch)):
-            a = np.frombuffer(batch["a"][k].as_buffer(), np.int64).reshape(-1, chunk)
-            b = np.frombuffer(batch["b"][k].as_buffer(), np.int64).reshape(-1, chunk)
-            cells = a @ b.T
-            row = [batch[n][k].as_py() for n in names[:4]] + [len(a)] + [batch[n][k].as_py() for n in names[5:10]] + [cells.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6])], names)
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of int64; by floating point, which is faster, where every sum is an integer that it holds exactly."""
+    most = [max(abs(float(x.min(initial=0))), abs(float(x.max(initial=0)))) for x in (a, b)]
+    if a.shape[1] * most[0] * most[1] < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T
 
 
-def _add(batches: Iterator[pa.RecordBatch], reduce: Callable) -> Iterator[pa.RecordBatch]:
-    """Sums partial tiles, sorted by place, one at a time, and reduces each finished one."""
+def _tiles(batches: Iterator[pa.RecordBatch], chunk: int, reduce: Callable) -> Iterator[pa.RecordBatch]:
+    """Panels sorted by (grp, j, i, chunk), those of block j's rows first: sums each tile's products where it stays, and reduces it."""
+    group, panels, about_rows = None, {}, None
     place, cells, about = None, None, None
     for batch in batches:
         for k in range(len(batch)):
-            here = (batch["grp"][k].as_py(), batch["i"][k].as_py(), batch["j"][k].as_py())
-            part = np.frombuffer(batch["cells"][k].as_buffer(), np.int64).reshape(batch["anchors"][k].as_py(), -1)
-            if here != place:
-                if place is not None:
-                    yield reduce(cells, *about)
-                place, cells = here, part.copy()
-            else:
-                cells += part
-            if batch["row_ids"][k].is_valid:  # sent with the first chunk only
-                about = [np.frombuffer(batch[n][k].as_buffer(), np.int64) for n in ("anchor_ids", "anchor_labels", "windows", "row_ids", "row_labels")]
-    if place is not None:
-        yield reduce(cells, *about)
+            grp, j, i, c = (batch[n][k].as_py() for n in ("grp", "j", "i", "chunk"))
+            of = lambda n: np.frombuffer(batch[n][k].as_buffer(), np.int64).copy()  # noqa: B023, E731
+            if (grp, j, i) != place:
+                if cells is not None:
+                    yield reduce(cells, *about, *about_rows)
+                place, cells = (grp, j, i), None
+                if (grp, j) != group:
+                    group, panels = (grp, j), {}
+            panel = of("matrix").reshape(-1, chunk)
+            if i == ROWS:
+                panels[c] = panel
+                if c == 0:  # ids are sent with the first chunk only
+                    about_rows = [of("ids"), of("labels")]
+            elif panels:  # a block that no row's hash fell into has none
+                if c == 0:
+                    about = [of("ids"), of("labels"), of("windows")]
+                part = _product(panel, panels[c])
+                cells = part if cells is None else np.add(cells, part, out=cells)
+    if cells is not None:
+        yield reduce(cells, *about, *about_rows)
 
 
 def best_cells(cells: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,15 +167,19 @@ def reduced_tiles(anchors: DataFrame, rows: DataFrame, reduce: Callable, schema:
     """What reduce keeps of each finished tile of anchors by rows (blocks of the same grp).
 
     A block of anchors is sent to each block of rows of its group: anchors are the smaller side by
-    the query's definition, and each meets every row. No key of the join is hot: it is a block.
+    the query's definition, and each meets every row. Products are added where they are made: a tile
+    is never sent, written or held beside another one. No key is hot: it is a block.
     """
     per = rows.filter("chunk = 0").groupBy("grp").agg(F.max("block").alias("last"))
-    sent = anchors.join(per, "grp").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    a = sent.select("grp", "j", "chunk", F.col("block").alias("i"), F.col("ids").alias("anchor_ids"), F.col("labels").alias("anchor_labels"), "windows", F.col("matrix").alias("a"))
-    b = rows.select("grp", F.col("block").alias("j"), "chunk", F.col("ids").alias("row_ids"), F.col("labels").alias("row_labels"), F.col("matrix").alias("b"))
-    both = a.join(b, ["grp", "j", "chunk"]).select("grp", "i", "j", "chunk", F.lit(0).cast("long").alias("anchors"), "anchor_ids", "anchor_labels", "windows", "row_ids", "row_labels", "a", "b")
-    tiles = both.mapInArrow(lambda x: _multiply(x, chunk), TILE)
-    return tiles.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(lambda x: _add(x, reduce), schema)
+    # a row per group, which is a label
+    sent = anchors.join(F.broadcast(per), "grp").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    panel = ["chunk", "ids", "labels", "windows", "matrix"]
+    a = sent.select("grp", "j", F.col("block").alias("i"), *panel)
+    b = rows.withColumn("windows", F.lit(None).cast("binary")).select("grp", F.col("block").alias("j"), F.lit(ROWS).cast("long").alias("i"), *panel)
+    # by number: a tile's work is many times what the panels' bytes suggest
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = a.unionByName(b).repartition(parts, "grp", "j").sortWithinPartitions("grp", "j", "i", "chunk")
+    return placed.mapInArrow(lambda x: _tiles(x, chunk, reduce), schema)
 
 
 def first_of(df: DataFrame, by: list[str], score: str, id_col: str, most: int) -> DataFrame:
