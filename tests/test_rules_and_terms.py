@@ -164,3 +164,9 @@ def test_one_page_for_each_label(spark):
     page = pages(words)
     assert page.count() == words.select("label_id").distinct().count()
     assert Rules().least_match("class_type") == 0.9
+
+
+def test_a_second_document_in_a_file_is_not_lost(spark, tmp_path):
+    one, two = (json.dumps(document(replace(load(), version=v))) for v in ("a", "b"))
+    with pytest.raises(ValueError, match="both.json: more than one document"):
+        read_rules(spark, written(tmp_path / "r", both=f"{one}\n{two}\n"))

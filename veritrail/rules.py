@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import asdict, dataclass, field, replace
 from dataclasses import fields as fields_of
@@ -147,6 +148,10 @@ def read_rules(spark: SparkSession, path: str) -> list[Rules]:
     if len(rows) > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} rule sets in {path}")
     faults, sets = [], []
+    # Spark reads the first document of a file and leaves the others out
+    for row in spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file")).collect():
+        if _followed(row["value"]):
+            faults.append(f"{row['file']}: more than one document")
     for row in rows:
         try:
             sets.append(_rules_of(row.asDict(recursive=True)))
@@ -159,6 +164,15 @@ def read_rules(spark: SparkSession, path: str) -> list[Rules]:
     return sorted(sets, key=lambda r: (r.version, r.beverage_class))
 
 
+def _followed(text: str) -> bool:
+    """Whether more than blanks follows a text's first JSON document; false for what is none."""
+    try:
+        _, end = json.JSONDecoder().raw_decode(text.lstrip())
+    except ValueError:
+        return False
+    return bool(text.lstrip()[end:].strip())
+
+
 def _rules_of(given: dict) -> Rules:
     if given.pop("broken") is not None:
         raise ValueError("no JSON document of a rule set")
