@@ -13,6 +13,7 @@ from veritrail.functions.similarity import indel
 from veritrail.operators.spans import pages, span_index, unmasked
 from veritrail.operators.vocabulary import near_terms
 from veritrail.plans import verify
+from veritrail.plans.statement import Statute, resolve_tokens
 from veritrail.rules import Rules, document, expanded_terms, load, read_rules
 from veritrail.schemas import QUALITY
 from veritrail.sources import samples, shelf
@@ -170,3 +171,9 @@ def test_a_second_document_in_a_file_is_not_lost(spark, tmp_path):
     one, two = (json.dumps(document(replace(load(), version=v))) for v in ("a", "b"))
     with pytest.raises(ValueError, match="both.json: more than one document"):
         read_rules(spark, written(tmp_path / "r", both=f"{one}\n{two}\n"))
+
+
+def test_a_digit_is_no_vowel(spark):
+    """1 for A is one letter misread, though 1 reads as I where a text is told by its letters alone."""
+    tokens = spark.createDataFrame([(1, "1CCORDING")], "id long, token string")
+    assert [r["run"] for r in resolve_tokens(tokens, ["id"], Statute().tokens, 5).collect()] == [["ACCORDING"]]

@@ -130,14 +130,15 @@ def one_decimal(value: Column) -> Column:
 
 def token_class(expected: Column, found: Column, least: int | Column = 5) -> Column:
     """noise, ambiguous or wording: what a substituted statutory word amounts to."""
-    e, f = enumerator_fold(expected), enumerator_fold(found)
+    # only equality looks beyond enumerators read as letters: a digit is no vowel
+    e, f = expected, found
     distance = F.levenshtein(e, f)
     pairs = F.zip_with(F.split(e, ""), F.split(f, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     changed = F.filter(pairs, lambda p: p["x"] != p["y"])
     vowel = lambda c: c.isin("A", "E", "I", "O", "U")
     vowels = (F.char_length(e) == F.char_length(f)) & F.forall(changed, lambda p: vowel(p["x"]) & vowel(p["y"]))
     return (
-        F.when(e == f, "noise")
+        F.when(enumerator_fold(e) == enumerator_fold(f), "noise")
         .when(F.char_length(e) < least, "wording")
         .when(F.startswith(e, f) | F.startswith(f, e), "wording")
         .when((distance == 1) & ~vowels, "noise")
