@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritrail.functions.bound import bound
+
 MOST_BITS = 61  # a sum of two rows of bits stays a positive long
 
 REGION = "array<struct<alo: int, ahi: int, blo: int, bhi: int>>"
@@ -63,7 +65,7 @@ def matching_blocks(a: Column, b: Column) -> Column:
     many as tokens, so a fold of that many steps ends with none.
     """
     index = lambda x: F.transform(x, lambda t, i: F.struct(i.alias("at"), t.alias("t")))
-    pairs = F.array_sort(F.flatten(F.transform(index(b), lambda y: F.transform(F.filter(index(a), lambda x: x["t"] == y["t"]), lambda x: F.struct((x["at"] - y["at"]).alias("d"), x["at"].alias("i"), y["at"].alias("j"))))))
+    pairs = bound(index(a), lambda xs: F.array_sort(F.flatten(F.transform(index(b), lambda y: F.transform(F.filter(xs, lambda x: x["t"] == y["t"]), lambda x: F.struct((x["at"] - y["at"]).alias("d"), x["at"].alias("i"), y["at"].alias("j")))))))
     none = F.struct(F.lit(0).alias("size"), F.lit(0).alias("i"), F.lit(0).alias("j"))
 
     def longest(region: Column, pairs: Column) -> Column:
@@ -89,7 +91,7 @@ def matching_blocks(a: Column, b: Column) -> Column:
         blocks = F.when(k > 0, F.concat(s["blocks"], F.array(F.struct(i.alias("i"), j.alias("j"), k.alias("size"))))).otherwise(s["blocks"])
         return F.struct(more.cast(REGION).alias("todo"), blocks.cast(BLOCK).alias("blocks"))
 
-    def once(s: Column, _: Column) -> Column:
+    def once(s: Column, pairs: Column) -> Column:
         # the longest run is bound by a fold over itself alone, so that it is found once a step
         best = F.transform(F.slice(s["todo"], 1, 1), lambda r: longest(r, pairs))
         return F.when(F.size(s["todo"]) == 0, s).otherwise(F.get(F.transform(best, lambda f: step(s, f)), F.lit(0)))
@@ -97,7 +99,8 @@ def matching_blocks(a: Column, b: Column) -> Column:
     whole = F.array(region(F.lit(0), F.size(a), F.lit(0), F.size(b))).cast(REGION)
     first = F.struct(whole.alias("todo"), F.array().cast(BLOCK).alias("blocks"))
     steps = F.sequence(F.lit(0), 2 * F.least(F.size(a), F.size(b)))
-    return F.aggregate(steps, first, once, lambda s: F.array_sort(s["blocks"]))
+    # the pairs are bound as well: they serve all steps
+    return bound(pairs, lambda ps: F.aggregate(steps, first, lambda s, _: once(s, ps), lambda s: F.array_sort(s["blocks"])))
 
 
 def opcodes(a: Column, b: Column) -> Column:

@@ -31,6 +31,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """The number of partitions for work that is many times what its bytes suggest."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back; the result knows its folder, for forget()."""
     spark = df.sparkSession
