@@ -9,6 +9,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from veritrail.catalogue import QUERIES
 from veritrail.functions.similarity import indel
 from veritrail.operators.spans import pages, span_index, unmasked
 from veritrail.operators.vocabulary import near_terms
@@ -177,3 +178,13 @@ def test_a_digit_is_no_vowel(spark):
     """1 for A is one letter misread, though 1 reads as I where a text is told by its letters alone."""
     tokens = spark.createDataFrame([(1, "1CCORDING")], "id long, token string")
     assert [r["run"] for r in resolve_tokens(tokens, ["id"], Statute().tokens, 5).collect()] == [["ACCORDING"]]
+
+
+def test_a_small_file_is_work_for_all_tasks(spark, tmp_path):
+    """A part is a few bytes in the file and a label of sixty words: neither its words nor its opcodes are left to one task."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = str(tmp_path / "part.parquet")
+    spark.range(40).selectExpr("id AS p_partkey", "'a b' AS p_name", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(path)
+    words = shelf.shelf(spark.read.parquet(path))[1]
+    for df in (words, span_index(words), QUERIES["statement_opcodes"](spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() == parts > 1

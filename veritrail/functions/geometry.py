@@ -37,7 +37,7 @@ def valid(b: Column) -> Column:
 
 def union(boxes: Column) -> Column:
     """Of an array of boxes; null for an empty one."""
-    edge = lambda name, pick: pick(F.transform(boxes, lambda b: b[name]))
+    edge = lambda name, pick: pick(boxes[name])
     out = F.struct(edge("left", F.array_min).alias("left"), edge("top", F.array_min).alias("top"), edge("right", F.array_max).alias("right"), edge("bottom", F.array_max).alias("bottom"))
     return F.when(F.size(boxes) > 0, out)
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as G
+from veritrail.functions.bound import bound
 from veritrail.functions.text import canonical, canonical_numeric, tokens
+from veritrail.scratch import shuffle_parts
 
 MAX_LINES, MAX_WORDS = 4, 6
 ROW_SHARE, GAP_SHARE, COLUMN_SHARE, GLYPH_RATIO = 0.5, 1.5, 0.3, 0.6
@@ -14,8 +16,8 @@ ROW_SHARE, GAP_SHARE, COLUMN_SHARE, GLYPH_RATIO = 0.5, 1.5, 0.3, 0.6
 
 def middle(values: Column) -> Column:
     """The median of an array of numbers; null for an empty one."""
-    x, n = F.array_sort(values), F.size(values)
-    return F.when(n > 0, (F.get(x, ((n - 1) / 2).cast("int")) + F.get(x, (n / 2).cast("int"))) / 2)
+    at = lambda x: (F.get(x, ((F.size(x) - 1) / 2).cast("int")) + F.get(x, (F.size(x) / 2).cast("int"))) / 2
+    return bound(F.array_sort(values), lambda x: F.when(F.size(x) > 0, at(x)))
 
 
 def pages(words: DataFrame) -> DataFrame:
@@ -26,6 +28,8 @@ def pages(words: DataFrame) -> DataFrame:
     row's first line is carried along a sorted array, since no window frame can hold it. Words get
     their canonical and numeric forms here, once for all spans they are part of.
     """
+    # by number: the work is many times what the bytes suggest, so small partitions stay apart
+    words = words.repartition(shuffle_parts(words.sparkSession), "label_id")
     words = words.withColumn("canonical", canonical(F.col("text"))).withColumn("numeric", canonical_numeric(F.col("text")))
     line = words.groupBy("label_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "text", "confidence", "box", "canonical", "numeric"))).alias("words"))
     heights = lambda ws: F.transform(ws, lambda w: G.height(w["box"]))
@@ -66,33 +70,37 @@ def word_runs(n: Column, most: int = MAX_WORDS) -> Column:
     return F.filter(runs, lambda r: ~((r["start"] == 0) & (r["end"] == n)))
 
 
-def _span(lines: Column, run: Column, words: Column) -> Column:
-    """A span of words; no rule of the forms looks beyond a space, so its forms are the words' forms joined."""
-    form = lambda name: F.array_join(F.filter(F.transform(words, lambda w: w[name]), lambda x: x != ""), " ")
-    mean = F.aggregate(F.transform(words, lambda w: w["confidence"]), F.lit(0.0), lambda a, c: a + c) / F.size(words)
+def _span(x: Column) -> Column:
+    """A span of lines, run and words; no rule of the forms looks beyond a space, so its forms are the words' forms joined."""
+    words = x["words"]
+    form = lambda name: F.array_join(F.filter(words[name], lambda f: f != ""), " ")
+    mean = F.aggregate(words["confidence"], F.lit(0.0), lambda a, c: a + c) / F.size(words)
     return F.struct(
-        lines.alias("lines"), run.alias("run"), F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("raw"), form("canonical").alias("canonical"), form("numeric").alias("numeric"),
-        G.union(F.transform(words, lambda w: w["box"])).alias("box"), mean.alias("confidence"), middle(F.transform(words, lambda w: G.height(w["box"]))).alias("glyph"), F.size(words).alias("n_words"),
+        x["lines"].alias("lines"), x["run"].alias("run"), F.array_join(words["text"], " ").alias("raw"), form("canonical").alias("canonical"), form("numeric").alias("numeric"),
+        G.union(words["box"]).alias("box"), mean.alias("confidence"), middle(F.transform(words["box"], G.height)).alias("glyph"), F.size(words).alias("n_words"),
     )
 
 
 def label_spans(page: Column, label_glyph: Column, keep_blank: bool = False) -> Column:
     """All spans of a page in generation order, with span_id (their place in it) and canonical_words."""
     none = F.lit(None).cast("struct<start: int, end: int>")
+    part = lambda lines, run, words: F.struct(lines.alias("lines"), run.alias("run"), words.alias("words"))
 
     def inside(x: Column) -> Column:
-        n = F.size(x["words"])
-        runs = F.transform(word_runs(n), lambda r: _span(F.array(x["line"]), r.cast("struct<start: int, end: int>"), F.slice(x["words"], r["start"] + 1, r["end"] - r["start"])))
-        return F.concat(F.array(_span(F.array(x["line"]), none, x["words"])), runs)
+        runs = F.transform(word_runs(F.size(x["words"])), lambda r: part(F.array(x["line"]), r.cast("struct<start: int, end: int>"), F.slice(x["words"], r["start"] + 1, r["end"] - r["start"])))
+        return F.concat(F.array(part(F.array(x["line"]), none, x["words"])), runs)
 
     follows = F.zip_with(F.slice(page, F.lit(1), F.greatest(F.size(page) - 1, F.lit(0))), F.slice(page, F.lit(2), F.size(page)), lambda a, b: coherent(a["box"], b["box"], a["glyph"], b["glyph"], label_glyph))
 
-    def across(at: Column) -> Column:
+    def across(at: Column, follows: Column) -> Column:
         lasting = F.filter(F.sequence(F.lit(1), F.least(F.lit(MAX_LINES - 1), F.size(page) - 1 - at)), lambda k: (at + k < F.size(page)) & (k > 0) & F.forall(F.slice(follows, at + 1, F.greatest(k, F.lit(0))), lambda ok: ok))
-        return F.transform(lasting, lambda k: _span(F.transform(F.slice(page, at + 1, k + 1), lambda x: x["line"]), none, F.flatten(F.transform(F.slice(page, at + 1, k + 1), lambda x: x["words"]))))
+        taken = F.transform(lasting, lambda k: F.slice(page, at + 1, k + 1))
+        return F.transform(taken, lambda xs: part(xs["line"], none, F.flatten(xs["words"])))
 
     starts = F.when(F.size(page) > 1, F.sequence(F.lit(0), F.size(page) - 2)).otherwise(F.array().cast("array<int>"))
-    made = F.concat(F.flatten(F.transform(page, inside)), F.flatten(F.transform(starts, across)))
+    several = bound(follows, lambda f: F.flatten(F.transform(starts, lambda at: across(at, f))))
+    # the words of a span are bound before it is made of them: each of its values reads them
+    made = F.transform(F.concat(F.flatten(F.transform(page, inside)), several), _span)
     if not keep_blank:
         made = F.filter(made, lambda s: s["canonical"] != "")
     return F.transform(made, lambda s, n: F.struct(n.alias("span_id"), *[s[c].alias(c) for c in ("lines", "run", "raw", "canonical", "numeric", "box", "confidence", "glyph", "n_words")], F.size(tokens(s["canonical"])).alias("canonical_words")))

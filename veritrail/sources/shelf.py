@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import geometry as G
 from veritrail.rules import STATUTE
 from veritrail.schemas import QUALITY
+from veritrail.scratch import shuffle_parts
 from veritrail.sources.samples import wrap
 
 KINDS = ("Vodka", "Straight Rye Whiskey", "London Dry Gin")
@@ -22,6 +23,8 @@ def shelf(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     are at 4 the statement's header in title case, at 5 no statement, at 7 a proof that contradicts
     the content, at 8 a volume that is no standard one, at 9 a statement with a word changed; 0 agrees.
     """
+    # a file of a few bytes a part is one task, and a part becomes a label of some sixty words
+    part = part.repartition(shuffle_parts(part.sparkSession), "p_partkey")
     m = F.col("p_partkey") % 10
     content = F.lit(40) + F.col("p_size") % 10
     kind = F.when(m == 6, KINDS[0]).otherwise(F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % 3 + 1).cast("int")))
