@@ -18,6 +18,7 @@ from veritrail.functions import geometry as G
 from veritrail.functions import patterns as P
 from veritrail.functions import similarity as S
 from veritrail.functions import text as X
+from veritrail.functions.bound import bound
 from veritrail.rules import HEADER, STATUTE, TAILS, Rules
 
 MOST_MERGED = 6  # words of the statute read as one
@@ -114,9 +115,16 @@ def _windows(units: Column, most: int) -> Column:
 
 
 def _scored(windows: Column, target: str, least: float, size: int | None = None) -> Column:
-    """score, start, end of windows that reach least; a bound by lengths comes before the score."""
+    """score, start, end of windows that reach least; bounds by lengths and by the built-in distance come before the score."""
     k = len(target)
-    possible = F.filter(windows, lambda w: (2 * F.least(F.char_length(w["key"]), F.lit(k)) >= least * (F.char_length(w["key"]) + k)) & (F.lit(True) if size is None else w["end"] - w["start"] <= size))
+
+    def may_reach(w: Column) -> Column:
+        lengths = F.char_length(w["key"]) + k
+        near = 2 * F.least(F.char_length(w["key"]), F.lit(k)) >= least * lengths
+        # a substitution is one edit to the distance and two to the ratio, so no window that reaches least is farther
+        return near & (F.lit(True) if size is None else w["end"] - w["start"] <= size) & (F.levenshtein(w["key"], F.lit(target)) <= (1 - least) * lengths + 1e-9)
+
+    possible = F.filter(windows, may_reach)
     scored = F.transform(possible, lambda w: F.struct(A.fixed_ratio(w["key"], target).alias("score"), w["start"].alias("start"), w["end"].alias("end")))
     return F.filter(scored, lambda w: w["score"] >= least)
 
@@ -151,26 +159,35 @@ def _expand(units: Column, start: Column, end: Column, n: int, backward: bool) -
     """The end (backward: the start) of the block, widened line by line while it comes closer to the statute."""
     side = F.reverse(F.slice(units, F.lit(1), end)) if backward else F.slice(units, start + 1, F.size(units) - start)
     scores = _running(side, n, backward)
-    inside = end - start
     cuts = F.zip_with(F.transform(side, lambda u, k: F.struct(u["line"].alias("line"), (k + 1).alias("cut"))), scores, lambda c, s: F.struct(c["line"].alias("line"), c["cut"].alias("cut"), s.alias("score")))
-    here = F.element_at(F.slice(cuts, F.lit(1), inside), F.lit(-1))
-    beyond = F.filter(cuts, lambda c: c["cut"] > inside)
-    # of equal cuts the one nearest the block; in the line it starts from, going backward, the farthest
-    far = lambda c: (c["line"] == here["line"]) if backward else F.lit(False)
-    rank = lambda c: F.struct(c["score"].alias("score"), F.when(far(c), c["cut"]).otherwise(-c["cut"]).alias("tie"), c["cut"].alias("cut"))
-    lines = F.array_distinct(F.transform(beyond, lambda c: c["line"]))
-    best = F.transform(lines, lambda x: F.struct(x.alias("line"), F.array_max(F.transform(F.filter(beyond, lambda c: c["line"] == x), rank)).alias("best")))
-    first = F.struct(here["score"].alias("score"), inside.alias("cut"), F.lit(False).alias("over"))
-
-    def step(s: Column, x: Column) -> Column:
-        wider = ~s["over"] & (x["best"]["score"] > s["score"])
-        over = s["over"] | (~wider & (x["line"] != here["line"]))
-        return F.struct(F.when(wider, x["best"]["score"]).otherwise(s["score"]).alias("score"), F.when(wider, x["best"]["cut"]).otherwise(s["cut"]).alias("cut"), over.alias("over"))
-
-    cut = F.aggregate(best, first, step, lambda s: s["cut"])
+    # the running scores serve all lines, so they are bound
+    cut = bound(cuts, lambda cs: bound(end - start, lambda inside: _widest(cs, inside, backward)))
     return end - cut if backward else start + cut
 
 
+def _widest(cuts: Column, inside: Column, backward: bool) -> Column:
+    """Of cuts (line, cut, score) beyond that of the block, inside, the one it is widened to."""
+    here = F.element_at(F.slice(cuts, F.lit(1), inside), F.lit(-1))
+    later = F.filter(cuts, lambda c: c["cut"] > inside)
+
+    def of(here: Column, beyond: Column) -> Column:
+        # of equal cuts the one nearest the block; in the line it starts from, going backward, the farthest
+        far = lambda c: (c["line"] == here["line"]) if backward else F.lit(False)
+        rank = lambda c: F.struct(c["score"].alias("score"), F.when(far(c), c["cut"]).otherwise(-c["cut"]).alias("tie"), c["cut"].alias("cut"))
+        lines = F.array_distinct(F.transform(beyond, lambda c: c["line"]))
+        best = F.transform(lines, lambda x: F.struct(x.alias("line"), F.array_max(F.transform(F.filter(beyond, lambda c: c["line"] == x), rank)).alias("best")))
+        first = F.struct(here["score"].alias("score"), inside.alias("cut"), F.lit(False).alias("over"))
+
+        def step(s: Column, x: Column) -> Column:
+            wider = ~s["over"] & (x["best"]["score"] > s["score"])
+            over = s["over"] | (~wider & (x["line"] != here["line"]))
+            return F.struct(F.when(wider, x["best"]["score"]).otherwise(s["score"]).alias("score"), F.when(wider, x["best"]["cut"]).otherwise(s["cut"]).alias("cut"), over.alias("over"))
+
+        return F.aggregate(best, first, step, lambda s: s["cut"])
+
+    return bound(here, lambda h: bound(later, lambda b: of(h, b)))
+
+
 def _median(values: Column) -> Column:
     x, n = F.array_sort(values), F.size(values)
     return (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2
