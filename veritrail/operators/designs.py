@@ -11,9 +11,9 @@ SALTS = (1, 2)
 def _prints(words: DataFrame) -> DataFrame:
     """label_id, __print: 128 bits of each label's words, in whatever order they come; a word told twice counts twice."""
     parts = [F.col(c) for c in ("line_no", "word_no", "text", "confidence", "box.left", "box.top", "box.right", "box.bottom")]
-    # a hash passes over nulls, so where they stand is hashed as well
-    nulls = [c.isNull() for c in (*parts, F.col("box"))]
-    hashed = words.select("label_id", *[F.xxhash64(F.lit(salt), *parts, *nulls).alias(f"h{salt}") for salt in SALTS])
+    # a hash passes over nulls, so where they stand is hashed as well, a bit for each
+    nulls = sum((F.when(c.isNull(), 1 << k).otherwise(0) for k, c in enumerate((*parts, F.col("box")))), F.lit(0))
+    hashed = words.select("label_id", *[F.xxhash64(F.lit(salt), *parts, nulls).alias(f"h{salt}") for salt in SALTS])
     halves: list[Column] = []
     for salt in SALTS:
         # sums of halves don't overflow
@@ -26,6 +26,7 @@ def designs(labels: DataFrame, words: DataFrame, records: DataFrame) -> DataFram
 
     Words are equal by 128 bits of hashes and their number, the rest by its SHA-256.
     """
-    rows = records.join(labels.select("label_id", "quality"), "label_id", "left").join(_prints(words), "label_id", "left")
+    # a small file may hold many labels, so sizes that Spark takes from it would send whole tables to all executors
+    rows = records.join(labels.select("label_id", "quality").hint("merge"), "label_id", "left").join(_prints(words).hint("merge"), "label_id", "left")
     told = F.to_json(F.struct(*[c for c in rows.columns if c != "label_id"]))
     return rows.withColumn("__design", F.sha2(told, 256)).drop("__print")

@@ -2,18 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as G
+from veritrail.functions.bound import bound
 from veritrail.rules import STATUTE
-from veritrail.schemas import QUALITY
+from veritrail.schemas import BOX, QUALITY
 from veritrail.scratch import shuffle_parts
 from veritrail.sources.samples import wrap
 
 KINDS = ("Vodka", "Straight Rye Whiskey", "London Dry Gin")
 TITLE, CAN = STATUTE.replace("GOVERNMENT WARNING", "Government Warning"), STATUTE.replace("may cause", "can cause")
-LINE = "array<struct<text: string, top: double, height: double, left: double>>"
+WORD = f"array<struct<line_no: int, word_no: int, text: string, box: {BOX}>>"
+#: top and height of the lines of a front: brand, designation, strength, volume.
+FRONT = ((159.0, 70.0), (271.5, 39.0), (333.5, 33.0), (395.5, 33.0))
+MIDDLE, WIDE, NARROW = 500.0, 0.55, 0.42
+
+
+def _placed(*lines: tuple) -> list[dict]:
+    """The words of lines (line_no, text, top, height, left or None for one in the middle)."""
+    out = []
+    for line_no, text, top, height, left in lines:
+        step = (WIDE if left is None else NARROW) * height
+        start, before = MIDDLE - len(text) * step / 2 if left is None else left, 0
+        for word_no, w in enumerate(text.split(" ")):
+            x = start + before * step
+            out.append({"line_no": line_no, "word_no": word_no, "text": w, "box": {"left": x, "top": top, "right": x + len(w) * step, "bottom": top + height}})
+            before += len(w) + 1
+    return out
+
+
+def _literal(value: list | dict, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _one_of(text: Column, texts: list[str], line_no: int) -> Column:
+    """The words of a line of the front that reads as one of a few texts: these are placed once, not once a label."""
+    return F.try_element_at(_literal({t: _placed((line_no, t, *FRONT[line_no], None)) for t in texts}, f"map<string, {WORD}>"), text)
+
+
+def _middle(text: Column, line_no: int) -> Column:
+    """The words of a line in the middle of the front."""
+    top, height = FRONT[line_no]
+    step = WIDE * height
+
+    def word(ws: Column, start: Column, w: Column, k: Column) -> Column:
+        left = start + (F.length(F.array_join(F.slice(ws, F.lit(1), k), " ")) + F.when(k > 0, 1).otherwise(0)) * F.lit(step)
+        return bound(left, lambda x: F.struct(F.lit(line_no).alias("line_no"), k.alias("word_no"), w.alias("text"), G.box(x, top, x + F.length(w) * F.lit(step), top + height).alias("box")))
+
+    start = F.lit(MIDDLE) - F.length(text) * F.lit(step) / 2
+    return bound(F.struct(F.split(text, " ").alias("ws"), start.alias("start")), lambda b: F.transform(b["ws"], lambda w, k: word(b["ws"], b["start"], w, k)))
 
 
 def shelf(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,18 +77,16 @@ def shelf(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("p_partkey").cast("string").alias("label_id"), m.alias("m"), brand.alias("brand"), kind.alias("kind"), abv.alias("abv"), net.alias("net"),
         F.concat(abv, F.lit(" ("), proof.cast("string"), F.lit(" Proof)")).alias("strength"), F.concat((content + 5).cast("string"), F.lit("% Alc./Vol.")).alias("more"),
     )
-    line = lambda text, top, height, left=None: F.struct(text.alias("text"), F.lit(top).alias("top"), F.lit(height).alias("height"), F.lit(left).cast("double").alias("left"))
-    block = lambda text: F.array(*[line(F.lit(x), 1212.7 + 30.45 * k, 21.0, 70.0) for k, x in enumerate(wrap(text))]).cast(LINE)
-    front = F.array(line(F.col("brand"), 159.0, 70.0), line(F.col("kind"), 271.5, 39.0), line(F.col("strength"), 333.5, 33.0), line(F.col("net"), 395.5, 33.0)).cast(LINE)
-    back = F.when(F.col("m") == 4, block(TITLE)).when(F.col("m") == 9, block(CAN)).when(F.col("m") == 5, F.array().cast(LINE)).otherwise(block(STATUTE))
-    lines = given.select("label_id", F.posexplode(F.concat(front, back)).alias("line_no", "l"))
-    step = F.when(F.col("l.left").isNull(), 0.55).otherwise(0.42) * F.col("l.height")
-    start = F.coalesce("l.left", F.lit(500.0) - F.length("l.text") * step / 2)
-    words = lines.select("label_id", "line_no", "l", step.alias("step"), start.alias("start"), F.split("l.text", " ").alias("ws"))
-    words = words.select("label_id", "line_no", "l", "step", "start", "ws", F.posexplode("ws").alias("word_no", "text"))
-    before = F.length(F.array_join(F.slice("ws", F.lit(1), F.col("word_no")), " ")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
-    left = F.col("start") + before * F.col("step")
-    words = words.select("label_id", "line_no", "word_no", "text", F.lit(0.98).alias("confidence"), G.box(left, F.col("l.top"), left + F.length("text") * F.col("step"), F.col("l.top") + F.col("l.height")).alias("box"))
+    none = F.array().cast(WORD)
+    block = lambda text: _literal(_placed(*[(len(FRONT) + k, x, 1212.7 + 30.45 * k, 21.0, 70.0) for k, x in enumerate(wrap(text))]), WORD)
+    back = F.when(F.col("m") == 4, block(TITLE)).when(F.col("m") == 9, block(CAN)).when(F.col("m") == 5, none).otherwise(block(STATUTE))
+    # made in a step of their own, else all words of a label would be taken apart by interpreted code
+    given = given.withColumn("first", F.coalesce(_middle(F.col("brand"), 0).cast(WORD), none))
+    # a remainder is -9 to 9
+    strengths = [f"{c}% Alc./Vol. ({2 * c + more} Proof)" for c in range(31, 50) for more in (0, 4)]
+    front = [F.coalesce(_one_of(F.col(c), texts, n), none) for n, c, texts in ((1, "kind", KINDS), (2, "strength", strengths), (3, "net", ("750 mL", "730 mL")))]
+    words = given.select("label_id", F.explode(F.concat("first", *front, back)).alias("w"))
+    words = words.select("label_id", "w.line_no", "w.word_no", "w.text", F.lit(0.98).alias("confidence"), "w.box")
     quality = F.struct(F.lit(True).alias("usable"), F.lit(0.95).alias("score"), F.array().cast("array<string>").alias("issues"), F.array().cast("array<string>").alias("guidance"), F.create_map().cast("map<string, double>").alias("metrics")).cast(QUALITY)
     labels = given.select("label_id", F.lit(1000).alias("width"), F.lit(1400).alias("height"), quality.alias("quality"))
     other = F.when(F.col("m") == 1, "QUIET MEADOW").otherwise(F.col("brand"))
