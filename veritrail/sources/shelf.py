@@ -57,15 +57,26 @@ def _middle(text: Column, line_no: int) -> Column:
     return bound(F.struct(F.split(text, " ").alias("ws"), start.alias("start")), lambda b: F.transform(b["ws"], lambda w, k: word(b["ws"], b["start"], w, k)))
 
 
-def shelf(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """labels, words and records of the rows of part (p_partkey, p_name, p_size), by p_partkey % 10:
+def shape() -> Column:
+    """What a part's label and record are made from, as a text: those of equal shapes differ in label_id alone."""
+    return F.to_json(F.struct((F.col("p_partkey") % (10 * len(KINDS))).alias("key"), (F.col("p_size") % 10).alias("size"), F.col("p_name").alias("name")))
+
+
+def shapes(part: DataFrame) -> DataFrame:
+    """A part for each shape of those in part, of the remainders that a shape is told by; parts without a key have none."""
+    part = part.filter("p_partkey is not null")
+    return part.select((F.col("p_partkey") % (10 * len(KINDS))).alias("p_partkey"), "p_name", (F.col("p_size") % 10).alias("p_size")).distinct()
+
+
+def shelf(part: DataFrame, label_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """labels, words and records of the rows of part (p_partkey, p_name, p_size), named by label_id (by default the key), by p_partkey % 10:
 
     1 the record has another brand, 2 another content, 3 another volume, 6 another designation; printed
     are at 4 the statement's header in title case, at 5 no statement, at 7 a proof that contradicts
     the content, at 8 a volume that is no standard one, at 9 a statement with a word changed; 0 agrees.
     """
     # a file of a few bytes a part is one task, and a part becomes a label of some sixty words
-    part = part.repartition(shuffle_parts(part.sparkSession), "p_partkey")
+    part = part.withColumn("label_id", F.col("p_partkey").cast("string") if label_id is None else label_id).repartition(shuffle_parts(part.sparkSession), "label_id")
     m = F.col("p_partkey") % 10
     content = F.lit(40) + F.col("p_size") % 10
     kind = F.when(m == 6, KINDS[0]).otherwise(F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % 3 + 1).cast("int")))
@@ -74,7 +85,7 @@ def shelf(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     proof = F.when(m == 7, 2 * content + 4).otherwise(2 * content)
     net = F.when(m == 8, "730 mL").otherwise("750 mL")
     given = part.select(
-        F.col("p_partkey").cast("string").alias("label_id"), m.alias("m"), brand.alias("brand"), kind.alias("kind"), abv.alias("abv"), net.alias("net"),
+        "label_id", m.alias("m"), brand.alias("brand"), kind.alias("kind"), abv.alias("abv"), net.alias("net"),
         F.concat(abv, F.lit(" ("), proof.cast("string"), F.lit(" Proof)")).alias("strength"), F.concat((content + 5).cast("string"), F.lit("% Alc./Vol.")).alias("more"),
     )
     none = F.array().cast(WORD)
