@@ -22,11 +22,12 @@ def _prints(words: DataFrame) -> DataFrame:
 
 
 def designs(labels: DataFrame, words: DataFrame, records: DataFrame) -> DataFrame:
-    """Records with quality and __design: equal for records that differ in label_id alone, with labels of one quality and equal words.
+    """Records with quality, __page, equal for labels of one quality and equal words, and __design, for records as well that differ in label_id alone.
 
     Words are equal by 128 bits of hashes and their number, the rest by its SHA-256.
     """
     # a small file may hold many labels, so sizes that Spark takes from it would send whole tables to all executors
     rows = records.join(labels.select("label_id", "quality").hint("merge"), "label_id", "left").join(_prints(words).hint("merge"), "label_id", "left")
     told = F.to_json(F.struct(*[c for c in rows.columns if c != "label_id"]))
-    return rows.withColumn("__design", F.sha2(told, 256)).drop("__print")
+    page = F.to_json(F.struct("quality", "__print"))
+    return rows.withColumn("__design", F.sha2(told, 256)).withColumn("__page", F.sha2(page, 256)).drop("__print")

@@ -10,8 +10,10 @@ each use of a mask, and grow without end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,7 @@ from veritrail.operators.designs import designs
 from veritrail.operators.spans import label_spans, pages, unmasked
 from veritrail.operators.vocabulary import SHORTLIST, near_terms
 from veritrail.plans.statement import judge_statements
-from veritrail.rules import RuleColumns, Rules, abbreviation_table, expanded_families, expanded_terms, load, rule_rows, shape
+from veritrail.rules import Field, RuleColumns, Rules, abbreviation_table, expanded_families, expanded_terms, load, rule_rows, shape
 from veritrail.schemas import BOX, CHECK
 from veritrail.scratch import forget, materialise, shuffle_parts
 from veritrail.sources import sidecars
@@ -111,21 +113,39 @@ def wording_scores(phrases: tuple[str, ...]):
     return F.pandas_udf(best, T.ArrayType(T.DoubleType()))
 
 
-def label_rows(labels: DataFrame, words: DataFrame, records: DataFrame, spanned: bool = True) -> DataFrame:
-    """One row per record with quality, page (lines with their words, in reading order) and, if spanned, spans in generation order."""
-    parts = shuffle_parts(words.sparkSession)
-    read = pages(words)
-    if spanned:
+def label_rows(records: DataFrame, read: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """One row per record with the page (lines with their words, in reading order) of the label it shows and, if rules are given, spans in generation order and barred lines.
+
+    records name in __shown a label of read, pages(). Spans are made once for all records that show it.
+    """
+    parts = shuffle_parts(read.sparkSession)
+    read = read.repartition(parts, "label_id")
+    if rules is not None:
         spans = label_spans(F.col("page"), F.col("label_glyph"))
         kept = ("raw", "canonical", "canonical_words", "numeric", "box", "confidence", "glyph", "n_words")
         read = read.withColumn("spans", F.transform(spans, lambda s: F.struct(s["span_id"], s["lines"], s["run"].isNull().alias("whole"), *[s[c] for c in kept])))
-    read = read.drop("label_glyph")
-    rows = records.repartition(parts, "label_id").join(labels.select("label_id", "quality"), "label_id", "left").join(read, "label_id", "left")
+        read = read.withColumn("barred", barred_lines(rules))
+    read = read.drop("label_glyph").withColumnRenamed("label_id", "__shown")
+    # pages are far larger than their files
+    rows = records.repartition(parts, "__shown").join(read.hint("merge"), "__shown", "left")
     for c in read.columns[1:]:
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast(read.schema[c].dataType)))
     return rows
 
 
+#: records that show one label and are given its page and spans by one task
+MOST_SHOWN = 1000
+
+
+def shown_labels(designs: DataFrame, which: list[str]) -> DataFrame:
+    """designs with __shown: one of those (label_id) that have their page, quality and rules in common, for some MOST_SHOWN each."""
+    page = ["__page", *which]
+    counted = designs.join(designs.groupBy(*page).agg(F.count(F.lit(1)).alias("__n")).hint("merge"), page)
+    dealt = counted.withColumn("__share", F.pmod(F.xxhash64("label_id"), F.ceil(F.col("__n") / MOST_SHOWN))).drop("__n")
+    first = dealt.groupBy(*page, "__share").agg(F.min("label_id").alias("__shown"))
+    return dealt.join(first.hint("merge"), [*page, "__share"]).drop("__page", "__share")
+
+
 def free(masks: Column) -> Column:
     return F.filter("spans", lambda s: unmasked(s["box"], masks))
 
@@ -151,7 +171,9 @@ def good_image(rules: Rules) -> Column:
 
 @strategy("warning", page_alone=True)
 def warning(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
-    w = rows.join(judge_statements(rows.select("label_id", "page", "quality", *[c for c in rows.columns if c == "rule"]), rules), "label_id", "left")
+    # the page, its quality and the rules are all that is asked
+    shown = rows.filter(F.col("label_id") == F.col("__shown")).select("label_id", "page", "quality", *[c for c in rows.columns if c == "rule"])
+    w = rows.join(judge_statements(shown, rules).withColumnRenamed("label_id", "__shown"), "__shown", "left")
     cite = rules.of(field).citation
     here = lambda outcome: F.when(F.col("w.located"), outcome).otherwise("not_evaluable")
     gaps = F.array_join(F.array(*[F.concat(F.coalesce(F.format_string("%.1f line heights", F.col(f"w.gaps.{n}")), F.lit("no text")), F.lit(f" {n}")) for n in ("above", "below", "beside")]), ", ")
@@ -521,35 +543,33 @@ def _judge(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
     # labels that are alike are judged once, under the name of their design
     members = materialise(designs(labels, words, records.filter("label_id is not null")), "members")
     copies = members.groupBy("__design").agg(F.min("label_id").alias("__printed"), F.count(F.lit(1)).alias("__copies"))
-    own = materialise(copies.join(members.dropDuplicates(["__design"]).drop("label_id"), "__design").withColumnRenamed("__design", "label_id"), "designs")
-    read = words.withColumnRenamed("label_id", "__printed").join(own.select("label_id", "__printed"), "__printed").drop("__printed")
+    own = copies.join(members.dropDuplicates(["__design"]).drop("label_id"), "__design").withColumnRenamed("__design", "label_id")
+    designed = own = materialise(shown_labels(own, which), "designs")
+    shown = own.filter(F.col("label_id") == F.col("__shown")).select("label_id", "__printed")
+    page = materialise(pages(words.withColumnRenamed("label_id", "__printed").join(shown, "__printed").drop("__printed")), "pages")
+    own = own.drop("__printed")
+    fields = sorted(rules.fields, key=lambda f: f.order)
+    spanned = trace is not None or any(f.strategy in STRATEGIES.keys() - PAGE_ALONE for f in fields)
     # the wide rows are written once; what fields hand on is a narrow table
-    spanned = trace is not None or any(f.strategy in STRATEGIES.keys() - PAGE_ALONE for f in rules.fields)
-    rows = label_rows(own.select("label_id", "quality"), read, own.drop("quality", "__printed"), spanned)
-    wide = materialise(rows.withColumn("barred", barred_lines(rules)) if spanned else rows, "labels")
-    state = wide.select("label_id", F.array().cast(f"array<{BOX}>").alias("masks"), F.struct("__copies").alias("done"))
+    rows = label_rows(own, page, rules if spanned else None)
+    started = {"masks": F.array().cast(f"array<{BOX}>"), "done": F.struct("__copies")}
     written = None
-    for field in sorted(rules.fields, key=lambda f: f.order):
-        rows = ruled(wide.join(state, "label_id"))
-        known = STRATEGIES.get(field.strategy)
-        rows = known(rows, rules, field.id) if known else rows.withColumn("result", not_found(F.lit(None).cast("string"), "this field is not automated"))
-        box = F.when(F.col("result.located"), F.col("result.box"))
-        before = F.col("masks")
-        seen = None
-        if trace is not None and "spans" in rows.columns:
-            seen, copied = Observation(field.id), F.col("done.__copies")
-            rows = rows.observe(seen, F.coalesce(F.sum(copied), F.lit(0)).alias("labels"), F.sum(copied * F.size(free(before))).alias("available"), F.sum(copied * F.size(free(F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(before)))).alias("remaining"))
-        state = rows.select(
-            "label_id", F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(F.col("masks")).alias("masks"), F.col("done").withField(field.id, F.col("result")).alias("done")
-        )
-        state = materialise(state, "state")
-        if seen is not None:
-            trace[field.id] = dict(seen.get)
+    if spanned and trace is None and fields and fields[0].strategy in PAGE_ALONE:
+        # a first field that reads the page alone is judged while spans are made
+        with ThreadPoolExecutor(1) as pool:
+            writing = pool.submit(inheritable_thread_target(page.sparkSession)(materialise), rows, "labels")
+            state = written = _judge_field(ruled(label_rows(own, page).withColumns(started)), rules, fields.pop(0), None)
+            wide = writing.result()
+    else:
+        wide = materialise(rows, "labels")
+        state = wide.select("label_id", *[c.alias(name) for name, c in started.items()])
+    for field in fields:
+        state = _judge_field(ruled(wide.join(state, "label_id")), rules, field, trace)
         if written is not None:
             forget(written)
         written = state
     rows = ruled(materialise(wide.select("label_id", "quality", *which).join(state, "label_id").select("label_id", "quality", "done", *which), "judged"))
-    forget(wide, state, own)
+    forget(wide, state, page, designed)
     alert = ~F.col("done.government_warning.located") & good_image(rules)
     made = []
     for field in rules.fields if table is not None else sorted(rules.fields, key=lambda f: f.display_order):
@@ -564,6 +584,25 @@ def _judge(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
     return members.select("label_id", "__design").join(results, "__design").select("label_id", "r.*", "rules")
 
 
+def _judge_field(rows: DataFrame, rules: Rules | RuleColumns, field: Field, trace: dict[str, dict] | None) -> DataFrame:
+    """label_id, masks, done after one more field, written."""
+    known = STRATEGIES.get(field.strategy)
+    rows = known(rows, rules, field.id) if known else rows.withColumn("result", not_found(F.lit(None).cast("string"), "this field is not automated"))
+    box = F.when(F.col("result.located"), F.col("result.box"))
+    before = F.col("masks")
+    seen = None
+    if trace is not None and "spans" in rows.columns:
+        seen, copied = Observation(field.id), F.col("done.__copies")
+        rows = rows.observe(seen, F.coalesce(F.sum(copied), F.lit(0)).alias("labels"), F.sum(copied * F.size(free(before))).alias("available"), F.sum(copied * F.size(free(F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(before)))).alias("remaining"))
+    state = rows.select(
+        "label_id", F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(F.col("masks")).alias("masks"), F.col("done").withField(field.id, F.col("result")).alias("done")
+    )
+    state = materialise(state, "state")
+    if seen is not None:
+        trace[field.id] = dict(seen.get)
+    return state
+
+
 def judge_pages(pages: DataFrame, records: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """Field results of the records with a readable page (sidecars.parse_pages), and one summary row for every record.
 
