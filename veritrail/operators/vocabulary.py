@@ -57,6 +57,15 @@ def near_forms(texts: DataFrame, terms: DataFrame, least: float) -> DataFrame:
     return counted.select("text", "term", "form", S.ratio(F.col("text_as"), F.col("term_as")).alias("score")).filter(F.col("score") >= least)
 
 
+def within_reach(text: Column, terms: list[str], least: float) -> Column:
+    """Whether a canonical text is neither too long nor too short for near_forms() to find one of the terms in it."""
+    if not terms:
+        return F.lit(False)
+    reach = (2 - least) / least
+    short, long = min(len(t.replace(" ", "")) for t in terms), max(map(len, terms))
+    return (F.char_length(text) >= short / reach - 1e-9) & (F.char_length(X.despaced(text)) <= long * reach + 1e-9)
+
+
 def near_terms(texts: DataFrame, terms: DataFrame, least: float, shortlist: int = SHORTLIST) -> DataFrame:
     """text, term, score: per text and form the shortlist best terms, each with its better form; terms: term, place.
 

@@ -26,7 +26,7 @@ from veritrail.functions.bound import bound
 from veritrail.operators import triage
 from veritrail.operators.designs import designs
 from veritrail.operators.spans import label_spans, pages, unmasked
-from veritrail.operators.vocabulary import SHORTLIST, near_terms
+from veritrail.operators.vocabulary import SHORTLIST, near_terms, within_reach
 from veritrail.plans.statement import judge_statements
 from veritrail.rules import Field, RuleColumns, Rules, abbreviation_table, expanded_families, expanded_terms, load, rule_rows, shape
 from veritrail.schemas import BOX, CHECK
@@ -386,10 +386,18 @@ def _families(text: Column, rules: Rules | RuleColumns) -> Column:
     return F.transform(held, lambda f: f["name"])
 
 
+def _sets(rules: Rules | RuleColumns) -> list[Rules]:
+    return [rules] if isinstance(rules, Rules) else rules.sets
+
+
+def all_terms(rules: Rules | RuleColumns) -> list[str]:
+    """The known designations of all rule sets."""
+    return list(dict.fromkeys(t for r in _sets(rules) for t in expanded_terms(r)))
+
+
 def known_terms(texts: DataFrame, rules: Rules | RuleColumns, least: float) -> DataFrame:
     """text, hits (term, sim): the known designations of any rule set that each text reads as."""
-    sets = [rules] if isinstance(rules, Rules) else rules.sets
-    terms = list(dict.fromkeys(t for r in sets for t in expanded_terms(r)))
+    sets, terms = _sets(rules), all_terms(rules)
     listed = texts.sparkSession.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, place int")
     near = near_terms(texts, listed, least, max(SHORTLIST, len(terms) if len(sets) > 1 else 0))
     return near.groupBy("text").agg(F.collect_list(F.struct("term", F.col("score").alias("sim"))).alias("hits"))
@@ -409,7 +417,10 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
     # positions are told at four digits
     reachable, lowest = _reachable("pool", F.col("want"), f, rules.positional_floor - 1e-4)
     base = base.drop("page").withColumn("near", reachable).withColumn("sims", similarities(F.transform("near", lambda s: s["canonical"]), F.col("want"), lowest))
-    base = materialise(base.withColumn("ranked", _ranked("near", "sims", F.size(X.tokens(F.col("want"))), f.length_penalty, f.confidence_weight)).drop("near", "sims"), "pools")
+    base = base.withColumn("ranked", _ranked("near", "sims", F.size(X.tokens(F.col("want"))), f.length_penalty, f.confidence_weight)).drop("near", "sims", "spans", "barred")
+    # from here on the pool is asked for known designations alone
+    listed = all_terms(rules)
+    base = materialise(base.withColumn("pool", F.filter("pool", lambda s: within_reach(s["canonical"], listed, least))), "pools")
     # known designations, for each text once however many labels print it
     printed = base.select("label_id", F.explode(F.array_distinct(F.transform("pool", lambda s: s["canonical"]))).alias("text"))
     found = materialise(known_terms(printed.select("text").unionByName(base.select(F.col("want").alias("text"))), rules, least), "designations")
@@ -497,7 +508,7 @@ def class_type(rows: DataFrame, rules: Rules, field: str) -> DataFrame:
         .when(F.col("beside").isNotNull(), read(F.col("beside"), "REVIEW", F.lit("stands where the designation should")))
         .otherwise(not_found(F.col(field), "could not be located"))
     )
-    return base.select("label_id", "masks", "done", "spans", out.alias("result"))
+    return base.select("label_id", "masks", "done", out.alias("result"))
 
 
 def verify(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules | None = None, trace: dict[str, dict] | None = None) -> DataFrame:
@@ -586,12 +597,13 @@ def _judge(labels: DataFrame, words: DataFrame, records: DataFrame, rules: Rules
 
 def _judge_field(rows: DataFrame, rules: Rules | RuleColumns, field: Field, trace: dict[str, dict] | None) -> DataFrame:
     """label_id, masks, done after one more field, written."""
-    known = STRATEGIES.get(field.strategy)
+    known, given = STRATEGIES.get(field.strategy), rows
     rows = known(rows, rules, field.id) if known else rows.withColumn("result", not_found(F.lit(None).cast("string"), "this field is not automated"))
     box = F.when(F.col("result.located"), F.col("result.box"))
     before = F.col("masks")
     seen = None
-    if trace is not None and "spans" in rows.columns:
+    if trace is not None and "spans" in given.columns:
+        rows = rows if "spans" in rows.columns else rows.join(given.select("label_id", "spans"), "label_id")
         seen, copied = Observation(field.id), F.col("done.__copies")
         rows = rows.observe(seen, F.coalesce(F.sum(copied), F.lit(0)).alias("labels"), F.sum(copied * F.size(free(before))).alias("available"), F.sum(copied * F.size(free(F.when(box.isNotNull(), F.concat("masks", F.array(box.cast(BOX)))).otherwise(before)))).alias("remaining"))
     state = rows.select(
