@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from veritrail.functions.text import canonical, canonical_numeric, tokens
 from veritrail.scratch import shuffle_parts
 
 MAX_LINES, MAX_WORDS = 4, 6
+FORMS = {"canonical": canonical, "numeric": canonical_numeric}
 ROW_SHARE, GAP_SHARE, COLUMN_SHARE, GLYPH_RATIO = 0.5, 1.5, 0.3, 0.6
 
 
@@ -20,18 +23,18 @@ def middle(values: Column) -> Column:
     return bound(F.array_sort(values), lambda x: F.when(F.size(x) > 0, at(x)))
 
 
-def pages(words: DataFrame) -> DataFrame:
+def pages(words: DataFrame, forms: tuple[str, ...] = tuple(FORMS)) -> DataFrame:
     """label_id, label_glyph, page: a label's lines (line, box, glyph, words) in reading order; one exchange by label.
 
     Lines sort by the middle of their height; one joins the current row while it lies within half
     the label's median glyph height of the row's first line, and rows read from left to right. The
     row's first line is carried along a sorted array, since no window frame can hold it. Words get
-    their canonical and numeric forms here, once for all spans they are part of.
+    their canonical and numeric forms here, or those asked for, once for all spans they are part of.
     """
     # by number: the work is many times what the bytes suggest, so small partitions stay apart
     words = words.repartition(shuffle_parts(words.sparkSession), "label_id")
-    words = words.withColumn("canonical", canonical(F.col("text"))).withColumn("numeric", canonical_numeric(F.col("text")))
-    line = words.groupBy("label_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "text", "confidence", "box", "canonical", "numeric"))).alias("words"))
+    words = words.withColumns({f: FORMS[f](F.col("text")) for f in forms})
+    line = words.groupBy("label_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", "text", "confidence", "box", *forms))).alias("words"))
     heights = lambda ws: F.transform(ws, lambda w: G.height(w["box"]))
     line = line.withColumn("box", G.union(F.transform("words", lambda w: w["box"])))
     page = line.groupBy("label_id").agg(F.array_sort(F.collect_list(F.struct(G.centre_y(F.col("box")).alias("cy"), "line_no", F.col("box.left").alias("left"), "words", "box", middle(heights(F.col("words"))).alias("glyph")))).alias("lines"))
@@ -81,8 +84,8 @@ def _span(x: Column) -> Column:
     )
 
 
-def label_spans(page: Column, label_glyph: Column, keep_blank: bool = False) -> Column:
-    """All spans of a page in generation order, with span_id (their place in it) and canonical_words."""
+def _parts(page: Column, label_glyph: Column) -> Column:
+    """What the spans of a page are made of, in generation order: lines, run and words."""
     none = F.lit(None).cast("struct<start: int, end: int>")
     part = lambda lines, run, words: F.struct(lines.alias("lines"), run.alias("run"), words.alias("words"))
 
@@ -99,8 +102,13 @@ def label_spans(page: Column, label_glyph: Column, keep_blank: bool = False) ->
 
     starts = F.when(F.size(page) > 1, F.sequence(F.lit(0), F.size(page) - 2)).otherwise(F.array().cast("array<int>"))
     several = bound(follows, lambda f: F.flatten(F.transform(starts, lambda at: across(at, f))))
+    return F.concat(F.flatten(F.transform(page, inside)), several)
+
+
+def label_spans(page: Column, label_glyph: Column, keep_blank: bool = False) -> Column:
+    """All spans of a page in generation order, with span_id (their place in it) and canonical_words."""
     # the words of a span are bound before it is made of them: each of its values reads them
-    made = F.transform(F.concat(F.flatten(F.transform(page, inside)), several), _span)
+    made = F.transform(_parts(page, label_glyph), _span)
     if not keep_blank:
         made = F.filter(made, lambda s: s["canonical"] != "")
     return F.transform(made, lambda s, n: F.struct(n.alias("span_id"), *[s[c].alias(c) for c in ("lines", "run", "raw", "canonical", "numeric", "box", "confidence", "glyph", "n_words")], F.size(tokens(s["canonical"])).alias("canonical_words")))
@@ -117,11 +125,29 @@ def span_index(words: DataFrame, keep_blank: bool = False) -> DataFrame:
     return spans.select("label_id", "s.*")
 
 
-def candidate_trace(spans: DataFrame, masks: DataFrame) -> DataFrame:
-    """Per label, how many candidate spans there are and how many the masks (label_id, masks) leave free."""
-    both = spans.join(masks, "label_id", "left")
-    free = F.coalesce(unmasked(F.col("box"), F.col("masks")), F.lit(True))
-    return both.groupBy("label_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(free).alias("free"))
+def _counts(page: DataFrame, value: Callable[[Column], Column], **taken: Callable[[Column], Column]) -> DataFrame:
+    """Per label that has spans, of how many of them the value (of lines, run and words) is taken; spans are those of span_index().
+
+    They are counted in their label's row, without their texts.
+    """
+    shown = F.filter(_parts(F.col("page"), F.col("label_glyph")), lambda x: F.exists(x["words"]["canonical"], lambda f: f != ""))
+    size = lambda xs: F.size(xs).cast("long")
+    counts = bound(F.transform(shown, value), lambda xs: F.struct(size(xs).alias("spans"), *[size(F.filter(xs, f)).alias(n) for n, f in taken.items()]))
+    # labels without spans go here: a filter of rows would be pushed down and make spans, and for each of them the page, again
+    return page.select("label_id", F.explode(F.filter(F.array(counts), lambda c: c["spans"] > 0)).alias("c")).select("label_id", *[f"c.{n}" for n in taken])
+
+
+def family_counts(words: DataFrame) -> DataFrame:
+    """Per label, how many candidate spans lie in a single line and how many in several."""
+    return _counts(pages(words, ("canonical",)), lambda x: F.size(x["lines"]), single=lambda n: n == 1, several=lambda n: n > 1)
+
+
+def candidate_trace(words: DataFrame, masks: DataFrame) -> DataFrame:
+    """Per label, how many candidate spans there are and how many the masks (label_id, masks; a row a label at most) leave free."""
+    # a small file may hold many labels, so no size that Spark takes from it sends all masks to all executors
+    both = pages(words, ("canonical",)).join(masks.hint("merge"), "label_id", "left")
+    free = lambda b: F.coalesce(unmasked(b, F.col("masks")), F.lit(True))
+    return _counts(both, lambda x: bound(x["words"]["box"], G.union), candidates=lambda b: F.lit(True), free=free)
 
 
 def neighbour_gaps(blocks: DataFrame, lines: DataFrame) -> DataFrame:

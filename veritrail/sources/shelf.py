@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import geometry as G
@@ -62,10 +62,26 @@ def shape() -> Column:
     return F.to_json(F.struct((F.col("p_partkey") % (10 * len(KINDS))).alias("key"), (F.col("p_size") % 10).alias("size"), F.col("p_name").alias("name")))
 
 
+def _told() -> list[Column]:
+    """The columns of part, of the remainders that a shape is told by."""
+    return [(F.col("p_partkey") % (10 * len(KINDS))).alias("p_partkey"), F.col("p_name"), (F.col("p_size") % 10).alias("p_size")]
+
+
 def shapes(part: DataFrame) -> DataFrame:
     """A part for each shape of those in part, of the remainders that a shape is told by; parts without a key have none."""
-    part = part.filter("p_partkey is not null")
-    return part.select((F.col("p_partkey") % (10 * len(KINDS))).alias("p_partkey"), "p_name", (F.col("p_size") % 10).alias("p_size")).distinct()
+    return part.filter("p_partkey is not null").select(*_told()).distinct()
+
+
+def label_shapes(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """label_id and shape of each label of part, one a key, and the parts that shelf() prints a label of each shape from, by their column shape.
+
+    A label's shape is its part's. If a key stands for several parts, its label has the words of all and a shape of its own.
+    """
+    key = Window.partitionBy("p_partkey")
+    part = part.select("p_partkey", "p_name", "p_size", F.count(F.lit(1)).over(key).alias("parts"), F.row_number().over(key.orderBy("p_name", "p_size")).alias("place"))
+    part = part.withColumn("shape", F.when(F.col("parts") == 1, shape()).otherwise(F.to_json(F.struct("parts", "p_partkey"))))
+    labels = part.filter("place = 1").select(F.col("p_partkey").cast("string").alias("label_id"), "shape")
+    return labels, part.select("shape", "place", *_told()).distinct()
 
 
 def shelf(part: DataFrame, label_id: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
